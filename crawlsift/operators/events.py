@@ -55,8 +55,10 @@ def flatten_json(df: DataFrame, raw: str = "raw", carry: list[str] | None = None
     """
     carry = carry or [c for c in df.columns if c not in (raw, "value")]
     node_type = "ARRAY<STRUCT<path STRING, ord STRING, raw STRING, leaf BOOLEAN>>"
+    root_text = let(f"try_parse_json({raw})", lambda v: case(
+        (f"schema_of_variant({v}) = 'STRING'", f"CAST({v} AS STRING)"), otherwise=leaf_text(f"trim({raw})", v)))
     root = case((f"rlike({raw}, '^\\\\s*[\\\\[{{]')", struct(path="''", ord="''", raw=f"trim({raw})", leaf="false")),
-                otherwise=struct(path="''", ord="''", raw=leaf_text(f"trim({raw})", f"try_parse_json({raw})"), leaf="true"))
+                otherwise=struct(path="''", ord="''", raw=root_text, leaf="true"))
     rows = df.selectExpr(*carry, f"CAST(filter(array({root}), n -> n.raw IS NOT NULL) AS {node_type}) AS l0",
                          f"CAST(array() AS {node_type}) AS done0")
     limit = max_depth - 1 if clean else max_depth
