@@ -39,6 +39,12 @@ def explode_items(df: DataFrame, array: str, carry: list[str] | None = None, ind
     return rows.withColumnRenamed("_item", "value")
 
 
+def where_computed(df: DataFrame, condition: str) -> DataFrame:
+    """Filter on computed columns without moving the predicate - and with it the computation - into the scan."""
+    rows = df.selectExpr(f"explode_outer(if({condition}, array(struct(*)), NULL)) AS _row")
+    return rows.filter("_row IS NOT NULL").select("_row.*")
+
+
 # --- arrays inside a page's row -------------------------------------------------------------------
 
 

@@ -33,7 +33,7 @@ def _hits(rows: DataFrame, keys: list[str], registry: DataFrame, carry: list[str
     return exploded.select(*carry, "_k.*").join(registry, ["kind", "key"])
 
 
-_EVIDENCE = F.expr("transform(array_sort(collect_set(named_struct('r', kind_rank, 'i', item, 'e', evidence))), x -> x.e)")
+_EVIDENCE = "transform(array_sort(collect_set(named_struct('r', kind_rank, 'i', item, 'e', evidence))), x -> x.e)"
 
 
 def detect_trackers(signals: DataFrame, registry: list[dict] = TRACKERS) -> DataFrame:
@@ -44,7 +44,7 @@ def detect_trackers(signals: DataFrame, registry: list[dict] = TRACKERS) -> Data
         _keys("host", "concat(scripts, iframes)", lambda u: host_suffixes(host_of(u))),
         _keys("cookie", "cookie_names", name_prefixes),
     ], table, ["page_id"])
-    return hits.groupBy("page_id", "id", "name", "category", "ordinal").agg(_EVIDENCE.alias("evidence"))
+    return hits.groupBy("page_id", "id", "name", "category", "ordinal").agg(F.expr(_EVIDENCE).alias("evidence"))
 
 
 def detect_stack(signals: DataFrame, registry: list[dict] = TECHNOLOGIES) -> DataFrame:
@@ -75,7 +75,7 @@ def detect_stack(signals: DataFrame, registry: list[dict] = TECHNOLOGIES) -> Dat
         "if(kind = 'generator', concat('generator: ', generator), evidence) AS evidence",
         f"{map_get('versions', named)} AS version")
     found = shown.groupBy("page_id", "id", "name", "category", "ordinal").agg(
-        F.max("version").alias("version"), _EVIDENCE.alias("evidence"))
+        F.max("version").alias("version"), F.expr(_EVIDENCE).alias("evidence"))
     return found.selectExpr("*", "if(size(evidence) > 1, 'high', 'low') AS confidence")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from crawlsift.extract.facts import where_computed
 from crawlsift.functions.sql import case, let
 from crawlsift.functions.text import js_length, text_or_empty
 from crawlsift.functions.urls import host_of, is_absolute_http_url
@@ -165,7 +166,7 @@ def audit_pages(facts: DataFrame, carry: list[str] | None = None) -> DataFrame:
 
 def heading_skip(facts: DataFrame) -> DataFrame:
     skip = facts.selectExpr("page_id", f"{heading_skip_struct('headings')} AS _s")
-    return skip.filter("_s IS NOT NULL").select("page_id", "_s.*")
+    return where_computed(skip, "_s IS NOT NULL").select("page_id", "_s.*")
 
 
 def social_preview(facts: DataFrame) -> DataFrame:
@@ -174,6 +175,6 @@ def social_preview(facts: DataFrame) -> DataFrame:
         "page_id", "coalesce(og.title, title) AS title", "coalesce(og.description, description) AS description",
         "og.image AS image", "coalesce(og.image_alt, '') AS image_alt",
         f"{host_of('coalesce(og.url, url)')} AS host")
-    shown = rows.filter("title IS NOT NULL OR description IS NOT NULL OR image IS NOT NULL")
+    shown = where_computed(rows, "title IS NOT NULL OR description IS NOT NULL OR image IS NOT NULL")
     return shown.selectExpr("page_id", "coalesce(title, '(no title)') AS title", "description", "image", "image_alt",
                             "host")
