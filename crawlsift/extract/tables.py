@@ -74,29 +74,25 @@ def extract_tables(parsed: DataFrame, cap: int | None = 50, row_cap: int | None
     span = lambda name: (
         f"least(greatest(coalesce(try_cast({extract(attr_or('opened', name), r'^\s*\+?([0-9]{1,9})', 1)} AS INT), 1), "
         f"{1 if name == 'colspan' else 0}), 65534)")
-    rows = full.filter("tag = 'tr'").selectExpr(
-        "page_id", "table_index", "row_no",
-        "row_number() OVER (PARTITION BY page_id, table_index ORDER BY section_rank, pos) - 1 AS row",
-        "count(*) OVER (PARTITION BY page_id, table_index) AS row_count")
-    cells = full.filter("is_cell = 1 AND row_no > 0").selectExpr(
-        "page_id", "table_index", "row_no", "cell", f"{clip(decode_entities('content'), MAX_TEXT, 'empty')} AS text",
-        f"{span('colspan')} AS colspan", f"{span('rowspan')} AS rowspan", "tag = 'th' AS header")
-    in_rows = cells.join(rows, ["page_id", "table_index", "row_no"]).drop("row_no")
-    kept = in_rows if row_cap is None else in_rows.filter(f"row < {row_cap}")
-    first = in_rows.filter("row = 0").groupBy("page_id", "table_index").agg(F.expr(
-        "transform(array_sort(collect_list(struct(cell, header, text))), x -> named_struct('h', x.header, 't', x.text))")
+    table = "OVER (PARTITION BY page_id, table_index ORDER BY pos)"
+    numbered = full.selectExpr(
+        "*", f"last(if(tag = 'tr', section_rank, NULL), true) {table} AS tr_section",
+        f"{clip(decode_entities('content'), MAX_TEXT, 'empty')} AS text").selectExpr(
+        "*", "dense_rank() OVER (PARTITION BY page_id, table_index, tag IN ('tr', 'td', 'th') AND row_no > 0 "
+             "ORDER BY tr_section, row_no) - 1 AS row",
+        "count_if(tag = 'tr') OVER (PARTITION BY page_id, table_index) AS row_count")
+    in_row = "is_cell = 1 AND row_no > 0"
+    cells = numbered.filter(in_row if row_cap is None else f"{in_row} AND row < {row_cap}").selectExpr(
+        "page_id", "table_index", "row", "cell", "text", f"{span('colspan')} AS colspan", f"{span('rowspan')} AS rowspan",
+        "tag = 'th' AS header", "row_count")
+    tables = numbered.groupBy("page_id", "table_index").agg(
+        F.expr("min_by(text, if(tag = 'caption', pos, NULL))").alias("caption"),
+        F.expr(f"max(if(tag = 'table', coalesce({attr('opened', 'id')}, ''), NULL))").alias("id"),
+        F.expr("bool_or(tag = 'table' AND depth > 1)").alias("nested"), F.max("row_count").alias("row_count"),
+        F.expr(f"array_sort(collect_list(if({in_row} AND row = 0, struct(cell, tag = 'th' AS h, text AS t), NULL)))")
         .alias("first"))
-    heads = full.filter("tag = 'table'").selectExpr(
-        "page_id", "table_index", f"coalesce({attr('opened', 'id')}, '') AS id", "depth > 1 AS nested")
-    captions = full.filter("tag = 'caption'").groupBy("page_id", "table_index").agg(F.min_by(
-        F.expr(clip(decode_entities("content"), MAX_TEXT, "empty")), "pos").alias("caption"))
-    counts = rows.groupBy("page_id", "table_index").agg(F.count(F.lit(1)).alias("n"))
-    keys = ["page_id", "table_index"]
-    tables = heads.join(captions, keys, "left").join(counts, keys, "left").join(first, keys, "left").selectExpr(
-        *keys, "coalesce(caption, '') AS caption", "id", "nested", "coalesce(n, 0) AS row_count",
-        "false AS truncated" if row_cap is None else f"coalesce(n, 0) > {row_cap} AS truncated",
-        "coalesce(filter(first, x -> x.h).t, CAST(array() AS ARRAY<STRING>)) AS headings",
-        "coalesce(slice(first.t, 1, 4), CAST(array() AS ARRAY<STRING>)) AS preview")
-    columns = ["page_id", "table_index", "row", "cell", "text", "colspan", "rowspan", "header", "row_count"]
-    return tables, kept.select(*columns)
-
+    described = tables.selectExpr(
+        "page_id", "table_index", "coalesce(caption, '') AS caption", "coalesce(id, '') AS id", "nested", "row_count",
+        "false AS truncated" if row_cap is None else f"row_count > {row_cap} AS truncated",
+        "filter(first, x -> x.h).t AS headings", "slice(first.t, 1, 4) AS preview")
+    return described, cells

@@ -24,19 +24,16 @@ def expand_grid(cells: DataFrame) -> DataFrame:
     """table_grid(page_id, table_index, row, col, value): every row as wide as the widest, gaps as ''.
 
     Tables without spans - the usual case - are already grids and only need padding. The others are folded cell by
-    cell: a cell takes the first free column of its row, and where spans collide the later cell wins. The fold
-    keeps one occupied-column set per open row, and a table is one group: its size is bounded by the page.
+    cell: a cell takes the first free column of its row, and where spans collide the later cell wins. A table is one
+    group, bounded by its page; all later steps keep that partitioning.
     """
     shaped = cells.selectExpr(
         "page_id", "table_index", "CAST(row AS INT) AS row", "CAST(cell AS INT) AS cell", "text",
         "CAST(row_count AS INT) AS row_count", f"{resolve_span('colspan')} AS cs",
         f"CAST(if(rowspan = 0, row_count - row, least({resolve_span('rowspan')}, row_count - row)) AS INT) AS rs")
-    kinds = shaped.selectExpr("*", "max(cs > 1 OR rs > 1) OVER (PARTITION BY page_id, table_index) AS spanned")
-    simple = kinds.filter("NOT spanned").selectExpr("page_id", "table_index", "row", "cell AS col", "text AS value",
-                                                    "row_count")
-    order = "array_sort(collect_list(struct(row, cell, cs, rs, text)))"
-    grouped = kinds.filter("spanned").groupBy(*KEYS).agg(
-        F.expr(order).alias("cells"), F.max("row_count").alias("row_count"))
+    grouped = shaped.groupBy(*KEYS).agg(
+        F.expr("array_sort(collect_list(struct(row, cell, cs, rs, text)))").alias("cells"),
+        F.max("row_count").alias("row_count"))
     # state: where each cell went, and for every open span how far down it reaches; columns are found per row
     start = ("named_struct('row', CAST(-1 AS INT), 'col', CAST(0 AS INT), 'open', CAST(array() AS ARRAY<STRUCT<col INT, "
              "until INT>>), 'out', CAST(array() AS ARRAY<STRUCT<row INT, col INT, cs INT, rs INT, text STRING>>))")
@@ -48,24 +45,32 @@ def expand_grid(cells: DataFrame) -> DataFrame:
             "if(c.rs > 1, concat(filter(s.open, o -> o.until > c.row), transform(sequence(k, k + c.cs - 1), x -> "
             "named_struct('col', x, 'until', c.row + c.rs))), filter(s.open, o -> o.until > c.row)), 'out', "
             "array_append(s.out, named_struct('row', c.row, 'col', k, 'cs', c.cs, 'rs', c.rs, 'text', c.text)))), 0)")
-    placed = grouped.selectExpr(*KEYS, "row_count", f"posexplode(aggregate(cells, {start}, {step}).out) AS (seq, c)")
+    plain = "transform(cells, c -> named_struct('row', c.row, 'col', c.cell, 'cs', 1, 'rs', 1, 'text', c.text))"
+    out = f"if(exists(cells, c -> c.cs > 1 OR c.rs > 1), aggregate(cells, {start}, {step}).out, {plain})"
+    placed = grouped.selectExpr(*KEYS, "row_count", f"posexplode({out}) AS (seq, c)")
     filled = placed.selectExpr(*KEYS, "row_count", "seq", "c.*").selectExpr(
-        *KEYS, "row_count", "seq", "text", "col", "cs", "explode(sequence(row, row + rs - 1)) AS r").selectExpr(
-        *KEYS, "row_count", "seq", "text", "r AS row", "explode(sequence(col, col + cs - 1)) AS c")
-    last = filled.groupBy(*KEYS, "row", F.col("c").alias("col")).agg(
+        *KEYS, "row_count", "seq", "text", "col", "cs", "explode(sequence(row, row + rs - 1)) AS row").selectExpr(
+        *KEYS, "row_count", "seq", "text", "row", "explode(sequence(col, col + cs - 1)) AS col")
+    last = filled.groupBy(*KEYS, "row", "col").agg(
         F.max_by("text", "seq").alias("value"), F.max("row_count").alias("row_count"))
-    values = simple.unionByName(last.select(*simple.columns))
-    sizes = values.groupBy(*KEYS).agg(F.max("row_count").alias("n"), (F.max("col") + 1).alias("width"))
-    frame = sizes.selectExpr(*KEYS, "width", "explode(sequence(0, CAST(n AS INT) - 1)) AS row").selectExpr(
-        *KEYS, "row", "explode(sequence(0, width - 1)) AS col")
-    return frame.join(values.drop("row_count"), [*KEYS, "row", "col"], "left").na.fill("", ["value"])
+    # pad: each row to the table's width, and rows without any cell up to the next row that has one
+    rows = last.groupBy(*KEYS, "row").agg(
+        F.expr("collect_list(struct(col, value))").alias("cells"), F.max("row_count").alias("row_count"),
+        F.max("col").alias("last_col"))
+    table = "OVER (PARTITION BY page_id, table_index"
+    sized = rows.selectExpr(
+        "*", f"max(last_col) {table}) AS right", f"if(lag(row) {table} ORDER BY row) IS NULL, 0, row) AS from",
+        f"coalesce(lead(row) {table} ORDER BY row), row_count) - 1 AS to")
+    tall = sized.selectExpr(*KEYS, "row", "cells", "right", "explode(sequence(from, greatest(from, row, CAST(to AS INT)))) AS r")
+    wide = tall.selectExpr(*KEYS, "r", "if(r = row, cells, slice(cells, 1, 0)) AS cells", "explode(sequence(0, right)) AS col")
+    return wide.selectExpr(*KEYS, "r AS row", "col", "coalesce(get(filter(cells, x -> x.col = col), 0).value, '') AS value")
 
 
 def trim_grid(grid: DataFrame) -> DataFrame:
     """Without rows and columns that are entirely blank; the rest renumbered."""
-    filled = grid.filter(f"NOT ({_BLANK})")
-    kept = grid.join(filled.select(*KEYS, "row").distinct(), [*KEYS, "row"], "left_semi").join(
-        filled.select(*KEYS, "col").distinct(), [*KEYS, "col"], "left_semi")
+    full = lambda by: f"max(NOT ({_BLANK})) OVER (PARTITION BY page_id, table_index, {by})"
+    kept = grid.selectExpr("*", f"{full('row')} AS in_row", f"{full('col')} AS in_col").filter(
+        "in_row AND in_col")
     rank = "dense_rank() OVER (PARTITION BY page_id, table_index ORDER BY {0}) - 1 AS {0}"
     return kept.selectExpr(*KEYS, rank.format("row"), rank.format("col"), "value")
 

@@ -411,7 +411,7 @@ query("store_rows", f"""WITH v AS (SELECT page_id, count(*) AS n, count(*) FILTE
 SELECT p_partkey AS page_id, r.section, r.field, r.value FROM part JOIN v ON v.page_id = p_partkey, LATERAL (VALUES
   ('Store', 'Shop', 'shop' || (p_partkey % 10) || '.example.com'), ('Store', 'Currency', '(unknown)'), ('Store', 'Customer', 'Guest'),
   ('Theme', 'Theme', 'Dawn'), ('Theme', 'Origin', 'Custom theme'), ('Theme', 'Role', CASE WHEN p_partkey % 6 = 0 THEN 'development' ELSE 'main' END),
-  ('Page', 'Page type', 'product'), ('Product', 'Title', p_name), ('Product', 'Product ID', CAST(p_partkey AS VARCHAR)),
+  ('Page', 'Page type', 'product'), ('Product', 'Title', p_name), ('Product', 'Product ID', CAST(p_partkey + 1 AS VARCHAR)),
   ('Product', 'Vendor', CASE WHEN p_partkey % 9 <> 0 THEN p_brand END), ('Product', 'Variants', CAST(n AS VARCHAR)),
   ('Product', 'In stock', CASE WHEN known THEN a || ' of ' || n END),
   ('Product', 'Images', CASE WHEN p_partkey % 2 = 0 THEN '3' ELSE '1' END),

@@ -88,7 +88,7 @@ def store_pages(spark: SparkSession, directory: str) -> DataFrame:
         f"if(i = 1, '', concat('S', {k}, '-', i)), '\",\"price\":', {cents} + i * 100, if({k} % 5 = 0, '', concat(',\"available\":', "
         f"if(({k} + i) % 4 = 0, 'false', 'true'))), '}}')), ',')")
     island = (
-        f"'<script type=\"application/json\" id=\"ProductJson-', {k}, '\">{{\"id\":', {k}, ',\"title\":\"', p_name, '\",\"vendor\":\"', "
+        f"'<script type=\"application/json\" id=\"ProductJson-', {k}, '\">{{\"id\":', {k} + 1, ',\"title\":\"', p_name, '\",\"vendor\":\"', "
         f"if({k} % 9 = 0, '', p_brand), '\",\"price\":', {cents}, if({k} % 4 = 0, concat(',\"compare_at_price\":', {cents} * 2), ''), "
         f"',\"description\":\"', repeat('d', p_size * 4), '\",\"images\":[\"/a.jpg\"', if({k} % 2 = 0, ',\"/b.jpg\",\"/c.jpg\"', ''), "
         f"'],\"variants\":[', {variants}, ']}}</script>'")
