@@ -15,9 +15,8 @@ LINK_OPEN, LINK_CLOSE, LINK_END, BREAK = "", "", "", ""
 def markdown_escape(text: str) -> str:
     """Backslashes where text would be read as Markdown, also at the start of a line."""
     inline = substitute(text, r"([\\`*_\[\]<>])", r"\\$1")
-    symbol = substitute(inline, rf"^({WS}*)([-+>#]|\\\*)(?={WS})", r"$1\\$2")
-    # a * is escaped already by the first rule
-    symbol = substitute(symbol, rf"^({WS}*)\\\\\\(\*)", r"$1\\$2")
+    # * and > are escaped already by the first rule
+    symbol = substitute(inline, rf"^({WS}*)([-+#])(?={WS})", r"$1\\$2")
     return substitute(symbol, rf"^({WS}*[0-9]+)([.)])(?={WS})", r"$1\\$2")
 
 
