@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-PAGE = "page_id", "url", "html"
+from crawlsift.sources import spread
 
 
 def _read(spark: SparkSession, directory: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{table}.parquet")
+    return spread(spark.read.parquet(f"{directory}/{table}.parquet"))
 
 
 def _pages(rows: DataFrame, key: str, url: str, head: list[str], body: list[str], lang: str = "en") -> DataFrame:

@@ -20,8 +20,18 @@ _SCHEME = "Chrome does not allow extensions on this page."
 _HOST = ("Chrome does not allow extensions on the Web Store.", "Open any other website and try again.")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the files have fewer splits than the cluster has cores.
+
+    Parsing is far dearer than moving a row, and so few splits mean little data. Larger inputs are left as they are:
+    no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def load_pages(spark: SparkSession, directory: str, table: str = "pages") -> DataFrame:
-    return spark.read.schema(PAGES).parquet(f"{directory}/{table}.parquet")
+    return spread(spark.read.schema(PAGES).parquet(f"{directory}/{table}.parquet"))
 
 
 def stream_pages(spark: SparkSession, directory: str, files_per_trigger: int = 64) -> DataFrame:
