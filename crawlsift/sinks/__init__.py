@@ -12,6 +12,8 @@ from crawlsift.operators.findings import OVERALL, status_counts
 from crawlsift.operators.seo import GROUPS
 from crawlsift.registry.rows import category_table
 
+TOOL = "crawlsift"
+
 # How a status reads in a report.
 MARKER = {"ok": "OK", "warning": "WARN", "error": "FAIL", "info": "INFO"}
 _MARK = "CASE status " + " ".join(f"WHEN '{s}' THEN '{m}'" for s, m in MARKER.items()) + " ELSE '-' END"
@@ -66,7 +68,8 @@ def _one_line(value: str) -> str:
     return f"trim({substitute(f'coalesce({value}, {lit(str())})', r'\s*\n\s*', ' / ')})"
 
 
-def audit_markdown(facts: DataFrame, findings: DataFrame, audited_at: str = "current_timestamp()") -> DataFrame:
+def audit_markdown(facts: DataFrame, findings: DataFrame, audited_at: str = "current_timestamp()",
+                   tool: str = TOOL) -> DataFrame:
     """(page_id, report): the page audit as Markdown, one section per group that has findings."""
     groups = category_table(findings.sparkSession, GROUPS)
     rows = findings.join(groups, findings["group"] == groups["category"]).selectExpr(
@@ -80,13 +83,14 @@ def audit_markdown(facts: DataFrame, findings: DataFrame, audited_at: str = "cur
         F.sum("warning").alias("warning"), F.sum("ok").alias("ok"))
     when = "captured_at" if "captured_at" in facts.columns else audited_at
     return facts.selectExpr("page_id", "url", "title", f"{when} AS at").join(joined, "page_id").selectExpr(
-        "page_id", "concat_ws('\\n', '# SEO Inspector report', '', concat('- **URL:** ', coalesce(url, 'unknown')), "
+        "page_id", f"concat_ws('\\n', {lit(f'# {tool} report')}, '', concat('- **URL:** ', coalesce(url, 'unknown')), "
         "concat('- **Title:** ', coalesce(title, '(none)')), concat('- **Audited:** ', CAST(at AS STRING)), "
         "concat('- **Result:** ', error, ' error(s), ', warning, ' warning(s), ', ok, ' passing'), '', body, '---', "
-        "'Generated locally by SEO Inspector. No data left the browser.') AS report")
+        "" + lit(f"Generated by {tool}.") + ") AS report")
 
 
-def audit_json(facts: DataFrame, findings: DataFrame, audited_at: str = "current_timestamp()") -> DataFrame:
+def audit_json(facts: DataFrame, findings: DataFrame, audited_at: str = "current_timestamp()",
+               tool: str = TOOL) -> DataFrame:
     """(page_id, json): summary, findings and page facts of each page."""
     per_page = findings.groupBy("page_id").agg(
         F.expr("transform(array_sort(collect_list(struct(seq, id, `group`, label, status, message, value))), x -> "
@@ -97,11 +101,12 @@ def audit_json(facts: DataFrame, findings: DataFrame, audited_at: str = "current
     counted = per_page.selectExpr("page_id", "findings", "struct(ok, warning, error, info, total, "
                                   + OVERALL.replace(" AS status", "") + " AS status) AS summary")
     return page.join(counted, "page_id").selectExpr(
-        "page_id", "to_json(struct('SEO Inspector' AS tool, 1 AS version, url, at AS auditedAt, summary, findings, page), "
+        "page_id", f"to_json(struct({lit(tool)} AS tool, 1 AS version, url, at AS auditedAt, summary, findings, page), "
                    "map('ignoreNullFields', 'false')) AS json")
 
 
-def schema_json(entities: DataFrame, findings: DataFrame, blocks: DataFrame, summary: DataFrame, pages: DataFrame) -> DataFrame:
+def schema_json(entities: DataFrame, findings: DataFrame, blocks: DataFrame, summary: DataFrame, pages: DataFrame,
+                tool: str = TOOL) -> DataFrame:
     """(page_id, json): entities with their findings, failed blocks and the summary of each page."""
     keys = ["page_id", "path"]
     judged = findings.groupBy(*keys).agg(
@@ -116,11 +121,11 @@ def schema_json(entities: DataFrame, findings: DataFrame, blocks: DataFrame, sum
     totals = summary.select("page_id", F.struct(*[c for c in summary.columns if c != "page_id"]).alias("summary"))
     rows = pages.select("page_id", "url").join(totals, "page_id").join(items, "page_id", "left").join(failed, "page_id", "left")
     return rows.selectExpr(
-        "page_id", "to_json(struct('Schema Inspector' AS tool, 1 AS version, url, current_timestamp() AS inspectedAt, summary, "
+        "page_id", f"to_json(struct({lit(tool)} AS tool, 1 AS version, url, current_timestamp() AS inspectedAt, summary, "
                    "coalesce(parseErrors, array()) AS parseErrors, coalesce(entities, array()) AS entities)) AS json")
 
 
-def layers_json(entries: DataFrame, pages: DataFrame) -> DataFrame:
+def layers_json(entries: DataFrame, pages: DataFrame, tool: str = TOOL) -> DataFrame:
     """(page_id, json): every layer with its entries, in queue order."""
     layers = entries.groupBy("page_id", "layer", "total", "truncated").agg(F.expr(
         "transform(array_sort(collect_list(struct(index, raw))), x -> x.raw)").alias("entries"))
@@ -128,7 +133,7 @@ def layers_json(entries: DataFrame, pages: DataFrame) -> DataFrame:
         "array_join(collect_list(concat('{\"name\":', to_json(parse_json(concat('\"', layer, '\"'))), ',\"total\":', total, "
         "',\"truncated\":', truncated, ',\"entries\":[', array_join(entries, ','), ']}')), ',')").alias("layers"))
     return pages.select("page_id", "url").join(per_page, "page_id").selectExpr(
-        "page_id", "concat('{\"tool\":\"DataLayer Viewer\",\"version\":1,\"url\":\"', url, '\",\"capturedAt\":\"', "
+        "page_id", "concat('{\"tool\":\"" + tool + "\",\"version\":1,\"url\":\"', url, '\",\"capturedAt\":\"', "
                    "date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\"), '\",\"containers\":[],\"layers\":[', "
                    "layers, ']}') AS json")
 
@@ -159,7 +164,7 @@ def stack_report(grouped: DataFrame, pages: DataFrame) -> DataFrame:
 
 def schema_report(findings: DataFrame, pages: DataFrame) -> DataFrame:
     return report_markdown(
-        findings.join(pages.select("page_id", "url"), "page_id"), "concat('# Schema Inspector\\n\\nURL: ', url)",
+        findings.join(pages.select("page_id", "url"), "page_id"), "concat('# Structured data\\n\\nURL: ', url)",
         "concat(type, ' (', source, ')')", f"concat('- [', {_MARK}, '] ', label, ' - ', message)", ["seq"], "ord")
 
 

@@ -107,13 +107,33 @@ def test_csv_round_trip(spark, tmp_path):
     assert len(parts) == 1 and parts[0].startswith("﻿pos,v\r\n".encode())
 
 
+def test_schema_and_layer_documents(page):
+    import json
+
+    from crawlsift.extract.events import extract_layers
+    from crawlsift.extract.structured import extract_jsonld, extract_microdata
+    from crawlsift.operators.schema import audit_schema
+    from crawlsift.sinks import layers_json, schema_json, schema_report
+
+    df = page('<script type="application/ld+json">{"@type":"Person","name":"n"}</script><script type="application/ld+json">{</script>'
+              '<script>dataLayer.push({"event":"a"});dataLayer.push({"b":1})</script>')
+    p = parse_pages(df)
+    blocks = extract_jsonld(p)
+    entities, findings, summary = audit_schema(blocks, extract_microdata(p), df)
+    doc = json.loads(schema_json(entities, findings, blocks, summary, df).first().json)
+    assert doc["summary"]["parse_errors"] == 1 and doc["entities"][0]["warnings"] == 2 and doc["parseErrors"][0]["index"] == 1
+    assert "## Person (json-ld)\n- [OK] name - Present." in schema_report(findings, df).first().report
+    layers = json.loads(layers_json(extract_layers(p), df).first().json)["layers"]
+    assert layers == [{"name": "dataLayer", "total": 2, "truncated": False, "entries": [{"event": "a"}, {"b": 1}]}]
+
+
 def test_reports(page):
     df = page("<title>x</title>")
     facts = extract_page_facts(parse_pages(df))
     findings = seo.audit_pages(facts)
     report = audit_markdown(facts, findings).first().report
-    assert "# SEO Inspector report" in report and "- **[FAIL] Language** - No lang" in report and report.index("## SEO essentials") < report.index("## Structure")
-    assert '"tool":"SEO Inspector"' in audit_json(facts, findings).first().json
+    assert report.startswith("# crawlsift report") and "- **[FAIL] Language** - No lang" in report and report.index("## SEO essentials") < report.index("## Structure")
+    assert '"tool":"crawlsift"' in audit_json(facts, findings).first().json
 
 
 def test_stream_gives_the_same_findings_as_batch(spark, page, tmp_path):
