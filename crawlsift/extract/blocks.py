@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crawlsift.extract.markup import attr, attr_or
 from crawlsift.extract.structured import element_intervals
 from crawlsift.functions.markdown import (
-    BREAK, LINK_CLOSE, LINK_END, LINK_OPEN, MARKS, image_markdown, inline_code, link_target, markdown_escape,
+    BREAK, CODE_END, CODE_OPEN, LINK_CLOSE, LINK_END, LINK_OPEN, MARKS, image_markdown, link_target, markdown_escape,
 )
 from crawlsift.functions.sql import case, in_list, lit, matches
 from crawlsift.functions.text import collapse, decode_entities, js_trim
@@ -113,40 +113,37 @@ def extract_blocks(parsed: DataFrame, links: bool = True, images: bool = True, m
     ) + "), c -> c IS NOT NULL) AS chain"
     linked = items.selectExpr(
         "*", chain, f"last(if(tag = 'a' AND opens, {absolute_or('base', attr_or('tok', 'href'), 'empty')}, NULL), true) "
-                    f"{_ORDER} AS href", f"sum(CASE WHEN {in_list('tag', _FORMATS['code'])} AND opens AND d_code = 1 THEN 1 WHEN d_code > 0 OR "
-                                         f"{in_list('tag', _FORMATS['code'])} AND closing THEN 0 ELSE 1 END) {_ORDER} AS unit")
-    opened = lambda mark: lit(mark)
+                    f"{_ORDER} AS href", *[f"coalesce(lag(d_{f}) {_ORDER}, 0) AS lag_{f}" for f in _FORMATS])
+    code = in_list("tag", _FORMATS["code"])
     link_open = f"concat({lit(LINK_OPEN)}, {link_target('href')}, {lit(LINK_END)})"
     picture = image_markdown(js_trim(attr_or("tok", "alt")), absolute_or("base", attr_or("tok", "src"), "empty"))
     pieces = [("in_atomic", "''"), ("tag = '' AND d_code > 0", decode_entities("tok")),
+              (f"{code} AND opens AND d_code = 1", lit(CODE_OPEN)), (f"{code} AND d_code = 0 AND lag_code > 0", lit(CODE_END)),
               ("tag = ''", markdown_escape(collapse(decode_entities("tok")))), ("d_code > 0", "''"),
               ("tag = 'br'", lit(BREAK)), ("tag = 'img'", picture if images else "''")]
     for f, (o, c, _) in MARKS.items():
         tag = in_list("tag", _FORMATS[f])
         # a close tag counts only where something was open before it
-        pieces += [(f"{tag} AND opens", opened(o)), (f"{tag} AND closing AND lag_{f} > 0", opened(c))]
+        pieces += [(f"{tag} AND opens", lit(o)), (f"{tag} AND closing AND lag_{f} > 0", lit(c))]
     pieces += [("tag = 'a' AND opens", link_open), ("tag = 'a' AND closing AND lag_a > 0", lit(LINK_CLOSE))]
-    marked = linked.selectExpr("*", *[f"coalesce(lag(d_{f}) {_ORDER}, 0) AS lag_{f}" for f in _FORMATS]).selectExpr(
-        "page_id", "pos", "block", "unit", "tag", "tok", "opens", "in_atomic", "chain", "base", "href", "d_code",
-        *[f"lag_{f}" for f in _FORMATS], *[f"d_{f}" for f in [*MARKS, "a"]], f"{case(*pieces, otherwise=lit(''))} AS piece")
-    units = marked.groupBy("page_id", "block", "unit").agg(
+    formats = [*MARKS, "a", "code"]
+    marked = linked.selectExpr(
+        "page_id", "pos", "block", "chain", "base", f"{case(*pieces, otherwise=lit(''))} AS piece",
+        f"if(in_atomic OR {atomic}, tok, NULL) AS raw",
+        f"named_struct('tag', tag, 'opens', opens, 'href', href, {', '.join(f'{lit('lag_' + f)}, lag_{f}' for f in formats)}) AS f",
+        f"named_struct({', '.join(f'{lit('d_' + f)}, d_{f}' for f in formats)}, 'chain', chain) AS l")
+    joined = "array_join(transform(array_sort(collect_list({0})), x -> x.{1}), '')"
+    blocks = marked.groupBy("page_id", "block").agg(
         F.min("pos").alias("pos"),
-        F.expr("array_join(transform(array_sort(collect_list(struct(pos, piece))), x -> x.piece), '')").alias("piece"),
-        F.expr("bool_or(tag = '' AND d_code > 0 AND NOT in_atomic)").alias("is_code"),
-        F.expr("array_join(transform(array_sort(collect_list(struct(pos, tok))), x -> x.tok), '')").alias("raw"),
-        F.min_by(F.struct("tag", "opens", "chain", "base", "href", *[f"lag_{f}" for f in _FORMATS]), "pos").alias("f"),
-        F.max_by(F.struct("chain", *[f"d_{f}" for f in [*MARKS, "a"]]), "pos").alias("l"))
-    rendered = units.selectExpr("*", f"if(is_code, {inline_code('piece')}, piece) AS text")
-    blocks = rendered.groupBy("page_id", "block").agg(
-        F.min("pos").alias("pos"),
-        F.expr("array_join(transform(array_sort(collect_list(struct(pos, text))), x -> x.text), '')").alias("text"),
-        F.expr("array_join(transform(array_sort(collect_list(struct(pos, raw))), x -> x.raw), '')").alias("raw"),
-        F.min_by("f", "pos").alias("f"), F.max_by("l", "pos").alias("l"))
+        F.expr(joined.format("if(piece <> '', struct(pos, piece), NULL)", "piece")).alias("text"),
+        F.expr(joined.format("if(raw IS NOT NULL, struct(pos, raw), NULL)", "raw")).alias("raw"),
+        F.min_by("f", "pos").alias("f"), F.max_by("l", "pos").alias("l"), F.first("base").alias("base"))
     # elements left open by an earlier block are open at the start of this one, and closed at its end
     first = "".join(f"if(f.lag_{f} > 0, {lit(o)}, ''), " for f, (o, _, _) in MARKS.items())
     reopened = f"if(f.lag_a > 0, concat({lit(LINK_OPEN)}, {link_target('f.href')}, {lit(LINK_END)}), '')"
+    code_on = f"if(f.lag_code > 0, {lit(CODE_OPEN)}, '')"
     last = ", ".join(f"if(l.d_{f} > 0, repeat({lit(c)}, CAST(l.d_{f} AS INT)), '')" for f, (_, c, _) in
-                     [*reversed(MARKS.items()), ("a", ("", LINK_CLOSE, ""))])
+                     [("code", ("", CODE_END, "")), *reversed(MARKS.items()), ("a", ("", LINK_CLOSE, ""))])
     kind = case(
         ("f.opens AND rlike(f.tag, '^h[1-6]$')", "'heading'"), ("f.opens AND f.tag = 'pre'", "'code-block'"),
         ("f.opens AND f.tag = 'table'", "'table'"),
@@ -154,7 +151,7 @@ def extract_blocks(parsed: DataFrame, links: bool = True, images: bool = True, m
         ("f.tag = 'hr'", "'hr'"), otherwise="'paragraph'")
     typed = blocks.selectExpr(
         "page_id", "pos", f"{kind} AS type", "if(rlike(f.tag, '^h[1-6]$'), CAST(substr(f.tag, 2) AS INT), NULL) AS level",
-        "raw", f"concat({first}{reopened}, text, {last}) AS marked", "l.chain AS chain", "f.base AS base", "text")
+        "raw", f"concat({first}{reopened}, {code_on}, text, {last}) AS marked", "l.chain AS chain", "base", "text")
     filled = typed.filter("type IN ('code-block', 'table', 'figure', 'hr') OR trim(text) <> ''").drop("text")
     if cap is None:
         return filled

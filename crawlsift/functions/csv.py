@@ -5,7 +5,7 @@ from __future__ import annotations
 from crawlsift.functions.sql import case, let, lit, matches
 from crawlsift.functions.text import WS
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def csv_field(value: str, delimiter: str = ",") -> str:

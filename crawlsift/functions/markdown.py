@@ -8,8 +8,9 @@ from crawlsift.functions.text import WHITESPACE, WS, collapse, js_trim, squish
 from crawlsift.functions.urls import absolute_or
 
 # Marks that stand for opened and closed inline elements until a block is put together.
-MARKS = {"strong": ("", "", "**"), "em": ("", "", "*"), "strike": ("", "", "~~")}
-LINK_OPEN, LINK_CLOSE, LINK_END, BREAK = "", "", "", ""
+MARKS = {"strong": ("\ue010", "\ue011", "**"), "em": ("\ue012", "\ue013", "*"), "strike": ("\ue014", "\ue015", "~~")}
+CODE_OPEN, CODE_END = "\ue01a", "\ue01b"
+LINK_OPEN, LINK_CLOSE, LINK_END, BREAK = "\ue016", "\ue017", "\ue018", "\ue019"
 
 
 def markdown_escape(text: str) -> str:
@@ -42,9 +43,16 @@ def image_markdown(alt: str, src: str) -> str:
                 otherwise=f"concat('![', {markdown_escape(alt)}, '](', {link_target(src)}, ')')")
 
 
+def _code_spans(marked: str) -> str:
+    """Text between code marks, raw so far, as code spans."""
+    span = lambda p: (
+        f"concat({inline_code(extract(p, f'^[^{CODE_END}]*'))}, {substitute(p, f'^[^{CODE_END}]*{CODE_END}?')})")
+    return (f"array_join(transform(split({marked}, {lit(CODE_OPEN)}), (p, i) -> if(i = 0, p, {span('p')})), '')")
+
+
 def render_inline(marked: str, links: bool = True) -> str:
     """Put a block's marked text together: wrappers trimmed inside, empty ones dropped."""
-    out = marked
+    out = case((f"contains({marked}, {lit(CODE_OPEN)})", _code_spans(marked)), otherwise=marked)
     opens = "".join(o for o, _, _ in MARKS.values()) + LINK_END
     closes = "".join(c for _, c, _ in MARKS.values()) + LINK_CLOSE
     empty = "|".join(o + c for o, c, _ in MARKS.values()) + f"|{LINK_OPEN}[^{LINK_END}]*{LINK_END}{LINK_CLOSE}"

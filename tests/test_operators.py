@@ -99,12 +99,12 @@ def test_csv_round_trip(spark, tmp_path):
     values = ['a,"b"', "line\nbreak", " edge ", "=1+1", "", "é"]
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "page_id int, pos int, v string")
     text = csv_documents(df, ["pos", "v"], "pos").first().document
-    assert text.startswith("﻿")
-    back = list(csv.reader(io.StringIO(text.lstrip("﻿"), newline="")))
+    assert text.startswith("\ufeff")
+    back = list(csv.reader(io.StringIO(text.lstrip("\ufeff"), newline="")))
     assert [r[1] for r in back[1:]] == ['a,"b"', "line\nbreak", " edge ", "'=1+1", "", "é"]
     write_csv(df.coalesce(1), str(tmp_path / "out"), ["pos", "v"])
     parts = [p.read_bytes() for p in (tmp_path / "out").glob("part-*") if p.stat().st_size]
-    assert len(parts) == 1 and parts[0].startswith("﻿pos,v\r\n".encode())
+    assert len(parts) == 1 and parts[0].startswith("\ufeffpos,v\r\n".encode())
 
 
 def test_schema_and_layer_documents(page):
