@@ -1,0 +1,30 @@
+"""Order-dependent helpers: numbering, caps and budgets inside one page."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from crawlsift.operators.links import keep_first
+
+__all__ = ["cap_per_page", "keep_first", "running_budget", "with_index"]
+
+
+def with_index(df: DataFrame, order: str, keys: list[str] | None = None, name: str = "index") -> DataFrame:
+    """Position from 0 inside each key."""
+    return df.selectExpr("*", f"row_number() OVER (PARTITION BY {', '.join(keys or ['page_id'])} ORDER BY {order}) - 1 AS {name}")
+
+
+def cap_per_page(df: DataFrame, n: int, order: str, keys: list[str] | None = None) -> DataFrame:
+    """First n rows per key with `truncated`, which says whether there were more."""
+    by = ", ".join(keys or ["page_id"])
+    ranked = df.selectExpr("*", f"row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS _n",
+                           f"count(*) OVER (PARTITION BY {by}) > {n} AS truncated")
+    return ranked.filter(f"_n <= {n}").drop("_n")
+
+
+def running_budget(df: DataFrame, size: str, limit: int, order: str, keys: list[str] | None = None) -> DataFrame:
+    """Rows until the sizes before them reach the limit."""
+    by = ", ".join(keys or ["page_id"])
+    spent = (f"coalesce(sum({size}) OVER (PARTITION BY {by} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+             "AS _spent")
+    return df.selectExpr("*", spent).filter(f"_spent < {limit}").drop("_spent")

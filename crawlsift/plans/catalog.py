@@ -14,6 +14,7 @@ from crawlsift.extract import store as ST
 from crawlsift.extract import structured as SD
 from crawlsift.extract import tables as TB
 from crawlsift.extract.markup import html_tokens, parse_pages
+from crawlsift.extract.tokens import extract_tokens, with_context
 from crawlsift.functions.csv import csv_field
 from crawlsift.functions.markdown import inline_code, markdown_escape
 from crawlsift.functions.text import clip, count_words, js_length, normalise_alnum
@@ -84,6 +85,15 @@ query("tokens", "SELECT page_id, CAST(length(html) AS BIGINT) AS chars, true AS
     lambda s, d: load_pages(s, d).selectExpr("page_id", "html", f"array_join({html_tokens('html')}, '') AS j").selectExpr(
         "page_id", "CAST(length(j) AS BIGINT) AS chars", "j = html AS lossless"))
 
+query("tag_contexts", """SELECT page_id, CAST(len(regexp_extract_all(html, '<a ')) AS BIGINT) AS links,
+  CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS items, CAST(len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*)</nav>', 1),
+  '<a ')) AS BIGINT) AS in_nav, CAST(len(regexp_extract_all(html, '<!--')) AS BIGINT) AS comments FROM pages""")(
+    lambda s, d: with_context(extract_tokens(load_pages(s, d)), ["nav"]).groupBy("page_id").agg(
+        F.expr("count_if(tag = 'a' AND attrs['href'] IS NOT NULL)").alias("links"),
+        F.expr("count_if(tag = 'li' AND NOT closing)").alias("items"),
+        F.expr("count_if(tag = 'a' AND NOT closing AND in_nav = 1)").alias("in_nav"),
+        F.expr("count_if(kind = 'comment')").alias("comments")))
+
 query("page_titles", f"SELECT page_id, {_TITLE} AS title, 1 AS title_count FROM pages")(
     lambda s, d: X.extract_title(_pages(s, d)))
 
@@ -123,7 +133,8 @@ FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'file:///a' || page_id WHEN 1
     page_id) WHEN 1 THEN concat('chrome://settings/', page_id) WHEN 2 THEN concat('https://chromewebstore.google.com/', page_id)
     WHEN 3 THEN concat('view-source:', url) ELSE url END AS url""")).drop("blocked_hint"))
 
-query("content_roots")(lambda s, d: B.select_content_root(_pages(s, d)))
+query("content_roots", """SELECT page_id, CASE WHEN list_sum(list_transform(regexp_split_to_array(regexp_extract(html,
+  '(?s)<article>(.*)</article>', 1), '<[^>]*>'), lambda t: length(trim(t)))) > 200 THEN 'article' ELSE 'body' END AS root FROM pages""")(lambda s, d: B.select_content_root(_pages(s, d)))
 
 query("page_markdown_sizes")(lambda s, d: MD.render_markdown(
     B.extract_blocks(_pages(s, d)), MD.page_headers(_pages(s, d))).selectExpr("page_id", "length(markdown) AS chars"))
@@ -575,7 +586,8 @@ query("first_sightings", """SELECT event_type AS url, min(event_id) AS page_id,
 query("csv_fields", """SELECT doc_id, CASE WHEN regexp_matches(f, '[,"\\r\\n]') OR f <> trim(f, E' \\t\\n\\r') THEN '"' || replace(f, '"', '""') || '"' ELSE f END AS field
 FROM (SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+@\\t\\r-]') THEN chr(39) || text ELSE text END AS f FROM documents)""")(
     lambda s, d: _read(s, d, "documents").selectExpr("doc_id", f"{csv_field('text')} AS field"))
-query("markdown_escaped")(lambda s, d: _read(s, d, "documents").selectExpr("doc_id", f"{markdown_escape('text')} AS escaped"))
+query("markdown_escaped", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([\\`*_\[\]<>])', '\\\1', 'g'),
+  '^(\s*)([-+#])(\s)', '\1\\\2\3'), '^(\s*[0-9]+)([.)])(\s)', '\1\\\2\3') AS escaped FROM documents""")(lambda s, d: _read(s, d, "documents").selectExpr("doc_id", f"{markdown_escape('text')} AS escaped"))
 query("document_measures", """SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS INTEGER) AS words,
   regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS alnum FROM documents""")(
     lambda s, d: _read(s, d, "documents").selectExpr("doc_id", f"{count_words('text')} AS words", f"{normalise_alnum('text')} AS alnum"))
