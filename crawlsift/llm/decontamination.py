@@ -5,7 +5,7 @@ of a window of m bytes shares at least m + 1 - q * (k + 1) q-grams with it, on d
 in the benchmark; of those, the stretches dense enough; in these, shared q-grams counted by window and by overlapping diagonal bands; and
 where a band reaches the bound, alignment within the band decides. The budget k is `edits` of the window's length.
 
-Texts are compared as UTF-8 with A-Z in lower case and any of space and 09-0D as a space.
+Texts are compared as UTF-8 in lower case, with any of space and 09-0D as a space.
 
 Cases: null or empty texts hold nothing; null or empty items and those shorter than `least` bytes match nothing; items that repeat an id
 count together; an empty benchmark or table gives no rows.
@@ -29,12 +29,12 @@ Q = 12
 SHARD_BYTES = 16 << 20
 #: Bytes of a document that are looked at together; neighbouring stretches overlap by a window and its budget.
 STRETCH = 1 << 20
-_FOLD = bytes(32 if i in b"\t\n\x0b\x0c\r" else i + 32 if 65 <= i <= 90 else i for i in range(256))
+_FOLD = bytes(32 if i in b"\t\n\x0b\x0c\r" else i for i in range(256))
 _BITS = 22
 
 
 def folded(text: bytes) -> bytes:
-    return text.translate(_FOLD)
+    return (text if text.isascii() else text.decode().lower().encode()).lower().translate(_FOLD)
 
 
 def _grams(data: bytes) -> np.ndarray:
@@ -74,7 +74,7 @@ class Windows:
                 ids.append(item)
                 texts.append(text[s : s + window])
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        budget = np.minimum((sizes * edits).astype(np.int64), np.maximum(0, (sizes - Q) // Q - 0))
+        budget = np.minimum((sizes * edits).astype(np.int64), np.maximum(0, sizes // Q - 1))
         keys = [_grams(t) for t in texts]
         grams = np.concatenate(keys) if keys else np.empty(0, np.uint64)
         owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
@@ -164,7 +164,7 @@ def passages(data: bytes, w: Windows) -> list[tuple[int, int, int, int]]:
 def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = 100, edits: float = 0.06, least: int = 40) -> DataFrame:
     """doc_id, item_id, edits, windows, start, end: the items of which at least one window stands in a document.
 
-    edits are the fewest of any window; start and end span all of them, in bytes of the text.
+    edits are the fewest of any window; start and end span all of them, in bytes of the lower-cased text.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), utf8(F.col("text")).alias("text")).where("item_id IS NOT NULL")
