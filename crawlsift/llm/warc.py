@@ -11,11 +11,13 @@ first unless all are null; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import string
 from collections.abc import Iterable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +39,13 @@ def write_archive(pages: DataFrame, revisit_bytes: int = 100, chunk_bytes: int =
     """Writes the record table into the shared folder and returns it as read from there. `date` is the capture time that all records state."""
 
     def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count_of = TaskContext.get().partitionId(), itertools.count()
         for batch in small_batches(batches, 64):
             out: list[list] = [[], [], [], [], []]
             ids, urls, digests, refers, lengths = (batch[c].to_pylist() for c in ("page_id", "url", "digest", "refers_to", "length"))
             payloads = batch["payload"]
             for i, (page, url, digest, ref, length) in enumerate(zip(ids, urls, digests, refers, lengths)):
-                record = f"<urn:page:{'' if page is None else page}>"
+                record = f"<urn:page:{'' if page is None else page}#{task}.{next(count_of)}>"  # unique also where rows repeat an id
                 size = 0 if ref is not None else length
                 head = [
                     "WARC/1.1", f"WARC-Type: {'response' if ref is None else 'revisit'}", f"WARC-Record-ID: {record}", f"WARC-Date: {date}",
@@ -107,7 +110,7 @@ def read_archive(chunks: DataFrame) -> DataFrame:
 
     long = chunks.where("chunks > 1").repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(stream, "head string, sha string, n long")
     of = lambda name: _header(F.col("head"), name)
-    page = lambda name: F.nullif(F.regexp_extract(of(name), r"<urn:page:(-?\d*)>", 1), F.lit("")).cast("long")
+    page = lambda name: F.nullif(F.regexp_extract(of(name), r"<urn:page:(-?\d*)(?:#[\d.]+)?>", 1), F.lit("")).cast("long")
     rows = short.union(long).select(
         page("WARC-Record-ID").alias("page_id"), of("X-Payload-Length").cast("long").alias("stated"), F.regexp_replace(of("WARC-Payload-Digest"), "^sha256:", "").alias("stated_digest"),
         of("WARC-Type").alias("record_type"), page("WARC-Refers-To").alias("refers_to"), "sha", "n")
