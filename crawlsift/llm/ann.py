@@ -132,6 +132,7 @@ def _blocks(rows: DataFrame, keys: list[str], ident: str, block: int, to: str) -
     """The rows of each key, in lists of about `block` rows at most."""
     n = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("parts"))
     dealt = rows.join(n, keys).withColumn("part", F.pmod(F.xxhash64(F.lit(to), ident), F.col("parts")))
+    dealt = dealt.repartition(*keys, "part")  # else a full bucket would stay where the join has put it
     return dealt.groupBy(*keys, "part").agg(F.collect_list(F.struct(F.col(ident).alias("id"), "vec")).alias(to))
 
 
