@@ -217,12 +217,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, region:
     signed = written(signatures(rows, words))
     shape = ["n_shingles", "f1", "f2"]
     real = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    reps = real.groupBy(*shape).agg(F.min("doc_id").alias("rep"))
+    reps = written(real.groupBy(*shape).agg(F.min("doc_id").alias("rep")))
     classes = written(real.join(reps, (real.doc_id == reps.rep) & (real.f1 == reps.f1) & (real.f2 == reps.f2) & (real.n_shingles == reps.n_shingles), "left_semi").select(F.col("doc_id").alias("rep"), "sig").distinct())
     pairs = written(candidates(classes, region, percent / 100 - slack))
     links = confirmed(pairs, rows.where("doc_id IS NOT NULL"), words, percent)
     roots = components(links)
-    named = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*shape, F.coalesce("root", "rep").alias("root"))
+    named = written(reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*shape, F.coalesce("root", "rep").alias("root")))
     found = signed.select("doc_id", *shape).join(named, shape, "left")
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return found.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
