@@ -28,6 +28,8 @@ from .shared import small_batches, utf8, written
 
 BUCKETS = 256
 LN10 = float(np.log(10))
+#: Words whose codes a worker keeps.
+MEMO = 400_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -65,26 +67,29 @@ class Vocabulary:
         return n / n.sum()
 
 
-class Reader:
-    """Symbols of words in a worker."""
+class Reader(dict):
+    """Codes of words in a worker: the rank of a frequent word, else the bucket as a negative number."""
 
     def __init__(self, vocabulary: Vocabulary):
+        super().__init__(vocabulary.rank)
         self.v = vocabulary
-        self.symbol = {w: r for w, r in vocabulary.rank.items() if r < vocabulary.symbols}
-        self.memo: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known, memo, first = self.symbol, self.memo, self.v.symbols
-        out = []
-        for word in words:
-            s = known.get(word)
-            if s is None:
-                tail = word[-2:]
-                s = memo.get(tail)
-                if s is None:
-                    s = memo[tail] = first + bucket_of(word)
-            out.append(s)
-        return np.array([*out, self.v.end], dtype=np.int32)
+        later = [bucket_of(w) for w, r in sorted(vocabulary.rank.items(), key=lambda x: x[1]) if r >= vocabulary.symbols]
+        self.symbol_of_rank = np.concatenate([np.arange(vocabulary.symbols), vocabulary.symbols + np.array(later, dtype=np.int64), [vocabulary.end]]).astype(np.int32)
+
+    def __missing__(self, word: bytes) -> int:
+        code = -1 - bucket_of(word)
+        if len(self) < MEMO:
+            self[word] = code
+        return code
+
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def symbols(self, codes: np.ndarray) -> np.ndarray:
+        """Symbols of a text's words, and the end."""
+        own = self.symbol_of_rank[np.append(np.maximum(codes, 0), len(self.symbol_of_rank) - 1)]
+        own[:-1][codes < 0] = self.v.symbols - 1 - codes[codes < 0]
+        return own
 
 
 def build_vocabulary(counts: DataFrame, texts: int, symbols: int, head: int) -> Vocabulary:
@@ -159,7 +164,7 @@ def _contexts(symbols: np.ndarray, end: int) -> np.ndarray:
     return np.stack([np.concatenate([[end], symbols[:-1]]), np.concatenate([[end, end], symbols[:-2]])[: len(symbols)]], axis=1)
 
 
-def train_model(texts: DataFrame, vocabulary: Vocabulary, width: int = 16, samples: int = 24, batch: int = 2048, rate: float = 0.05, seed: int = 5) -> LogBilinear:
+def train_model(texts: DataFrame, vocabulary: Vocabulary, width: int = 16, samples: int = 24, batch: int = 1024, rate: float = 0.15, seed: int = 5) -> LogBilinear:
     """Every training token of the one binary column is learned from, in the partition that holds it."""
     spark = texts.sparkSession
     noise = vocabulary.noise()
@@ -179,7 +184,7 @@ def train_model(texts: DataFrame, vocabulary: Vocabulary, width: int = 16, sampl
 
         for part in small_batches(batches):
             for text in part[0].to_pylist():
-                symbols = reader(words_of(text))
+                symbols = reader.symbols(reader.codes(words_of(text)))
                 waiting.append((_contexts(symbols, reader.v.end), symbols))
                 held += len(symbols)
                 seen += len(symbols)
@@ -215,26 +220,19 @@ def score_texts(docs: DataFrame, is_training: Column, symbols: int = 768, head:
     def scan(pairs: Iterator[tuple]) -> Iterator[tuple[list, Counter]]:
         v, lead, both = tables.value
         reader = Reader(v)
-        logs = np.log10(v.counts + 1.0).tolist()
+        logs = np.append(np.log10(v.counts + 1.0), 0.0)
+        apart_logs = np.where(np.arange(len(logs)) >= v.symbols, logs, 0.0)
         shares = np.concatenate([np.zeros(v.symbols), np.log10(v.bucket_total + 1.0), [0.0]])
         end_log = float(np.log10(v.texts + 1.0))
-        rank = v.rank
         for doc_id, text in pairs:
             words = words_of(text)
-            s = reader(words)
+            codes = reader.codes(words)
+            s = reader.symbols(codes)
             c = _contexts(s, v.end)
             model = float((lead[0][c[:, 0], s] + lead[1][c[:, 1], s]).sum(dtype=float) - both[c[:, 0], c[:, 1]].sum(dtype=float) - shares[s].sum())
-            base, apart, known, rest = end_log, 0.0, int(v.texts > 0), Counter()
-            for word, n in Counter(words).items():
-                r = rank.get(word)
-                if r is None:
-                    rest[word] = n
-                else:
-                    base += n * logs[r]
-                    known += n
-                    if r >= v.symbols:
-                        apart += n * logs[r]
-            yield [doc_id, len(s), known, base, model + apart], rest
+            frequent = codes[codes >= 0]
+            rest = Counter(map(words.__getitem__, np.flatnonzero(codes < 0).tolist()))
+            yield [doc_id, len(s), len(frequent) + int(v.texts > 0), end_log + float(logs[frequent].sum()), model + float(apart_logs[frequent].sum())], rest
 
     fields = {"doc_id": "long", "n_tokens": "long", "known": "long", "base": "double", "model": "double"}
     rare = counts.where(F.col("n") < (int(vocabulary.counts.min()) if len(vocabulary.counts) else 1 << 62)).select("term", F.col("n").alias("c"))
