@@ -67,7 +67,7 @@ def _hidden() -> str:
 
 
 def extract_blocks(parsed: DataFrame, links: bool = True, images: bool = True, max_nesting: int = 24,
-                   cap: int | None = 4000) -> DataFrame:
+                   cap: int | None = None) -> DataFrame:
     """blocks(page_id, pos, type, level, raw, marked, chain, base).
 
     `type` is heading, paragraph, code-block, table, figure or hr. `marked` is the text of a heading or paragraph with

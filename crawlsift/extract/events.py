@@ -12,8 +12,8 @@ _STATIC = r"""(?<![\w$.])(?:window\.)?([A-Za-z_$][\w$]*)\.push\(\s*(\{(?:[^{}"']
 _RANK = "coalesce(nullif(array_position(array(" + ", ".join(f"'{n}'" for n in LAYER_NAMES) + "), {}), 0), 99)"
 
 
-def extract_layers(parsed: DataFrame, runtime: DataFrame | None = None, layers: int | None = 8,
-                   entries: int | None = 500) -> DataFrame:
+def extract_layers(parsed: DataFrame, runtime: DataFrame | None = None, layers: int | None = None,
+                   entries: int | None = None) -> DataFrame:
     """layer_entries(page_id, layer, index, raw, value VARIANT, total, truncated, evidence_kind).
 
     With a captured-crawl table, its `layers ARRAY<STRUCT<name, total, entries ARRAY<STRING>>>` (JSON texts);

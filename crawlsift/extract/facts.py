@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from crawlsift.extract.markup import (
     attr, attr_or, body_of, elements, has_attr, head_of, open_tag, tags, text_content,
 )
+from crawlsift.functions.json import whole_json
 from crawlsift.functions.sql import any_of, case, each, extract, extract_all, keep, let, lit, matches, struct, substitute
 from crawlsift.functions.text import clip, count_words, decode_entities, first_n, js_trim, nonblank
 from crawlsift.functions.urls import absolute_or, resolve_url
 
-MAX_TEXT = 300
+#: Texts stay whole; a report may clip its own columns.
+MAX_TEXT = None
 # The tags a page is asked for, and the elements that do not break a line of text.
 META_KEYS = ["description", "viewport", "robots", "author", "theme-color", "generator"]
 OG_KEYS = ["title", "description", "image", "url", "type", "site_name", "image:alt"]
@@ -94,9 +96,9 @@ def link_array(markup: str, base: str) -> str:
         return struct(
             declared=f"{s}.declared", raw=js_trim(f"{s}.declared"),
             href=resolve_url(base, js_trim(f"{s}.declared")),
-            text=clip(f"{s}.content", 200), aria_label=clip(f"{s}.aria", 200),
-            image_alt=clip(attr(f"get({s}.images, 0)", "alt"), 200, "empty"), title=clip(f"{s}.title", 200, "empty"),
-            rel=f"lower({clip(s + '.rel', 200, 'empty')})", target=clip(f"{s}.target", 200, "empty"),
+            text=clip(f"{s}.content", MAX_TEXT), aria_label=clip(f"{s}.aria", MAX_TEXT),
+            image_alt=clip(attr(f"get({s}.images, 0)", "alt"), MAX_TEXT, "empty"), title=clip(f"{s}.title", MAX_TEXT, "empty"),
+            rel=f"lower({clip(s + '.rel', MAX_TEXT, 'empty')})", target=clip(f"{s}.target", MAX_TEXT, "empty"),
             named=f"{label} IS NOT NULL")
 
     anchors = keep(elements(markup, "a"), lambda f: matches(f, r"(?i)^<a\s[^>]*href"))
@@ -153,7 +155,7 @@ def is_jsonld(script: str) -> str:
     return f"lower({attr(script + '.tag', 'type')}) = 'application/ld+json'"
 
 
-def jsonld_type_array(scripts: str, limit: int | None = 20) -> str:
+def jsonld_type_array(scripts: str, limit: int | None = None) -> str:
     """@type of each top-level entry; no more blocks are read once `limit` entries are there."""
 
     def type_of(e: str) -> str:
@@ -165,7 +167,7 @@ def jsonld_type_array(scripts: str, limit: int | None = 20) -> str:
         entries = f"coalesce(try_variant_get({block}, '$', 'array<variant>'), array({block}))"
         return case((f"{block} IS NULL", "array('Invalid JSON-LD')"), otherwise=each(entries, type_of))
 
-    blocks = each(keep(scripts, is_jsonld), lambda s: let(f"try_parse_json({s}.body)", types_of))
+    blocks = each(keep(scripts, is_jsonld), lambda s: let(whole_json(f"{s}.body"), types_of))
     if limit is None:
         return f"flatten({blocks})"
     return (f"aggregate({blocks}, CAST(array() AS ARRAY<STRING>), "
@@ -216,12 +218,12 @@ def extract_canonical(parsed: DataFrame) -> DataFrame:
                     "canonical_count"))
 
 
-def extract_headings(parsed: DataFrame, cap: int | None = 100) -> DataFrame:
+def extract_headings(parsed: DataFrame, cap: int | None = None) -> DataFrame:
     return explode_items(parsed, first_n(heading_array("markup"), cap))
 
 
-def extract_links(parsed: DataFrame, cap: int | None = 5000) -> DataFrame:
-    """links(page_id, origin, pos, raw, href, text, ..., total, truncated): capped rows, true total."""
+def extract_links(parsed: DataFrame, cap: int | None = None) -> DataFrame:
+    """links(page_id, origin, pos, raw, href, text, ..., total, truncated): all rows unless `cap` is given, true total."""
     rows = parsed.selectExpr("page_id", "origin", f"{link_array('markup', 'base')} AS _l").selectExpr(
         "*", "size(_l) AS total")
     links = explode_items(rows, first_n("_l", cap), ["page_id", "origin", "total"])
@@ -229,16 +231,16 @@ def extract_links(parsed: DataFrame, cap: int | None = 5000) -> DataFrame:
     return links.drop("declared", "named").selectExpr("*", f"{truncated} AS truncated")
 
 
-def extract_images(parsed: DataFrame, cap: int | None = 2000) -> DataFrame:
+def extract_images(parsed: DataFrame, cap: int | None = None) -> DataFrame:
     return explode_items(parsed, first_n(image_array("markup", "base"), cap), index="index")
 
 
-def extract_hreflang(parsed: DataFrame, cap: int | None = 20) -> DataFrame:
+def extract_hreflang(parsed: DataFrame, cap: int | None = None) -> DataFrame:
     rows = parsed.selectExpr("page_id", "base", f"{link_tag_array('markup')} AS _link_tags")
     return explode_items(rows, _resolved_alternates(_ALTERNATES, cap))
 
 
-def extract_jsonld_types(parsed: DataFrame, cap: int | None = 20) -> DataFrame:
+def extract_jsonld_types(parsed: DataFrame, cap: int | None = None) -> DataFrame:
     return explode_items(parsed, jsonld_type_array("scripts", cap)).withColumnRenamed("value", "type")
 
 
@@ -296,9 +298,9 @@ def extract_page_facts(parsed: DataFrame, samples: int = 5) -> DataFrame:
         f"{absolute_or('base', 'canonical_raw', 'null')} AS canonical", "canonical_raw",
         "size(_canonicals) AS canonical_count", "robots", "author", "theme_color",
         f"{struct(**og)} AS og", f"{struct(**twitter)} AS twitter",
-        "slice(_headings, 1, 100) AS headings", f"{n('_headings', lambda h: f'{h}.level = 1')} AS h1_count",
+        "_headings AS headings", f"{n('_headings', lambda h: f'{h}.level = 1')} AS h1_count",
         f"{image_counts} AS images", f"{link_counts} AS links",
-        f"{_resolved_alternates('_alternates', 20)} AS hreflang", "structured_data", "word_count", *extra)
+        f"{_resolved_alternates('_alternates', None)} AS hreflang", "structured_data", "word_count", *extra)
 
 
 def seo_link_counts(parsed: DataFrame, samples: int = 5) -> DataFrame:

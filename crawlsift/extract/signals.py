@@ -26,8 +26,8 @@ def _with_runtime(rows: DataFrame, runtime: DataFrame | None, fields: dict[str,
     return rows.join(captured, "page_id", "left")
 
 
-def inline_text(scripts: str, each_max: int | None = 20000, total_max: int | None = 120000) -> str:
-    """Scripts without src, joined; long blobs are bundles, not snippets, and are left out."""
+def inline_text(scripts: str, each_max: int | None = None, total_max: int | None = None) -> str:
+    """Scripts without src, joined."""
     bodies = keep(scripts, lambda s: f"coalesce({attr(s + '.tag', 'src')}, '') = '' AND {s}.body <> ''")
     texts = each(bodies, lambda s: f"{s}.body")
     if each_max is not None:
@@ -46,8 +46,8 @@ def _globals_in(inline: str, watched: list[str]) -> str:
                                      lambda w: f"array_contains({f}, {w})"))
 
 
-def tracking_signals(parsed: DataFrame, runtime: DataFrame | None = None, scripts: int | None = 300,
-                     iframes: int | None = 100, cookies: int | None = 200) -> DataFrame:
+def tracking_signals(parsed: DataFrame, runtime: DataFrame | None = None, scripts: int | None = None,
+                     iframes: int | None = None, cookies: int | None = None) -> DataFrame:
     """(page_id, url, globals, scripts, iframes, cookie_names, gtm_containers, inline, evidence_kind)."""
     sources = each(keep("scripts", lambda s: f"{attr_or(s + '.tag', 'src')} <> ''"),
                    lambda s: absolute_or("base", attr(s + ".tag", "src"), "raw"))
@@ -63,14 +63,14 @@ def tracking_signals(parsed: DataFrame, runtime: DataFrame | None = None, script
         "page_id", "url", f"coalesce(rt_globals, {_globals_in('inline', trackers.WATCHED_GLOBALS)}) AS globals",
         "scripts", "iframes", f"coalesce({first_n(names, cookies)}, {_NO_TEXTS}) AS cookie_names",
         f"coalesce({keep('rt_gtm_containers', lambda k: f'startswith({k}, {lit('GTM-')})')}, {_NO_TEXTS}) "
-        "AS gtm_containers", "inline", "if(rt_globals IS NULL, 'static', 'runtime') AS evidence_kind")
+        "AS gtm_containers", "inline", "if(coalesce(rt_globals, rt_cookie_names, rt_gtm_containers) IS NULL, 'static', 'runtime') AS evidence_kind")
 
 
 def _marker_test(rule: dict, tag: str) -> str:
     tests = [f"{attr(tag, a)} IS NOT NULL" for a in rule.get("attr", [])]
     tests += [f"{attr(tag, 'id')} = {lit(i)}" for i in rule.get("id", [])]
     tests += [matches(tag, rf"(?i)^<{t}[\s/>]") for t in rule.get("tag", [])]
-    words = f"concat(' ', {clip(attr_or(tag, 'class'), 100000)}, ' ')"
+    words = f"concat(' ', {clip(attr_or(tag, 'class'), None)}, ' ')"
     tests += ["(" + " AND ".join(f"contains({words}, {lit(f' {c} ')})" for c in names) + ")"
               for names in rule.get("class", [])]
     tests += [f"contains({attr_or(tag, 'class')}, {lit(p)})" for p in rule.get("class_part", [])]
@@ -83,7 +83,7 @@ def _marker_hint(rule: dict) -> str:
     return "(" + " OR ".join(f"contains(lower(markup), {lit(w.lower())})" for w in words) + ")"
 
 
-def stack_signals(parsed: DataFrame, runtime: DataFrame | None = None, urls: int | None = 300,
+def stack_signals(parsed: DataFrame, runtime: DataFrame | None = None, urls: int | None = None,
                   markers: dict[str, dict] | None = None) -> DataFrame:
     """(page_id, url, globals, versions, markers, urls, generator, html_class, body_class, evidence_kind)."""
     markers = technologies.MARKERS if markers is None else markers
@@ -94,7 +94,7 @@ def stack_signals(parsed: DataFrame, runtime: DataFrame | None = None, urls: int
         "base", f"coalesce(nullif({case((matches(t, '(?i)^<script'), attr(t, 'src')))}, ''), {attr_or(t, 'href')})",
         "raw")), lambda u: f"{u} <> ''")
     generator = keep(tags("markup", "meta"), lambda t: f"{attr(t, 'name')} = 'generator'")
-    klass = lambda tag: f"substr({attr_or(f'get({tags('markup', tag)}, 0)', 'class')}, 1, 500)"
+    klass = lambda tag: attr_or(f"get({tags('markup', tag)}, 0)", 'class')
     ng = f"get({keep('_tags', lambda t: attr(t, 'ng-version') + ' IS NOT NULL')}, 0)"
     rows = parsed.selectExpr("*", f"{extract_all('markup', '<[A-Za-z][^>]*>')} AS _tags").selectExpr(
         "page_id", "url", f"array_compact({found}) AS markers",
@@ -113,7 +113,7 @@ def stack_signals(parsed: DataFrame, runtime: DataFrame | None = None, urls: int
         "map_concat(coalesce(map_filter(rt_versions, (k, v) -> k <> 'angular'), map()), "
         "if(ng_version IS NULL, map(), map('angular', ng_version))) AS versions",
         "markers", "urls", "generator", "html_class", "body_class",
-        "if(rt_globals IS NULL, 'static', 'runtime') AS evidence_kind")
+        "if(rt_globals IS NULL AND rt_versions IS NULL, 'static', 'runtime') AS evidence_kind")
 
 
 def long_signals(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:

@@ -108,8 +108,8 @@ def _variants() -> str:
     return f"coalesce({each(objects(own), theme)}, {each(keep(group, stub_free), offer)}, {each(objects(analytics), theme)})"
 
 
-def extract_store(parsed: DataFrame, runtime: DataFrame | None = None, urls: int | None = 400,
-                  variants: int | None = 250, images: int | None = 50, sections: int | None = 60) -> DataFrame:
+def extract_store(parsed: DataFrame, runtime: DataFrame | None = None, urls: int | None = None,
+                  variants: int | None = None, images: int | None = None, sections: int | None = None) -> DataFrame:
     """stores(page_id, url, has_global, shop, locale, ..., theme, page, product, seo, urls, variants).
 
     `runtime` may carry `shop STRING`: JSON {"shopify": {...}, "meta": {...}, "customer": id} as captured from the live
@@ -158,8 +158,8 @@ def extract_store(parsed: DataFrame, runtime: DataFrame | None = None, urls: int
     media = keep(each(first_n(image_source, images), lambda i: absolute_or("base", image_url(i), "raw")), lambda u: f"{u} <> ''")
     option = lambda o: struct(
         name=case((f"schema_of_variant({o}) = 'STRING'", f"CAST({o} AS STRING)"), otherwise=v_text(o, "name")),
-        values=f"coalesce(slice(try_variant_get({o}, '$.values', 'array<string>'), 1, 50), CAST(array() AS ARRAY<STRING>))")
-    opts = each("slice(try_variant_get(product, '$.options', 'array<variant>'), 1, 10)", option)
+        values=f"coalesce(try_variant_get({o}, '$.values', 'array<string>'), CAST(array() AS ARRAY<STRING>))")
+    opts = each("try_variant_get(product, '$.options', 'array<variant>')", option)
     first = lambda path, other: f"coalesce(nullif({v_id('meta', 'product.' + path)}, ''), {v_id('product', other)})"
     trimmed = lambda path: js_trim(first(path, path))
     theme = struct(id=v_id("theme_json", "id"), name=v_text("theme_json", "name"), role=v_text("theme_json", "role"),
@@ -174,15 +174,15 @@ def extract_store(parsed: DataFrame, runtime: DataFrame | None = None, urls: int
         knows_stock="exists(_v, v -> v.available IS NOT NULL)",
         id=first("id", "id"), handle=f"coalesce(nullif({v_text('product', 'handle')}, ''), {v_text('meta', 'product.handle')})",
         title=f"coalesce(nullif({v_text('product', 'title')}, ''), {v_text('product', 'name')})",
-        description=f"substr({description}, 1, 1000)", vendor=trimmed("vendor"), type=trimmed("type"),
-        tags="coalesce(slice(try_variant_get(product, '$.tags', 'array<string>'), 1, 50), CAST(array() AS ARRAY<STRING>))",
+        description=description, vendor=trimmed("vendor"), type=trimmed("type"),
+        tags="coalesce(try_variant_get(product, '$.tags', 'array<string>'), CAST(array() AS ARRAY<STRING>))",
         published_at=v_text("product", "published_at"),
         price_from=f"coalesce({v_cents('product', 'price')}, {offer_price_cents('product')})",
         compare_at_price=v_cents("product", "compare_at_price"),
         available=f"coalesce(try_variant_get(product, '$.available', 'boolean'), {offer_available('product')})",
         variant_count="size(_v)", available_variant_count="size(filter(_v, v -> coalesce(v.available, false)))",
         missing_sku="size(filter(_v, v -> v.sku = ''))",
-        image_count="size(_images)", images="slice(_images, 1, 12)", options=f"coalesce({opts}, array())",
+        image_count="size(_images)", images="_images", options=f"coalesce({opts}, array())",
         source=f"CASE WHEN product IS NOT NULL THEN 'product-json' WHEN {v_truthy('meta', 'product.id')} "
                "THEN 'analytics-meta' ELSE 'none' END")
     tag = lambda key: js_trim(f"coalesce(get({meta_matches('metas', key)}, 0).content, '')")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from crawlsift.extract.facts import explode_items, is_jsonld
 from crawlsift.extract.markup import VOID_TAGS, attr, attr_or
-from crawlsift.functions.json import below, children, has_value, is_container, normalise_type
+from crawlsift.functions.json import below, children, has_value, is_container, normalise_type, whole_json
 from crawlsift.functions.sql import case, each, extract_all, in_list, keep, let, lit, struct
 from crawlsift.functions.text import WS, clip, decode_entities, first_n
 from crawlsift.functions.urls import absolute_or
@@ -14,11 +14,11 @@ from crawlsift.functions.urls import absolute_or
 _NODES = "CAST(array() AS ARRAY<STRUCT<path STRING, ord STRING, raw STRING>>)"
 
 
-def extract_jsonld(parsed: DataFrame, cap: int | None = 50) -> DataFrame:
+def extract_jsonld(parsed: DataFrame, cap: int | None = None) -> DataFrame:
     """jsonld_blocks(page_id, block, ok, raw, data VARIANT, error, excerpt)."""
     bodies = first_n(keep("scripts", is_jsonld), cap)
     rows = explode_items(parsed, each(bodies, lambda s: struct(raw=f"trim({s}.body)")), index="block")
-    return rows.selectExpr("page_id", "block", "raw", "try_parse_json(raw) AS data").selectExpr(
+    return rows.selectExpr("page_id", "block", "raw", f"{whole_json('raw')} AS data").selectExpr(
         "page_id", "block", "data IS NOT NULL AS ok", "raw", "data",
         "if(data IS NULL, 'Invalid JSON', NULL) AS error",
         f"if(data IS NULL, substr({clip('raw', 500)}, 1, 200), NULL) AS excerpt")
@@ -115,14 +115,14 @@ def element_intervals(parsed: DataFrame, hint: str, carry: list[str]) -> DataFra
 def _property_value(text: str) -> str:
     link = lambda name: absolute_or("base", attr_or("tok", name), "raw")
     return case(
-        ("scope", "NULL"), ("tag = 'meta'", clip(attr("tok", "content"), 500, "empty")),
+        ("scope", "NULL"), ("tag = 'meta'", clip(attr("tok", "content"), None, "empty")),
         ("tag IN ('a', 'area', 'link')", link("href")), (in_list("tag", _SRC_TAGS), link("src")),
-        ("tag = 'object'", link("data")), ("tag IN ('data', 'meter')", clip(attr("tok", "value"), 500, "empty")),
-        ("tag = 'time'", clip(f"coalesce(nullif({attr('tok', 'datetime')}, ''), {text})", 500, "empty")),
-        otherwise=clip(text, 500, "empty"))
+        ("tag = 'object'", link("data")), ("tag IN ('data', 'meter')", clip(attr("tok", "value"), None, "empty")),
+        ("tag = 'time'", clip(f"coalesce(nullif({attr('tok', 'datetime')}, ''), {text})", None, "empty")),
+        otherwise=clip(text, None, "empty"))
 
 
-def extract_microdata(parsed: DataFrame, cap: int | None = 200) -> DataFrame:
+def extract_microdata(parsed: DataFrame, cap: int | None = None) -> DataFrame:
     """microdata_props(page_id, item, scope, parent_scope, scope_prop, type, id, prop, value, nested).
 
     One row per property of an item or nested item (one row with prop NULL for an empty item); `item` numbers the
@@ -156,14 +156,14 @@ def extract_microdata(parsed: DataFrame, cap: int | None = 200) -> DataFrame:
                                   "ORDER BY pos, opens) AS owner").filter("NOT opens")
     scopes = owned.filter("boundary").selectExpr(
         "page_id", "pos AS scope", "owner AS parent_scope", "itemprop AS scope_prop", "depth",
-        f"{clip(attr('tok', 'itemtype'), 500, 'empty')} AS type", f"{clip(attr('tok', 'itemid'), 500, 'empty')} AS id",
+        f"{clip(attr('tok', 'itemtype'), None, 'empty')} AS type", f"{clip(attr('tok', 'itemid'), None, 'empty')} AS id",
         f"NOT within AND {attr('tok', 'itemtype')} IS NOT NULL AS top").selectExpr(
         "*", "sum(if(top, 1, 0)) OVER (PARTITION BY page_id ORDER BY scope) - 1 AS item",
         "last(if(depth = 0, top, NULL), true) OVER (PARTITION BY page_id ORDER BY scope) AS kept")
     limit = "" if cap is None else f" AND item < {cap}"
-    scopes = scopes.filter(f"kept AND depth <= 10{limit}").drop("top", "kept")
-    names = keep(f"split({clip('itemprop', 500, 'empty')}, {lit(WS + '+')})", lambda n: f"{n} <> ''")
-    props = owned.filter("itemprop IS NOT NULL AND owner IS NOT NULL AND depth <= 10").selectExpr(
+    scopes = scopes.filter(f"kept{limit}").drop("top", "kept")
+    names = keep(f"split({clip('itemprop', None, 'empty')}, {lit(WS + '+')})", lambda n: f"{n} <> ''")
+    props = owned.filter("itemprop IS NOT NULL AND owner IS NOT NULL").selectExpr(
         "page_id", "owner AS scope", "pos", f"explode({names}) AS prop",
         f"{_property_value(decode_entities('content'))} AS value", "if(scope, pos, NULL) AS nested")
     return scopes.drop("depth").join(props, ["page_id", "scope"], "left")

@@ -9,7 +9,7 @@ from crawlsift.extract.markup import attr, attr_or
 from crawlsift.functions.sql import extract, lit
 from crawlsift.functions.text import clip, decode_entities
 
-MAX_TEXT = 500
+MAX_TEXT = None
 _STRUCTURE = "table|tr|td|th|caption|thead|tbody|tfoot"
 
 
@@ -50,7 +50,7 @@ def _placed(segments: DataFrame) -> DataFrame:
         "- 1 AS cell")
 
 
-def extract_tables(parsed: DataFrame, cap: int | None = 50, row_cap: int | None = 2000) -> tuple[DataFrame, DataFrame]:
+def extract_tables(parsed: DataFrame, cap: int | None = None, row_cap: int | None = None) -> tuple[DataFrame, DataFrame]:
     """tables(page_id, table_index, caption, id, nested, row_count, truncated, headings, preview) and
     table_cells(page_id, table_index, row, cell, text, colspan, rowspan, header, row_count).
 
@@ -82,9 +82,10 @@ def extract_tables(parsed: DataFrame, cap: int | None = 50, row_cap: int | None
              "ORDER BY tr_section, row_no) - 1 AS row",
         "count_if(tag = 'tr') OVER (PARTITION BY page_id, table_index) AS row_count")
     in_row = "is_cell = 1 AND row_no > 0"
+    # a row cap also bounds the height that grids are padded to
     cells = numbered.filter(in_row if row_cap is None else f"{in_row} AND row < {row_cap}").selectExpr(
         "page_id", "table_index", "row", "cell", "text", f"{span('colspan')} AS colspan", f"{span('rowspan')} AS rowspan",
-        "tag = 'th' AS header", "row_count")
+        "tag = 'th' AS header", "row_count" if row_cap is None else f"least(row_count, {row_cap}) AS row_count")
     tables = numbered.groupBy("page_id", "table_index").agg(
         F.expr("min_by(text, if(tag = 'caption', pos, NULL))").alias("caption"),
         F.expr(f"max(if(tag = 'table', coalesce({attr('opened', 'id')}, ''), NULL))").alias("id"),

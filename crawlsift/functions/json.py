@@ -57,3 +57,7 @@ def leaf_text(raw: str, value: str, max_string: int | None = None) -> str:
                 (f"schema_of_variant({value}) = 'STRING'", string), otherwise=number_text(raw))
 
 
+def whole_json(text: str) -> str:
+    """VARIANT of a text that is one JSON value and nothing else; NULL otherwise (the parser alone stops after the first value)."""
+    listed = f"try_variant_get(try_parse_json(concat('[', {text}, ']')), '$', 'array<variant>')"
+    return f"if(size({listed}) = 1 AND try_parse_json(concat('{{\"v\":', {text}, '}}')) IS NOT NULL, try_parse_json({text}), NULL)"

@@ -82,12 +82,12 @@ def render_code(markup: str) -> str:
             f"concat({f}, {code_language(markup)}, '\\n', {t}, '\\n', {f})"))))
 
 
-def render_table(markup: str, rows: int = 200) -> str:
+def render_table(markup: str) -> str:
     """Pipe table as wide as its widest row; the first row is the head."""
     cut = lambda text, tag: keep(f"split({text}, {lit(rf'(?i)(?=<(?:{tag})[\s>])')})",
                                  lambda p: matches(p, rf"(?i)^<(?:{tag})[\s>]"))
     cell = lambda c: js_trim(f"replace({markdown_escape(collapse(text_content(c)))}, '|', {lit(chr(92) + '|')})")
-    grid = f"slice({each(cut(markup, 'tr'), lambda r: each(cut(r, 'td|th'), cell))}, 1, {rows})"
+    grid = each(cut(markup, 'tr'), lambda r: each(cut(r, 'td|th'), cell))
 
     def lines(g: str) -> str:
         width = f"array_max({each(g, lambda r: f'size({r})')})"
@@ -96,7 +96,7 @@ def render_table(markup: str, rows: int = 200) -> str:
             line = lambda r: f"concat('| ', array_join(concat({r}, array_repeat('', {w} - size({r}))), ' | '), ' |')"
             rule = f"concat('| ', array_join(array_repeat('---', {w}), ' | '), ' |')"
             return case((f"coalesce({w}, 0) = 0", "''"), otherwise=(
-                f"array_join(concat(array({line(f'get({g}, 0)')}, {rule}), {each(f'slice({g}, 2, {rows})', line)}), '\\n')"))
+                f"array_join(concat(array({line(f'get({g}, 0)')}, {rule}), {each(f'slice({g}, 2, size({g}))', line)}), '\\n')"))
 
         return let(width, build)
 

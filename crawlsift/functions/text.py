@@ -38,10 +38,10 @@ def js_cut(text: str, n: int, mark: str = ELLIPSIS) -> str:
     return f"replace({substitute(doubled, rf'(?s)^(.{{{n}}}).+\z', '$1' + mark)}, {lit(FILLER)}, '')"
 
 
-def clip(text: str, n: int, blank: str = "keep") -> str:
-    """Squish, then cut to n units plus an ellipsis. Blank text: '' ('keep') or NULL ('null'); 'empty' also turns
+def clip(text: str, n: int | None, blank: str = "keep") -> str:
+    """Squish, then cut to n units plus an ellipsis; whole where n is None. Blank text: '' ('keep') or NULL ('null'); 'empty' also turns
     NULL into ''."""
-    cut = js_cut(squish(text), n)
+    cut = squish(text) if n is None else js_cut(squish(text), n)
     if blank == "null":
         return let(cut, lambda x: case((f"{x} <> ''", x)))
     return f"coalesce({cut}, '')" if blank == "empty" else cut

@@ -29,7 +29,7 @@ BLOCK = 8192
 #: Ids after which a file row ends, with the document that reaches them.
 ROW_IDS = 16384
 #: Distinct words whose ids a worker keeps; beyond it, it starts anew.
-MEMO = 300_000
+MEMO = 900_000
 
 _BIT_LENGTH = np.array([max(1, int(v).bit_length()) for v in range(ESCAPE + 1)], dtype=np.int8)
 _SHIFTS = [np.arange(n, dtype=np.uint64) * np.uint64(w) for n, w in zip(COUNTS, WIDTHS)]

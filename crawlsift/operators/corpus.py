@@ -79,9 +79,17 @@ def dangling_links(links: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def latest_capture(captures: DataFrame, key: str = "url", ts: str = "captured_at") -> DataFrame:
-    """The newest capture per page address. Only (time, id) is aggregated; the html follows by a join on the id."""
-    newest = captures.groupBy(key).agg(F.max(F.struct(ts, "page_id")).alias("_n")).select(F.col("_n.page_id").alias("page_id"))
-    return captures.join(newest, "page_id", "left_semi")
+    """The newest capture per page address: one row per key, also where a page id recurs or captures tie.
+
+    Only (time, id, content hash) is aggregated; the html follows by a join on them. The later id, then the larger hash wins a tie.
+    """
+    order = [F.col(ts), F.col("page_id"), F.xxhash64("html") if "html" in captures.columns else F.lit(0)]
+    named = [c.alias(f"_{i}") for i, c in enumerate(order)]
+    newest = captures.groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(*named)).alias("_n"))
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    for i, c in enumerate(order):
+        same = same & c.eqNullSafe(F.col(f"_n._{i}"))
+    return captures.join(newest, same, "left_semi").dropDuplicates([key, ts, "page_id"])
 
 
 def diff_captures(old: DataFrame, new: DataFrame, columns: list[str], key: str = "url") -> DataFrame:

@@ -95,7 +95,7 @@ def detect_apps(urls: DataFrame, registry: list[dict] = APPS) -> DataFrame:
 
 
 def extract_tag_ids(signals: DataFrame, patterns: list[tuple[str, str, int]] = ID_PATTERNS,
-                    cap: int | None = 60) -> DataFrame:
+                    cap: int | None = None) -> DataFrame:
     """(page_id, pos, label, value): tag identifiers in script addresses, containers and inline code."""
     found = "array_distinct(concat(" + ", ".join(
         each(extract_all("_text", p, g), lambda v, label=label: struct(label=lit(label), value=v))

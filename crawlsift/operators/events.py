@@ -102,7 +102,8 @@ def clean_json_payload(df: DataFrame, raw: str = "raw", carry: list[str] | None
 
 
 def filter_entries(entries: DataFrame, query: str = "", event: str = "", keys: list[str] | None = None) -> DataFrame:
-    """Annotated entries with that exact event whose name, any path or any value contains the text.
+    """Annotated entries with that exact event whose name, any path or any value contains the text. The entry's own text is part of the
+    join, so entries of repeated captures are told apart.
 
     The search is a semi-join with the flattened leaves, so an entry is read once however many leaves match.
     """
@@ -111,10 +112,12 @@ def filter_entries(entries: DataFrame, query: str = "", event: str = "", keys: l
     needle = query.strip()
     if not needle:
         return out
+    out = out.withColumn("_text", F.xxhash64("raw"))
+    keys = [*keys, "_text"]
     leaves = flatten_json(out, "raw", [*keys, "event"])
     hits = leaves.filter(f"{contains_ci('coalesce(event, ' + repr('') + ')', needle)} OR {contains_ci('path', needle)} "
                          f"OR {contains_ci('value', needle)}")
-    return out.join(hits.select(*keys), keys, "left_semi")
+    return out.join(hits.select(*keys), keys, "left_semi").drop("_text")
 
 
 def event_counts(entries: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -59,9 +59,10 @@ def write_plain_urls(urls: DataFrame, path: str) -> None:
     urls.select("value").write.mode("overwrite").text(path)
 
 
-def write_markdown(documents: DataFrame, path: str) -> None:
-    """Documents with their host, one directory per host."""
-    documents.selectExpr("*", f"{host_of('url')} AS host").write.mode("overwrite").partitionBy("host").parquet(path)
+def write_markdown(documents: DataFrame, path: str, buckets: int = 64) -> None:
+    """Documents with their host, in `buckets` directories by a hash of the host: a site's pages lie together, and sites need no file each."""
+    named = documents.selectExpr("*", f"{host_of('url')} AS host")
+    named.selectExpr("*", f"pmod(xxhash64(host), {buckets}) AS bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def _one_line(value: str) -> str:

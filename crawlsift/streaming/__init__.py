@@ -32,9 +32,12 @@ def first_sightings(captures: DataFrame, late: str = "1 hour", ts: str = "captur
     """Captures whose (url, content) was not seen within the watermark."""
     hashed = captures.withColumn("content_hash", F.xxhash64("html"))
     if not captures.isStreaming:
-        first = hashed.groupBy("url", "content_hash").agg(F.min(F.struct(ts, "page_id")).alias("_f")).select(
-            F.col("_f.page_id").alias("page_id"))
-        return hashed.join(first, "page_id", "left_semi")
+        keys = ["url", "content_hash"]
+        first = hashed.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(F.struct(F.col(ts).alias("t"), F.col("page_id").alias("p"))).alias("_f"))
+        same = F.col(ts).eqNullSafe(F.col("_f.t")) & F.col("page_id").eqNullSafe(F.col("_f.p"))
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        return hashed.join(first, same, "left_semi").dropDuplicates(keys)
     return hashed.withWatermark(ts, late).dropDuplicatesWithinWatermark(["url", "content_hash"])
 
 
