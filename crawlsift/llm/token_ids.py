@@ -31,22 +31,25 @@ ROW_IDS = 16384
 #: Distinct words whose ids a worker keeps; beyond it, it starts anew.
 MEMO = 900_000
 
-_BIT_LENGTH = np.array([max(1, int(v).bit_length()) for v in range(ESCAPE + 1)], dtype=np.int8)
 _SHIFTS = [np.arange(n, dtype=np.uint64) * np.uint64(w) for n, w in zip(COUNTS, WIDTHS)]
 
 
 def pack_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words and escapes of one block of unsigned ids; each word takes as many ids as fit."""
     lanes = np.minimum(ids, ESCAPE)
-    bits, n = _BIT_LENGTH[lanes], len(ids)
+    n = len(ids)
     chosen = np.minimum(3, np.arange(n, 0, -1) - 1).astype(np.int8)  # up to four ids fit always
     for s in range(4, len(COUNTS)):
-        wide = bits > WIDTHS[s]
+        wide = lanes >> int(WIDTHS[s]) > 0
         count = int(COUNTS[s])
-        if n < count or n - int(wide.sum()) < count:
-            break  # fewer bits hold fewer ids still
-        seen = np.concatenate([[0], np.cumsum(wide, dtype=np.int32)])
-        chosen[: n - count + 1][seen[count:] == seen[:-count]] = s
+        if n < count or n - int(np.count_nonzero(wide)) < count:
+            break
+        seen = np.zeros(n + 1, np.int32)
+        np.cumsum(wide, out=seen[1:])
+        fits = seen[count:] == seen[:-count]
+        if not fits.any():
+            break  # more ids of fewer bits fit nowhere either
+        chosen[: n - count + 1][fits] = s
     after, starts, at = (np.arange(n) + COUNTS[chosen]).tolist(), [], 0
     while at < n:
         starts.append(at)
@@ -110,14 +113,15 @@ class WordEncoder:
         if tails := {tail for _, _, tail in plain if tail and tail not in self.memo}:
             self._slowly(list(tails))
         cores = list({core for _, core, _ in plain if core not in self.memo})
-        if cores:
-            ids = np.array(self.tokenizer.encode(b" ".join(cores).decode(), add_special_tokens=False).ids, dtype="<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(cores) and cut[-1] == len(ids):
-                data, cut = ids.tobytes(), (cut * 4).tolist()
-                self.memo.update(zip(cores, (data[a:b] for a, b in zip([0, *cut], cut))))
+        lists = [cores[i : i + 500] for i in range(0, len(cores), 500)]
+        for some, got in zip(lists, self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lists], add_special_tokens=False)):
+            ids = np.array(got.ids, dtype="<u4")
+            cut = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(cut) == len(some) and cut[-1] == 4 * len(ids):
+                data = ids.tobytes()
+                self.memo.update(zip(some, [data[a:b] for a, b in zip([0, *cut], cut)]))
             else:
-                self._slowly(cores)
+                self._slowly(some)
         for word, core, tail in plain:
             if tail:
                 self.memo[word] = self.memo[core] + self.memo[tail]
@@ -125,13 +129,16 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [text.lower().split() for text in texts]  # ASCII letters and white space only: the tokenizer would do both
-        unknown = set().union(*split) - self.memo.keys()
+        found = [list(map(self.memo.get, words)) for words in split]
+        gaps = [[i for i, ids in enumerate(got) if ids is None] if None in got else [] for got in found]
+        unknown = {words[i] for words, gap in zip(split, gaps) for i in gap}
         if len(self.memo) + len(unknown) > MEMO:
             self.memo.clear()
-            unknown = set().union(*split)
         self.learn(unknown)
-        known = self.memo.__getitem__
-        return (b"".join(map(known, words)) for words in split)
+        for words, got, gap in zip(split, found, gaps):
+            for i in gap:
+                got[i] = self.memo[words[i]]
+            yield b"".join(got)
 
 
 _encoders: dict[str, WordEncoder] = {}
