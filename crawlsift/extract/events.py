@@ -9,7 +9,7 @@ from crawlsift.functions.sql import extract_all, let, lit
 # Conventional queue names, in reporting order.
 LAYER_NAMES = ["dataLayer", "digitalData", "utag_data", "dataLayerGA4", "_mtm"]
 _STATIC = r"""(?<![\w$.])(?:window\.)?([A-Za-z_$][\w$]*)\.push\(\s*(\{(?:[^{}"']++|"(?:[^"\\]++|\\.)*+"|\{(?:[^{}"]++|"(?:[^"\\]++|\\.)*+"|\{(?:[^{}"]++|"(?:[^"\\]++|\\.)*+"|\{[^{}]*+\})*+\})*+\})*+\})\s*\)"""
-_RANK = "coalesce(nullif(array_position(array(" + ", ".join(f"'{n}'" for n in LAYER_NAMES) + "), {}), 0), 99)"
+LAYER_RANK = "coalesce(nullif(array_position(array(" + ", ".join(f"'{n}'" for n in LAYER_NAMES) + "), {}), 0), 99)"
 
 
 def extract_layers(parsed: DataFrame, runtime: DataFrame | None = None, layers: int | None = None,
@@ -34,7 +34,7 @@ def extract_layers(parsed: DataFrame, runtime: DataFrame | None = None, layers:
             f"transform(array_distinct(transform({p}, x -> x['0'])), (n, i) -> named_struct('name', n, 'total', "
             f"size(filter({p}, x -> x['0'] = n)), 'entries', transform(filter({p}, x -> x['0'] = n), x -> x['1']), "
             "'i', i))")) + " AS found")
-    ranked = f"array_sort(transform(found, l -> named_struct('rank', {_RANK.format('l.name')}, 'i', l.i, 'l', l)))"
+    ranked = f"array_sort(transform(found, l -> named_struct('rank', {LAYER_RANK.format('l.name')}, 'i', l.i, 'l', l)))"
     some = ranked if layers is None else f"slice({ranked}, 1, {layers})"
     rows = queues.selectExpr("page_id", "evidence_kind", f"explode_outer({some}) AS q").filter("q IS NOT NULL")
     kept_entries = "q.l.entries" if entries is None else f"slice(q.l.entries, 1, {entries})"

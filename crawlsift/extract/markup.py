@@ -90,9 +90,15 @@ def _rebuilt(tokens: str) -> str:
 
 
 def _drop_templates(markup: str) -> str:
-    """Template content is inert. Innermost first, so nested templates go too."""
-    inner = r"(?is)(<template(?:[\s/][^>]*)?>)(?:[^<]++|<(?!/?template[\s/>])[^>]*+>)*+</template\s*>"
-    dropped = substitute(substitute(substitute(markup, inner), inner), inner)
+    """Template content is inert at any depth; of the outermost templates the open tags stay. An unclosed one holds the rest of the page."""
+    pieces = f"split({markup}, {lit(r'(?i)(?=</?template[\s/>])')})"
+    opens, closes = (matches("p", rf"(?i)^<{slash}template[\s/>]") for slash in ("", "/"))
+    state = lambda depth, kept: f"named_struct('d', {depth}, 'out', {kept})"
+    step = (
+        f"CASE WHEN {opens} THEN {state('s.d + 1', f'if(s.d = 0, array_append(s.out, {extract("p", "^<[^>]*>")}), s.out)')} "
+        f"WHEN s.d > 0 AND {closes} THEN {state('s.d - 1', f'if(s.d = 1, array_append(s.out, {substitute("p", "^<[^>]*>")}), s.out)')} "
+        f"ELSE {state('s.d', 'if(s.d = 0, array_append(s.out, p), s.out)')} END")
+    dropped = f"aggregate({pieces}, {state('0', 'CAST(array() AS ARRAY<STRING>)')}, (s, p) -> {step}, s -> array_join(s.out, ''))"
     return case((f"contains(lower({markup}), '<template')", dropped), otherwise=markup)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crawlsift.extract.events import LAYER_RANK
 from crawlsift.functions.csv import BOM, csv_line
 from crawlsift.functions.sql import lit, substitute
 from crawlsift.functions.urls import host_of
@@ -116,7 +117,7 @@ def schema_json(entities: DataFrame, findings: DataFrame, blocks: DataFrame, sum
                "x.message))").alias("findings"))
     items = entities.join(judged, keys, "left").groupBy("page_id").agg(F.expr(
         "transform(array_sort(collect_list(struct(ord, type, source, path, errors, warnings, findings, raw))), x -> struct("
-        "x.type, x.source, x.path, x.errors, x.warnings, x.findings, x.raw AS properties))").alias("entities"))
+        "x.type, x.source, x.path, x.errors, x.warnings, x.findings, try_parse_json(x.raw) AS properties))").alias("entities"))
     failed = blocks.filter("NOT ok").groupBy("page_id").agg(F.expr(
         "array_sort(collect_list(struct(block AS index, error, excerpt)))").alias("parseErrors"))
     totals = summary.select("page_id", F.struct(*[c for c in summary.columns if c != "page_id"]).alias("summary"))
@@ -129,14 +130,15 @@ def schema_json(entities: DataFrame, findings: DataFrame, blocks: DataFrame, sum
 def layers_json(entries: DataFrame, pages: DataFrame, tool: str = TOOL) -> DataFrame:
     """(page_id, json): every layer with its entries, in queue order."""
     layers = entries.groupBy("page_id", "layer", "total", "truncated").agg(F.expr(
-        "transform(array_sort(collect_list(struct(index, raw))), x -> x.raw)").alias("entries"))
+        "transform(array_sort(collect_list(struct(index, raw))), x -> x.raw)").alias("raws"))
+    ranked = f"struct({LAYER_RANK.format('layer')} AS rank, layer, total, truncated, raws)"
     per_page = layers.groupBy("page_id").agg(F.expr(
-        "array_join(collect_list(concat('{\"name\":', to_json(parse_json(concat('\"', layer, '\"'))), ',\"total\":', total, "
-        "',\"truncated\":', truncated, ',\"entries\":[', array_join(entries, ','), ']}')), ',')").alias("layers"))
+        f"transform(array_sort(collect_list({ranked})), x -> struct(x.layer AS name, x.total, x.truncated, "
+        "transform(x.raws, r -> parse_json(r)) AS entries))").alias("layers"))
+    when = "date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")"
     return pages.select("page_id", "url").join(per_page, "page_id").selectExpr(
-        "page_id", "concat('{\"tool\":\"" + tool + "\",\"version\":1,\"url\":\"', url, '\",\"capturedAt\":\"', "
-                   "date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\"), '\",\"containers\":[],\"layers\":[', "
-                   "layers, ']}') AS json")
+        "page_id", f"to_json(struct({lit(tool)} AS tool, 1 AS version, url, {when} AS capturedAt, CAST(array() AS ARRAY<STRING>) AS containers, "
+                   "layers)) AS json")
 
 
 def report_markdown(rows: DataFrame, title: str, section: str, line: str, order: list[str], section_order: str = "section") -> DataFrame:

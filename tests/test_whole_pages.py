@@ -73,3 +73,22 @@ def test_search_tells_entries_of_repeated_captures_apart(spark):
     raws = [json.dumps({"event": "view", "id": x}) for x in ("needle", "straw")]
     df = spark.createDataFrame([(1, "dataLayer", 0, r) for r in raws], "page_id long, layer string, index int, raw string").selectExpr("*", "try_parse_json(raw) AS value")
     assert [r.raw for r in filter_entries(annotate_entries(df), "needle").collect()] == raws[:1]
+
+
+def test_templates_are_inert_at_any_depth(spark):
+    deep = "<template>" * 7 + "<img src=a>" + "</template>" * 7
+    html = f"<img src=b>{deep}<img src=c></template><img src=d><TEMPLATE id=x><a href=/no>n</a><img src=e>"
+    page = parse_pages(spark.createDataFrame([(1, "https://example.com/", html)], "page_id long, url string, html string"))
+    assert [r.raw_src for r in extract_images(page).collect()] == ["b", "c", "d"]
+    assert extract_links(page).count() == 0
+
+
+def test_layer_documents_are_valid_json(spark):
+    from crawlsift.sinks import layers_json
+
+    entries = spark.createDataFrame([(1, 'my"dataLayer', 0, '{"a":1}', 2, False), (1, 'my"dataLayer', 1, '"x"', 2, False), (1, "dataLayer", 0, "[]", 1, False)],
+                                    "page_id long, layer string, index int, raw string, total int, truncated boolean")
+    pages = spark.createDataFrame([(1, 'https://e.com/?"q"')], "page_id long, url string")
+    got = json.loads(layers_json(entries, pages).first().json)
+    assert got["url"] == 'https://e.com/?"q"' and got["containers"] == []
+    assert [(x["name"], x["total"], x["entries"]) for x in got["layers"]] == [("dataLayer", 1, [[]]), ('my"dataLayer', 2, [{"a": 1}, "x"])]
