@@ -169,18 +169,41 @@ def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
+def likely_members(ids: DataFrame):
+    """A column function that is true for every id of the one-column table and for few others, from a bitmap of 2 MB whatever the number of
+    ids: it keeps most rows out of a shuffle before the exact join. The driver gets at most one row per byte of it."""
+    place = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(1 << 24))
+    rows = ids.select(place.alias("h")).groupBy((F.shiftright("h", 3)).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1, CAST(h % 8 AS INT)))").alias("bits")).toArrow()
+    bits = np.zeros(1 << 21, np.uint8)
+    bits[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        h = h.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool))
+
+    return lambda c: maybe(F.pmod(F.xxhash64(c), F.lit(1 << 24)))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose full sets agree: 100 * intersection >= percent * union."""
 
     @arrow_udf("binary")
     def sets(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t, words).tobytes() for t in texts.to_pylist()], pa.binary())
+        # six bytes of each hash: the sets are the largest thing that is shuffled
+        return pa.array([np.ascontiguousarray(np.sort(shingle_set(t, words) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for t in texts.to_pylist()], pa.binary())
+
+    def unpacked(value: pa.Scalar) -> np.ndarray:
+        out = np.zeros((len(value.as_buffer()) // 6, 8), np.uint8)
+        out[:, :6] = np.frombuffer(value.as_buffer(), np.uint8).reshape(-1, 6)
+        return out.view("<u8").ravel()
 
     @arrow_udf("boolean")
     def agree(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(a, b):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            x, y = unpacked(x), unpacked(y)
             if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                 out.append(False)
                 continue
@@ -191,7 +214,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
         return pa.array(out, pa.bool_())
 
     members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    kept = docs.join(members, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    kept = docs.where(likely_members(members)(F.col("doc_id"))).join(members, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
     kept = written(kept.select("doc_id", sets("text").alias("set")))
     with_a = pairs.join(kept.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
     return with_a.join(kept.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b").where(agree("sa", "sb")).select("a", "b")
