@@ -253,5 +253,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, region:
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs of which one document of each component stays."""
-    gone = near_duplicates(docs, words, percent).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = written(near_duplicates(docs, words, percent).where("NOT kept").select("doc_id"))
+    maybe = likely_members(gone)(F.col("doc_id").cast("long"))
+    rest = docs.where(maybe).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.where(~maybe).union(rest)
