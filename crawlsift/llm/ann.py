@@ -160,7 +160,7 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.select("qs", "vs").mapInArrow(rank, HIT_SCHEMA)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 4, hashes: int = 4, width: float = 0.9, recall: float = 0.96, block: int = 512, sample_rows: int = 4000, sample_queries: int = 64, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 4, hashes: int = 4, width: float = 0.9, recall: float = 0.96, block: int = 512, sample_rows: int = 4000, sample_queries: int = 64, slots: int = 256, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each vector for which `is_query` (a condition on vec_id) holds."""
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -177,7 +177,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 4,
     least = min(k, rows.count() - 1)
     short = written(asked.join(hits.groupBy(F.col("query_id").alias("vec_id")).count().where(F.col("count") >= least), "vec_id", "left_anti"))
     if short.limit(1).count():  # too few found: these go through every block of one table
-        alone = _blocks(short.withColumn("all", F.lit(1)), ["all"], "vec_id", block // 2, "qs").join(F.broadcast(stored.where("tab = 0").select(F.lit(1).alias("all"), "vs")), "all")
+        # a query block meets each slot's vector blocks; either side grows with the data, so neither is broadcast
+        blocks = stored.where("tab = 0").select(F.pmod(F.xxhash64("bucket", "part"), F.lit(slots)).cast("int").alias("slot"), "vs")
+        asking = _blocks(short.withColumn("all", F.lit(1)), ["all"], "vec_id", block // 2, "qs").select("qs", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+        alone = asking.join(blocks, "slot")
         hits = hits.union(_ranked(alone, k)).distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
