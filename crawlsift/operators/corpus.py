@@ -24,33 +24,61 @@ def duplicate_values(facts: DataFrame, column: str) -> DataFrame:
     return counted.filter("pages > 1")
 
 
-def shared_tag_ids(ids: DataFrame, pages: DataFrame) -> DataFrame:
+def _hosted(rows: DataFrame, pages: DataFrame | None) -> DataFrame:
+    """Rows with their page's host: carried from the detection, else joined by page."""
+    return rows if "host" in rows.columns else rows.join(with_host(pages).select("page_id", "host"), "page_id")
+
+
+def _by_group(rows: DataFrame, keys: list[str], weight: str, spread: str, share: int = 1000, parts: int = 64,
+              attach: DataFrame | None = None) -> DataFrame:
+    """Rows with what is known of their group: `groups` (its number of rows) and the columns of `attach`, a row per key or none.
+
+    A group of more than one in `share` of all weight is dealt to `parts` parts by a hash of `spread`. There are at most `share` such
+    groups, so their keys are broadcast; every other group is smaller than a task's fair part.
+    """
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("groups"), F.sum(weight).alias("_weight"))
+    total = groups.agg(F.sum("_weight").alias("_total"))  # one row
+    sized = groups.join(F.broadcast(total)).withColumn("_hot", F.expr(f"_weight * {share} > _total")).drop("_weight", "_total")
+    hot = sized.filter("_hot").select(*keys, "_hot")
+    known = sized if attach is None else sized.join(attach, keys, "left")
+    dealt = known.withColumn("_part", F.expr(f"explode(if(_hot, sequence(0, {parts - 1}), array(0)))")).drop("_hot")
+    placed = rows.join(F.broadcast(hot), keys, "left").withColumn(
+        "_part", F.expr(f"if(_hot, CAST(pmod(xxhash64({spread}), {parts}) AS INT), 0)")).drop("_hot")
+    return placed.join(dealt, [*keys, "_part"]).drop("_part")
+
+
+def shared_tag_ids(ids: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(label, value, host, pages, hosts): tag ids found on more than one host, one row per host.
 
-    Rows stay long - a list of hosts per id could grow without bound.
+    Rows stay long - a list of hosts per id could grow without bound. `ids` that carry `host` need no pages.
     """
-    per_host = ids.join(with_host(pages).select("page_id", "host"), "page_id").groupBy("label", "value", "host").agg(
-        F.count_distinct("page_id").alias("pages"))
-    hosts = per_host.groupBy("label", "value").agg(F.count(F.lit(1)).alias("hosts")).filter("hosts > 1")
-    return per_host.join(hosts, ["label", "value"])
+    per_page = _hosted(ids, pages).groupBy("label", "value", "host", "page_id").agg(F.lit(1).alias("one"))
+    per_host = per_page.groupBy("label", "value", "host").agg(F.count("one").alias("pages"))
+    return _by_group(per_host, ["label", "value"], "pages", "host").withColumnRenamed("groups", "hosts").filter("hosts > 1")
 
 
 def prevalence(detected: DataFrame, pages: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by..., id, pages, share): on how many pages, and what share of all, each tracker or technology occurs."""
+    """(by..., id, pages, share): on how many pages, and what share of all, each tracker or technology occurs.
+
+    `by` may be ["host"]; detections that carry it are not joined to their pages.
+    """
     by = by or []
     total = with_host(pages).groupBy(*by).agg(F.count(F.lit(1)).alias("total")) if by else pages.agg(
         F.count(F.lit(1)).alias("total"))
-    hits = detected.join(with_host(pages).select("page_id", *by), "page_id") if by else detected
+    hits = _hosted(detected, pages) if by else detected
     counts = hits.groupBy(*by, "id").agg(F.count(F.lit(1)).alias("pages"))
     # without `by` the total is one row
     joined = counts.join(total, by) if by else counts.join(F.broadcast(total))
     return joined.selectExpr(*by, "id", "pages", "pages / total AS share")
 
 
-def category_cube(detected: DataFrame, pages: DataFrame) -> DataFrame:
-    """(category, host, n, level): detections by category and host with all subtotals."""
-    rows = detected.join(with_host(pages).select("page_id", "host"), "page_id")
-    return rows.cube("category", "host").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
+def category_cube(detected: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """(category, host, n, level): detections by category and host with all subtotals.
+
+    The cube is taken of counts per category and host, so its grouping sets multiply few rows.
+    """
+    counts = _hosted(detected, pages).groupBy("category", "host").agg(F.count(F.lit(1)).alias("c"))
+    return counts.cube("category", "host").agg(F.sum("c").alias("n"), F.grouping_id().alias("level"))
 
 
 def _page_key(url: str) -> str:
@@ -60,14 +88,13 @@ def _page_key(url: str) -> str:
 def link_graph(links: DataFrame, pages: DataFrame) -> DataFrame:
     """(source_page, href, n, target_page): links joined to the pages they lead to; NULL target when not captured.
 
-    Links are counted per page and address first. The join is made on distinct addresses against one page per
-    address, so a target that a third of all links name is matched once.
+    Links are counted per page and address first, addresses are matched to one page each, and the edges of an address that many pages
+    name are dealt to many tasks.
     """
     edges = links.filter("href IS NOT NULL").groupBy(F.col("page_id").alias("source_page"), F.expr(
         substitute("href", r"#.*\z")).alias("href")).agg(F.count(F.lit(1)).alias("n"))
     targets = pages.groupBy(F.expr(_page_key("url")).alias("href")).agg(F.min("page_id").alias("target_page"))
-    addresses = edges.select("href").distinct().join(targets, "href", "left")
-    return edges.join(addresses, "href")
+    return _by_group(edges, ["href"], "n", "source_page", attach=targets).select("source_page", "href", "n", "target_page")
 
 
 def dangling_links(links: DataFrame, pages: DataFrame) -> DataFrame:

@@ -36,19 +36,24 @@ def _hits(rows: DataFrame, keys: list[str], registry: DataFrame, carry: list[str
 _EVIDENCE = "transform(array_sort(collect_set(named_struct('r', kind_rank, 'i', item, 'e', evidence))), x -> x.e)"
 
 
-def detect_trackers(signals: DataFrame, registry: list[dict] = TRACKERS) -> DataFrame:
-    """(page_id, id, name, category, ordinal, evidence): output of `tracking_signals` against the registry."""
+def detect_trackers(signals: DataFrame, registry: list[dict] = TRACKERS, carry: list[str] | None = None) -> DataFrame:
+    """(page_id, carry..., id, name, category, ordinal, evidence): output of `tracking_signals` against the registry.
+
+    `carry` names page columns, such as the host, that roll-ups need: they travel with the hits and no join fetches them.
+    """
+    kept = ["page_id", *(carry or [])]
     table = signal_table(signals.sparkSession, registry, _TRACKER_KINDS)
     hits = _hits(signals, [
         _keys("global", "globals"),
         _keys("host", "concat(scripts, iframes)", lambda u: host_suffixes(host_of(u))),
         _keys("cookie", "cookie_names", name_prefixes),
-    ], table, ["page_id"])
-    return hits.groupBy("page_id", "id", "name", "category", "ordinal").agg(F.expr(_EVIDENCE).alias("evidence"))
+    ], table, kept)
+    return hits.groupBy(*kept, "id", "name", "category", "ordinal").agg(F.expr(_EVIDENCE).alias("evidence"))
 
 
-def detect_stack(signals: DataFrame, registry: list[dict] = TECHNOLOGIES) -> DataFrame:
-    """(page_id, id, name, category, ordinal, version, evidence, confidence), conflicts resolved."""
+def detect_stack(signals: DataFrame, registry: list[dict] = TECHNOLOGIES, carry: list[str] | None = None) -> DataFrame:
+    """(page_id, carry..., id, name, category, ordinal, version, evidence, confidence), conflicts resolved."""
+    kept = ["page_id", *(carry or [])]
     spark = signals.sparkSession
     entries = [{**e, "generators": [e["generator"]] if e.get("generator") else []} for e in registry]
     table = signal_table(spark, entries, _STACK_KINDS)
@@ -61,20 +66,20 @@ def detect_stack(signals: DataFrame, registry: list[dict] = TECHNOLOGIES) -> Dat
     # one decisive sign of modern Angular rules AngularJS out; decided in the page's row, before any shuffle
     modern = "array_contains(markers, 'ng-version') OR array_contains(globals, 'getAllAngularRootElements')"
     rows = signals.selectExpr(
-        "page_id", "globals", "markers", "generator", "versions", f"({modern}) AS modern",
+        *kept, "globals", "markers", "generator", "versions", f"({modern}) AS modern",
         f"{each('urls', lambda u: f'lower({u})')} AS _urls",
         "lower(concat(html_class, ' ', body_class)) AS _class")
     hits = _hits(rows, [
         _keys("global", "globals"), _keys("marker", "markers"), _keys("path", paths), _keys("class", classes),
         _keys("generator", generators),
-    ], table, ["page_id", "generator", "versions", "modern"]).filter("NOT (modern AND id = 'angularjs')")
+    ], table, [*kept, "generator", "versions", "modern"]).filter("NOT (modern AND id = 'angularjs')")
     version_keys = {e["id"]: e["version"] for e in registry if e.get("version")}
     named = "CASE id " + " ".join(f"WHEN {lit(i)} THEN {lit(v)}" for i, v in version_keys.items()) + " ELSE '' END"
     shown = hits.selectExpr(
-        "page_id", "id", "name", "category", "ordinal", "kind_rank", "item",
+        *kept, "id", "name", "category", "ordinal", "kind_rank", "item",
         "if(kind = 'generator', concat('generator: ', generator), evidence) AS evidence",
         f"{map_get('versions', named)} AS version")
-    found = shown.groupBy("page_id", "id", "name", "category", "ordinal").agg(
+    found = shown.groupBy(*kept, "id", "name", "category", "ordinal").agg(
         F.max("version").alias("version"), F.expr(_EVIDENCE).alias("evidence"))
     return found.selectExpr("*", "if(size(evidence) > 1, 'high', 'low') AS confidence")
 
@@ -95,16 +100,17 @@ def detect_apps(urls: DataFrame, registry: list[dict] = APPS) -> DataFrame:
 
 
 def extract_tag_ids(signals: DataFrame, patterns: list[tuple[str, str, int]] = ID_PATTERNS,
-                    cap: int | None = None) -> DataFrame:
-    """(page_id, pos, label, value): tag identifiers in script addresses, containers and inline code."""
+                    cap: int | None = None, carry: list[str] | None = None) -> DataFrame:
+    """(page_id, carry..., pos, label, value): tag identifiers in script addresses, containers and inline code."""
     found = "array_distinct(concat(" + ", ".join(
         each(extract_all("_text", p, g), lambda v, label=label: struct(label=lit(label), value=v))
         for label, p, g in patterns) + "))"
     text = "array_join(concat(scripts, gtm_containers, array(inline)), '\\n')"
-    rows = signals.selectExpr("page_id", f"{text} AS _text").selectExpr("page_id", f"{found} AS _ids")
+    page = ["page_id", *(carry or [])]
+    rows = signals.selectExpr(*page, f"{text} AS _text").selectExpr(*page, f"{found} AS _ids")
     kept = "_ids" if cap is None else f"slice(_ids, 1, {cap})"
-    out = rows.selectExpr("page_id", f"posexplode_outer({kept}) AS (pos, _i)").filter("pos IS NOT NULL")
-    return out.select("page_id", "pos", "_i.*")
+    out = rows.selectExpr(*page, f"posexplode_outer({kept}) AS (pos, _i)").filter("pos IS NOT NULL")
+    return out.select(*page, "pos", "_i.*")
 
 
 def _category_maps(detected: DataFrame, *extra) -> DataFrame:

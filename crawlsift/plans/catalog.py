@@ -465,13 +465,14 @@ query("tag_ids", _IDS_SQL)(lambda s, d: D.extract_tag_ids(_tracking(s, d)).drop(
 query("shared_tag_ids", f"""WITH x AS (SELECT label, value, 'site' || (page_id % 9) || '.example.com' AS host, count(*) AS pages FROM ({_IDS_SQL})
   GROUP BY ALL) SELECT label, value, host, CAST(pages AS BIGINT) AS pages, CAST(count(*) OVER (PARTITION BY label, value) AS BIGINT) AS hosts
 FROM x QUALIFY count(*) OVER (PARTITION BY label, value) > 1""")(
-    lambda s, d: C.shared_tag_ids(D.extract_tag_ids(_tracking(s, d)), S.tagged_pages(s, d)))
-query("tracker_prevalence", f"""SELECT 'site' || (page_id % 9) || '.example.com' AS host, id, CAST(count(*) AS BIGINT) AS pages
-FROM ({_TRACKERS_SQL}) GROUP BY ALL""")(
-    lambda s, d: C.prevalence(D.detect_trackers(_tracking(s, d)), S.tagged_pages(s, d), ["host"]).drop("share"))
+    lambda s, d: C.shared_tag_ids(D.extract_tag_ids(C.with_host(_tracking(s, d)), carry=["host"])))
+query("tracker_prevalence", f"""SELECT host, id, CAST(count(*) AS BIGINT) AS pages, CAST(count(*) AS DOUBLE) / any_value(total) AS share
+FROM (SELECT 'site' || (page_id % 9) || '.example.com' AS host, id FROM ({_TRACKERS_SQL})) JOIN (SELECT 'site' || (s_suppkey % 9) ||
+'.example.com' AS host, count(*) AS total FROM supplier GROUP BY 1) USING (host) GROUP BY host, id""")(
+    lambda s, d: C.prevalence(D.detect_trackers(C.with_host(_tracking(s, d)), carry=["host"]), S.tagged_pages(s, d), ["host"]))
 query("tracker_cube", f"""SELECT category, host, CAST(count(*) AS BIGINT) AS n, CAST(grouping(category, host) AS BIGINT) AS level FROM (
   SELECT category, 'site' || (page_id % 9) || '.example.com' AS host FROM ({_TRACKERS_SQL})) GROUP BY CUBE (category, host)""")(
-    lambda s, d: C.category_cube(D.detect_trackers(_tracking(s, d)), S.tagged_pages(s, d)))
+    lambda s, d: C.category_cube(D.detect_trackers(C.with_host(_tracking(s, d)), carry=["host"])))
 query("tracker_reports")(lambda s, d: tracker_report(
     D.group_by_category(D.detect_trackers(_tracking(s, d)), TRACKER_CATEGORIES), S.tagged_pages(s, d)))
 
