@@ -39,8 +39,13 @@ def _placed(segments: DataFrame) -> DataFrame:
     owned = depth.selectExpr(
         "*", "last(opened_table, true) OVER (PARTITION BY page_id, depth ORDER BY pos) AS table_index")
     table = "OVER (PARTITION BY page_id, table_index ORDER BY pos)"
-    rows = owned.selectExpr(
-        "*", f"sum(if(tag = 'tr' AND NOT closing, 1, 0)) {table} AS row_no",
+    # a cell straight after its table, a section or a closed row opens a row of its own, as browsers do
+    before = f"lag(struct(tag AS tag, closing AS closing)) {table}"
+    marked = owned.selectExpr(
+        "*", f"NOT closing AND (tag = 'tr' OR tag IN ('td', 'th') AND coalesce({before}.tag IN ('table', 'thead', 'tbody', 'tfoot') "
+             f"OR {before}.tag IN ('tr', 'caption') AND {before}.closing, false)) AS row_start")
+    rows = marked.selectExpr(
+        "*", f"sum(if(row_start, 1, 0)) {table} AS row_no",
         f"last(if(tag IN ('thead', 'tbody', 'tfoot'), if(closing, 'tbody', tag), NULL), true) {table} AS section",
         f"lead(pos) {table} AS end_pos")
     return rows.selectExpr(
@@ -54,7 +59,7 @@ def extract_tables(parsed: DataFrame, cap: int | None = None, row_cap: int | Non
     """tables(page_id, table_index, caption, id, nested, row_count, truncated, headings, preview) and
     table_cells(page_id, table_index, row, cell, text, colspan, rowspan, header, row_count).
 
-    Rows count in display order (head, body, foot). A nested table keeps its own rows; its text is also part of
+    Rows count in display order (head, body, foot); cells outside a row open one. A nested table keeps its own rows; its text is also part of
     the cell that holds it.
     """
     placed = _placed(_segments(parsed))
@@ -63,7 +68,7 @@ def extract_tables(parsed: DataFrame, cap: int | None = None, row_cap: int | Non
     mark = (f"if(NOT closing AND depth > 0 AND tag IN ('table', 'tr', 'td', 'th', 'caption'){limit}, "
             "named_struct('table_index', table_index, 'depth', depth, 'pos', pos, 'end_pos', coalesce(end_pos, pos + 1), "
             "'tag', tag, 'opened', opened, 'row_no', row_no, 'section_rank', section_rank, 'cell', cell, "
-            "'is_cell', is_cell), NULL)")
+            "'is_cell', is_cell, 'row_start', row_start), NULL)")
     packed = placed.groupBy("page_id").agg(
         F.expr(f"collect_list({mark})").alias("marks"),
         F.expr("transform(array_sort(collect_list(struct(pos, text))), x -> x.text)").alias("texts"))
@@ -76,11 +81,11 @@ def extract_tables(parsed: DataFrame, cap: int | None = None, row_cap: int | Non
         f"{1 if name == 'colspan' else 0}), 65534)")
     table = "OVER (PARTITION BY page_id, table_index ORDER BY pos)"
     numbered = full.selectExpr(
-        "*", f"last(if(tag = 'tr', section_rank, NULL), true) {table} AS tr_section",
+        "*", f"last(if(row_start, section_rank, NULL), true) {table} AS tr_section",
         f"{clip(decode_entities('content'), MAX_TEXT, 'empty')} AS text").selectExpr(
         "*", "dense_rank() OVER (PARTITION BY page_id, table_index, tag IN ('tr', 'td', 'th') AND row_no > 0 "
              "ORDER BY tr_section, row_no) - 1 AS row",
-        "count_if(tag = 'tr') OVER (PARTITION BY page_id, table_index) AS row_count")
+        "count_if(row_start) OVER (PARTITION BY page_id, table_index) AS row_count")
     in_row = "is_cell = 1 AND row_no > 0"
     # a row cap also bounds the height that grids are padded to
     cells = numbered.filter(in_row if row_cap is None else f"{in_row} AND row < {row_cap}").selectExpr(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlsift.extract import blocks as B
+from crawlsift.extract import events as E
 from crawlsift.extract import facts as X
 from crawlsift.extract import signals as G
 from crawlsift.extract import store as ST
@@ -32,7 +33,7 @@ from crawlsift.plans import site_audit
 from crawlsift.plans import synthetic as S
 from crawlsift.registry.technologies import STACK_CATEGORIES
 from crawlsift.registry.trackers import TRACKER_CATEGORIES
-from crawlsift.sinks import csv_documents, export_key, stack_report, store_rows, tracker_report, tracker_rows
+from crawlsift.sinks import csv_documents, export_key, layers_json, stack_report, store_rows, tracker_report, tracker_rows
 from crawlsift.sources import describe_blocked, load_pages
 from crawlsift.streaming import first_sightings
 
@@ -550,6 +551,33 @@ def _entries(s, d) -> DataFrame:
     return EV.annotate_entries(S.event_entries(s, d))
 
 
+_LAYER_SQL = """SELECT event_id AS page_id, l.layer, CAST(l.i AS INTEGER) AS "index", l.event, l.raw FROM events, LATERAL (VALUES
+  ('dataLayer', 0, event_type, CASE WHEN event_id % 4 = 0 THEN '{"event":"' || event_type || '","id":' || event_id ||
+    ',"a":{"b":{"c":{"d":{"e":{"f":[1,{}]}}}}}}' END),
+  ('dataLayer', 0, event_type, CASE WHEN event_id % 4 = 1 THEN '{"event":"' || event_type || '","n":' || event_id || '}' END),
+  ('dataLayer', 1, NULL, CASE WHEN event_id % 4 = 1 THEN '"it''s \\"x\\""' END),
+  ('dataLayer', 0, event_type, CASE WHEN event_id % 4 = 2 THEN '["event","' || event_type || '",{"value":' || event_id || ',"ok":true}]' END),
+  ('_mtm', 0, event_type, CASE WHEN event_id % 4 = 3 THEN '{"event":"' || event_type || '","id":' || event_id || '}' END),
+  ('_mtm', 1, NULL, CASE WHEN event_id % 4 = 3 THEN '{"b":null}' END)) l(layer, i, event, raw) WHERE l.raw IS NOT NULL"""
+query("layer_entries", _LAYER_SQL)(lambda s, d: EV.annotate_entries(E.extract_layers(parse_pages(S.layer_pages(s, d)))).selectExpr(
+    "page_id", "layer", "CAST(index AS INT) AS index", "event", "raw"))
+
+
+def _layer_documents(s, d) -> DataFrame:
+    pages = S.layer_pages(s, d)
+    parsed = parse_pages(pages)
+    containers = D.extract_tag_ids(G.tracking_signals(parsed)).filter("startswith(value, 'GTM-')").groupBy("page_id").agg(
+        F.array_sort(F.collect_set("value")).alias("gtm_containers"))
+    return layers_json(E.extract_layers(parsed), pages, "t", containers, "TIMESTAMP'2024-01-02 03:04:05'")
+
+
+query("layer_documents", f"""SELECT page_id, '{{"tool":"t","version":1,"url":"https://events.example.com/' || page_id ||
+  '","capturedAt":"2024-01-02T03:04:05.000Z","containers":[' || CASE WHEN page_id % 3 = 0 THEN '"GTM-ABC' || (page_id % 9) || 'X"' ELSE '' END ||
+  '],"layers":[{{"name":"' || layer || '","total":' || count(*) || ',"truncated":false,"entries":[' || string_agg(sorted, ',' ORDER BY "index") || ']}}]}}' AS json
+FROM (SELECT *, CASE WHEN page_id % 4 = 0 THEN '{{"a":{{"b":{{"c":{{"d":{{"e":{{"f":[1,{{}}]}}}}}}}}}},' || '"event":"' || event || '","id":' || page_id || '}}'
+  WHEN page_id % 4 = 2 THEN replace(raw, '"value":' || page_id || ',"ok":true', '"ok":true,"value":' || page_id) ELSE raw END AS sorted FROM ({_LAYER_SQL}))
+GROUP BY page_id, layer""")(_layer_documents)
+
 _ENTRY = "CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_type END"
 query("event_entries", f"""SELECT user_id AS page_id, event_id AS "index", {_ENTRY} AS event, CASE WHEN event_id % 10 = 0 THEN 'value, user'
   ELSE event_type END AS label FROM events""")(lambda s, d: _entries(s, d).select("page_id", "index", "event", "label"))

@@ -137,3 +137,19 @@ def event_entries(spark: SparkSession, directory: str) -> DataFrame:
     return _read(spark, directory, "events").selectExpr(
         "user_id AS page_id", "'dataLayer' AS layer", "event_id AS index", f"{raw} AS raw").selectExpr(
         "*", "try_parse_json(raw) AS value")
+
+
+def layer_pages(spark: SparkSession, directory: str) -> DataFrame:
+    """One page per event, its push spelled in one of four ways by event_id % 4; every third one names a tag-manager container."""
+    k, name = "event_id", "event_type"
+    relaxed = (f"concat('window.dataLayer = window.dataLayer || [];\\ndataLayer.push({{event: ''', {name}, ''', id: ', {k}, "
+               "', a: {b: {c: {d: {e: {f: [1, {}]}}}}},});')")
+    initial = f"concat('dataLayer = [{{''event'': \"', {name}, '\", ''n'': ', {k}, '}}, ''it\\\\''s \"x\"''];')"
+    command = (f"concat('function gtag(){{dataLayer.push(arguments);}} gtag(''js'', new Date()); gtag(''event'', ''', {name}, "
+               f"''', {{value: ', {k}, ', ok: !0}})')")
+    comments = (f"concat('/* dataLayer.push({{\"no\":1}}) */ _mtm.push({{\"event\":\"', {name}, '\",\"id\":', {k}, "
+                "'}, {b: undefined}); // _mtm.push({\"x\":1})')")
+    head = [
+        f"if({k} % 3 = 0, concat('<script src=\"https://www.googletagmanager.com/gtm.js?id=GTM-ABC', {k} % 9, 'X\"></script>'), '')",
+        f"'<script>', CASE {k} % 4 WHEN 0 THEN {relaxed} WHEN 1 THEN {initial} WHEN 2 THEN {command} ELSE {comments} END, '</script>'"]
+    return _pages(_read(spark, directory, "events"), k, f"'https://events.example.com/', {k}", head, [])

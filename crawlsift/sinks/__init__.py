@@ -46,18 +46,23 @@ def csv_documents(rows: DataFrame, columns: list[str], order: str, delimiter: st
     return body.selectExpr(key, f"concat({lit(BOM if bom else '')}, {lit(delimiter.join(columns))}, '\\r\\n', body) AS document")
 
 
-def write_csv(rows: DataFrame, path: str, columns: list[str], delimiter: str = ",", bom: bool = True) -> None:
-    """Every row as a line of part files; each part starts with the header (and the BOM)."""
-    header = (BOM if bom else "") + delimiter.join(columns)
-    lines = rows.selectExpr(f"{csv_line(columns, delimiter)} AS value")
-    # the header belongs to each part: it is the first row of the partition, added by rank inside the task
-    ranked = lines.selectExpr("value", "monotonically_increasing_id() & ((1L << 33) - 1) AS n")
-    out = ranked.selectExpr(f"explode(if(n = 0, array({lit(header)}, value), array(value))) AS value")
-    out.write.mode("overwrite").option("lineSep", "\r\n").text(path)
+def write_csv(rows: DataFrame, path: str, columns: list[str], delimiter: str = ",", bom: bool = True, order: list[str] | None = None) -> None:
+    """Every row as a line of part files under `path`/rows, in the order of their names; the header is a file of its own, `path`/header.
+
+    Rows are ranged and sorted by `order` (page and position where the rows have them). Read as a whole, header first, the files are one
+    CSV document; so no part repeats the header, and a part that is written again after a lost executor is the same.
+    """
+    keys = order or [c for c in ("page_id", "table_index", "row", "pos", "index") if c in rows.columns] or columns
+    lines = rows.selectExpr(*[f"`{k}` AS _o{i}" for i, k in enumerate(keys)], f"{csv_line(columns, delimiter)} AS value")
+    names = [f"_o{i}" for i in range(len(keys))]
+    lines.repartitionByRange(*names).sortWithinPartitions(*names).select("value").write.mode("overwrite").option("lineSep", "\r\n").text(f"{path}/rows")
+    header = rows.sparkSession.createDataFrame([((BOM if bom else "") + delimiter.join(columns),)], "value string")
+    header.coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(f"{path}/header")
 
 
 def write_plain_urls(urls: DataFrame, path: str) -> None:
-    urls.select("value").write.mode("overwrite").text(path)
+    """One address a line, ordered by page and position over the part files."""
+    urls.repartitionByRange("page_id", "pos").sortWithinPartitions("page_id", "pos").select("value").write.mode("overwrite").text(path)
 
 
 def write_markdown(documents: DataFrame, path: str, buckets: int = 64) -> None:
@@ -127,18 +132,26 @@ def schema_json(entities: DataFrame, findings: DataFrame, blocks: DataFrame, sum
                    "coalesce(parseErrors, array()) AS parseErrors, coalesce(entities, array()) AS entities)) AS json")
 
 
-def layers_json(entries: DataFrame, pages: DataFrame, tool: str = TOOL) -> DataFrame:
-    """(page_id, json): every layer with its entries, in queue order."""
+def layers_json(entries: DataFrame, pages: DataFrame, tool: str = TOOL, containers: DataFrame | None = None,
+                captured_at: str = "current_timestamp()") -> DataFrame:
+    """(page_id, json): every layer with its entries, in queue order.
+
+    `containers` has a page's tag-manager containers in `gtm_containers`, as `tracking_signals` gives them. Pass the result of
+    `filter_entries` to export what a search left.
+    """
     layers = entries.groupBy("page_id", "layer", "total", "truncated").agg(F.expr(
         "transform(array_sort(collect_list(struct(index, raw))), x -> x.raw)").alias("raws"))
     ranked = f"struct({LAYER_RANK.format('layer')} AS rank, layer, total, truncated, raws)"
     per_page = layers.groupBy("page_id").agg(F.expr(
         f"transform(array_sort(collect_list({ranked})), x -> struct(x.layer AS name, x.total, x.truncated, "
-        "transform(x.raws, r -> parse_json(r)) AS entries))").alias("layers"))
-    when = "date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")"
-    return pages.select("page_id", "url").join(per_page, "page_id").selectExpr(
-        "page_id", f"to_json(struct({lit(tool)} AS tool, 1 AS version, url, {when} AS capturedAt, CAST(array() AS ARRAY<STRING>) AS containers, "
-                   "layers)) AS json")
+        "transform(x.raws, r -> try_parse_json(r)) AS entries))").alias("layers"))
+    rows = pages.select("page_id", "url", F.expr(captured_at).cast("timestamp").alias("at")).join(per_page, "page_id")
+    if containers is not None:
+        rows = rows.join(containers.select("page_id", "gtm_containers"), "page_id", "left")
+    known = "CAST(array() AS ARRAY<STRING>)" if containers is None else "coalesce(gtm_containers, CAST(array() AS ARRAY<STRING>))"
+    when = "date_format(at, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")"
+    return rows.selectExpr(
+        "page_id", f"to_json(struct({lit(tool)} AS tool, 1 AS version, url, {when} AS capturedAt, {known} AS containers, layers)) AS json")
 
 
 def report_markdown(rows: DataFrame, title: str, section: str, line: str, order: list[str], section_order: str = "section") -> DataFrame:

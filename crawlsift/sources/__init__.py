@@ -20,14 +20,14 @@ _SCHEME = "Chrome does not allow extensions on this page."
 _HOST = ("Chrome does not allow extensions on the Web Store.", "Open any other website and try again.")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the files have fewer splits than the cluster has cores.
+#: Session setting: how many partitions pages are dealt to before they are parsed. Unset, they stay as the files are split, without a
+#: shuffle. It is for few files of one row group each, which Spark cannot split (as in bench.py).
+INPUT_PARTITIONS = "spark.crawlsift.inputPartitions"
+
 
-    Parsing is far dearer than moving a row, and so few splits mean little data. Larger inputs are left as they are:
-    no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame) -> DataFrame:
+    parts = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def load_pages(spark: SparkSession, directory: str, table: str = "pages") -> DataFrame:

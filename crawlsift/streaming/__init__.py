@@ -46,35 +46,64 @@ def split_late(events: DataFrame, ts: str = "ts", arrived: str = "arrived_at", a
     return events.withColumn("late", F.col(arrived) > F.col(ts) + F.expr(f"INTERVAL {allowed}"))
 
 
-def run(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None]):
-    """Start a query that hands every micro-batch to `batch` and stops when the input is read."""
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def route_late(late_table: str, on_time: Callable[[DataFrame, int], None], ts: str = "ts", arrived: str = "arrived_at",
+               allowed: str = "10 minutes") -> Callable[[DataFrame, int], None]:
+    """A `foreachBatch` function: late events go to the side table, the others to `on_time`.
 
+    The side table is partitioned by batch, so a batch that runs again replaces its own rows.
+    """
+    def route(batch: DataFrame, epoch: int) -> None:
+        marked = split_late(batch, ts, arrived, allowed).persist()
+        marked.filter("late").drop("late").withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(late_table)
+        on_time(marked.filter("NOT coalesce(late, false)").drop("late"), epoch)
+        marked.unpersist()
+
+    return route
+
+
+def run(stream: DataFrame, checkpoint: str | None, batch: Callable[[DataFrame, int], None], name: str = "stream"):
+    """Start a query that hands every micro-batch to `batch` and stops when the input is read.
+
+    Without `checkpoint`, its folder is `name` under spark.checkpoint.dir.
+    """
+    shared = checkpoint_folder(stream.sparkSession)
+    if checkpoint is None and shared is None:
+        raise ValueError("name a checkpoint folder or set spark.checkpoint.dir")
+    folder = checkpoint or f"{shared.rstrip('/')}/{name}"
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", folder).trigger(availableNow=True).start()
 
-def change_stream(captures: DataFrame, store: str, columns: list[str], on_change: Callable[[DataFrame, int], None]):
-    """A `foreachBatch` function: compares each batch's newest captures with the table at `store`, then adds them to it.
 
-    The table keeps every version, partitioned by batch, so a batch that is run again after a lost executor
-    overwrites only its own part.
+def change_stream(captures: DataFrame, store: str, columns: list[str], on_change: Callable[[DataFrame, int], None], buckets: int = 256):
+    """A `foreachBatch` function: compares each batch's newest captures with the table at `store`, then brings it up to date.
+
+    The table holds one row per url, in buckets by a hash of the url. A batch reads the newest version of the buckets it touches and
+    writes their next version under its own number, so a batch that runs again after a lost executor replaces only its own output.
+    Versions older than the last finished batch are never read and may be deleted.
     """
     from crawlsift.operators.corpus import diff_captures, latest_capture
 
+    state = ["url", "page_id", "captured_at", *columns]
+    schema = captures.select(*state).withColumn("epoch", F.lit(0).cast("long")).withColumn("bucket", F.lit(0)).schema
+
     def compare(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = latest_capture(batch).select("url", "page_id", "captured_at", *columns)
-        try:
-            old = spark.read.parquet(store).filter(F.col("epoch") < epoch)
-            known = latest_capture(old.join(new.select("url"), "url", "left_semi"))
-        except Exception as error:  # nothing stored yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            known = new.limit(0)
-        on_change(diff_captures(known.select("url", *columns), new.select("url", *columns), columns), epoch)
-        new.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(store)
+        new = latest_capture(batch).select(*state, F.expr(f"CAST(pmod(xxhash64(url), {buckets}) AS INT) AS bucket")).persist()
+        spark.createDataFrame([], schema).write.mode("ignore").partitionBy("epoch", "bucket").parquet(store)
+        stored = spark.read.schema(schema).parquet(store).filter(F.col("epoch") < epoch)
+        touched = new.select("bucket").distinct()
+        newest = stored.join(F.broadcast(touched), "bucket", "left_semi").groupBy("bucket").agg(F.max("epoch").alias("epoch"))
+        known = stored.join(F.broadcast(newest), ["bucket", "epoch"])  # at most a row per bucket
+        before = known.join(new.select("url"), "url", "left_semi")
+        after = latest_capture(before.select(*state).unionByName(new.select(*state)))
+        on_change(diff_captures(before.select("url", *columns), after.select("url", *columns), columns), epoch)
+        merged = known.join(new.select("url"), "url", "left_anti").select(*state).unionByName(after)
+        merged.withColumn("epoch", F.lit(epoch).cast("long")).withColumn("bucket", F.expr(f"CAST(pmod(xxhash64(url), {buckets}) AS INT)")).repartition(
+            "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch", "bucket").parquet(store)
+        new.unpersist()
 
     return compare
 
 
 __all__ = ["audit_stream", "change_stream", "checkpoint_folder", "event_sessions", "event_windows", "first_sightings",
-           "run", "split_late"]
+           "route_late", "run", "split_late"]

@@ -102,9 +102,10 @@ def test_csv_round_trip(spark, tmp_path):
     assert text.startswith("\ufeff")
     back = list(csv.reader(io.StringIO(text.lstrip("\ufeff"), newline="")))
     assert [r[1] for r in back[1:]] == ['a,"b"', "line\nbreak", " edge ", "'=1+1", "", "é"]
-    write_csv(df.coalesce(1), str(tmp_path / "out"), ["pos", "v"])
-    parts = [p.read_bytes() for p in (tmp_path / "out").glob("part-*") if p.stat().st_size]
-    assert len(parts) == 1 and parts[0].startswith("\ufeffpos,v\r\n".encode())
+    write_csv(df.orderBy(F.desc("pos")).repartition(3), str(tmp_path / "out"), ["pos", "v"])
+    names = [*sorted((tmp_path / "out" / "header").glob("part-*")), *sorted((tmp_path / "out" / "rows").glob("part-*"))]
+    whole = b"".join(p.read_bytes() for p in names).decode("utf-8")
+    assert whole.removesuffix("\r\n") == text
 
 
 def test_schema_and_layer_documents(page):
@@ -158,7 +159,11 @@ def test_changes_between_captures(spark, tmp_path):
     seen = []
     write([(1, "u", "a", 1), (2, "v", "a", 1)], 1)
     write([(3, "u", "b", 2), (4, "v", "a", 2)], 2)
-    assert seen == [[("u", "added", []), ("v", "added", [])], [("u", "changed", ["title"])]]
+    write([(1, "u", "c", 3), (1, "u", "b", 3), (9, "v", "old", 0), (5, "w", "a", 3)], 3)  # a page id that recurs, a tie, a late capture
+    assert seen[:2] == [[("u", "added", []), ("v", "added", [])], [("u", "changed", ["title"])]]
+    assert [r[:2] for r in seen[2] if r[0] != "u"] == [("w", "added")]
+    write([(1, "w", "b", 4)], 4)
+    assert seen[3] == [("w", "changed", ["title"])]
 
 
 def test_every_query_is_registered_with_a_builder(spark):
