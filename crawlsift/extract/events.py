@@ -31,7 +31,7 @@ def _as_json(token: str) -> str:
         (matches(token, r"^/[/*]"), "' '"),
         (matches(token, r"(?s)^gtag\s*\(\z"), site("'dataLayer'", "command[")),
         (matches(token, r"(?s)push\s*\(\z"), site(extract(token, r"(?s)([\w$]+)\s*\.\s*push\s*\(\z", 1), "items[")),
-        (matches(token, r"(?s)^[\w$.\s]+="), site(extract(token, r"(?s)([\w$]+)\s*=", 1), "items")),
+        (matches(token, r"(?s)^[\w$][\w$.\s]*="), site(extract(token, r"(?s)([\w$]+)\s*=", 1), "items")),
         (matches(token, r"(?s)^[\w$]+\s*:\z"), f"concat('\"', {extract(token, r'^[\w$]+')}, '\":')"),
         (matches(token, r"(?s)^,\s*[}\])]\z"), f"replace(right({token}, 1), ')', ']')"),
         (f"{token} = ')'", "']'"), (f"{token} = 'undefined'", "'null'"), (f"{token} = '!0'", "'true'"), (f"{token} = '!1'", "'false'"),
