@@ -17,7 +17,8 @@ from crawlsift.extract import tables as TB
 from crawlsift.extract.markup import html_tokens, parse_pages
 from crawlsift.extract.tokens import extract_tokens, with_context
 from crawlsift.functions.csv import csv_field
-from crawlsift.functions.markdown import inline_code, markdown_escape
+from crawlsift.functions.markdown import inline_code, link_target, markdown_escape
+from crawlsift.functions.money import discount_percent, offer_available, offer_price_cents
 from crawlsift.functions.text import clip, count_words, js_length, normalise_alnum
 from crawlsift.functions.urls import file_name_of, host_of
 from crawlsift.operators import corpus as C
@@ -33,9 +34,9 @@ from crawlsift.plans import site_audit
 from crawlsift.plans import synthetic as S
 from crawlsift.registry.technologies import STACK_CATEGORIES
 from crawlsift.registry.trackers import TRACKER_CATEGORIES
-from crawlsift.sinks import csv_documents, export_key, layers_json, stack_report, store_rows, tracker_report, tracker_rows
+from crawlsift.sinks import audit_json, csv_documents, export_key, layers_json, stack_report, store_rows, tracker_report, tracker_rows
 from crawlsift.sources import describe_blocked, load_pages
-from crawlsift.streaming import first_sightings
+from crawlsift.streaming import first_sightings, split_late
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -252,6 +253,12 @@ FROM ({_FINDINGS_SQL}) GROUP BY ROLLUP (id, status)""")(
     lambda s, d: FD.rollup_findings(seo.audit_pages(_facts(s, d)), S.product_pages(s, d), []))
 query("heading_skips", "SELECT p_partkey AS page_id, 1 AS \"from\", 3 AS \"to\", 1 AS pos, 'Details' AS text FROM part WHERE p_partkey % 6 = 0")(
     lambda s, d: seo.heading_skip(_facts(s, d)))
+query("audit_documents", f"""SELECT page_id, 't' AS tool, 'https://shop.example.com/part/' || page_id AS url, p_name || ' & more' AS title, status,
+  CAST(error AS VARCHAR) AS errors, CAST(warning AS VARCHAR) AS warnings, CAST(total AS INTEGER) AS findings FROM ({_SUMMARY.format(_FINDINGS_SQL)})
+JOIN part ON p_partkey = page_id""")(lambda s, d: audit_json(_facts(s, d), seo.audit_pages(_facts(s, d)), tool="t").selectExpr(
+    "page_id", "get_json_object(json, '$.tool') AS tool", "get_json_object(json, '$.url') AS url", "get_json_object(json, '$.page.title') AS title",
+    "get_json_object(json, '$.summary.status') AS status", "get_json_object(json, '$.summary.error') AS errors",
+    "get_json_object(json, '$.summary.warning') AS warnings", "json_array_length(get_json_object(json, '$.findings')) AS findings"))
 query("social_previews", f"""SELECT p_partkey AS page_id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || ' & more' END AS title,
   CASE WHEN p_partkey % 4 <> 0 THEN {_DESC} END AS description,
   CASE WHEN p_partkey % 3 = 0 THEN {_SHOP}/img/' || p_partkey || '.png' END AS image, '' AS image_alt,
@@ -357,6 +364,11 @@ query("table_csv", f"""SELECT page_id, "row", string_agg(CASE WHEN value LIKE '=
 AS line FROM ({_GRID_SQL}) GROUP BY page_id, "row" """)(
     lambda s, d: tables.grid_csv(tables.expand_grid(_cells(s, d)), ";").select("page_id", "row", "line"))
 
+query("long_tables", """SELECT l_suppkey AS page_id, CAST(count(*) AS INTEGER) AS "rows", 2 AS "columns", CAST(2 * count(*) AS BIGINT) AS cells,
+  CAST(0 AS BIGINT) AS empty FROM lineitem GROUP BY l_suppkey""")(
+    lambda s, d: tables.measure_grid(tables.expand_grid(TB.extract_tables(parse_pages(S.long_table_pages(s, d)))[1])).selectExpr(
+        "page_id", "CAST(rows AS INT) AS rows", "CAST(columns AS INT) AS columns", "cells", "empty"))
+
 
 # --- Markdown -------------------------------------------------------------------------------------
 
@@ -433,6 +445,14 @@ SELECT p_partkey AS page_id, r.section, r.field, r.value FROM part JOIN v ON v.p
   ('Apps', CASE WHEN p_partkey % 3 = 0 THEN 'Klaviyo' END, 'detected')) r(section, field, value)
 WHERE r.field IS NOT NULL AND r.value IS NOT NULL""")(lambda s, d: store_rows(store.describe_store(_stores(s, d)), D.detect_apps(_stores(s, d))))
 
+query("offer_values", f"""SELECT p_partkey, {_CENTS} AS cents, p_partkey % 3 <> 1 AS available, CASE WHEN p_partkey % 50 > 0 THEN
+  CAST(round(CAST(p_partkey % 50 * 10000 AS DOUBLE) / ({_CENTS} + p_partkey % 50 * 100)) AS INTEGER) END AS discount FROM part""")(
+    lambda s, d: _read(s, d, "part").selectExpr("p_partkey", """parse_json(concat('{"offers":', if(p_partkey % 2 = 0, '[', ''), '{"', if(p_partkey % 3 = 0,
+      'lowPrice', 'price'), '":"', CAST(p_retailprice AS DECIMAL(12, 2)), '","availability":"https://schema.org/', element_at(array('InStock',
+      'OutOfStock', 'PreOrder'), CAST(p_partkey % 3 + 1 AS INT)), '"}', if(p_partkey % 2 = 0, ']', ''), '}')) AS node""").selectExpr(
+        "p_partkey", f"{offer_price_cents('node')} AS cents", f"{offer_available('node')} AS available").selectExpr(
+        "*", f"{discount_percent('cents', '(cents + p_partkey % 50 * 100)')} AS discount"))
+
 
 # --- trackers and technologies --------------------------------------------------------------------
 
@@ -477,6 +497,12 @@ query("tracker_cube", f"""SELECT category, host, CAST(count(*) AS BIGINT) AS n,
 query("tracker_reports")(lambda s, d: tracker_report(
     D.group_by_category(D.detect_trackers(_tracking(s, d)), TRACKER_CATEGORIES), S.tagged_pages(s, d)))
 
+query("cookie_trackers", """SELECT s_suppkey AS page_id, t.id, t.evidence FROM supplier, LATERAL (VALUES
+  ('ga4', CASE WHEN s_suppkey % 2 = 0 THEN 'cookie _ga' END), ('hotjar', CASE WHEN s_suppkey % 5 = 0 THEN 'cookie _hjSessionUser' END)) t(id, evidence)
+WHERE t.evidence IS NOT NULL""")(
+    lambda s, d: D.detect_trackers(G.tracking_signals(parse_pages(S.tagged_pages(s, d)), S.captured_cookies(s, d))).selectExpr(
+        "page_id", "id", "explode(filter(evidence, e -> startswith(e, 'cookie'))) AS evidence"))
+
 
 def _stack(s, d) -> DataFrame:
     return D.detect_stack(G.stack_signals(parse_pages(S.tagged_pages(s, d))))
@@ -609,6 +635,10 @@ query("first_sightings", """SELECT event_type AS url, min(event_id) AS page_id,
     lambda s, d: first_sightings(_read(s, d, "events").selectExpr("event_type AS url", "event_id AS page_id", "props AS html", "ts AS captured_at"))
     .select("url", "page_id", "html"))
 
+query("late_events", "SELECT event_id, event_id % 20 > 10 AS late FROM events")(
+    lambda s, d: split_late(_read(s, d, "events").withColumn("arrived_at", F.expr("ts + make_dt_interval(0, 0, CAST(event_id % 20 AS INT))"))).select(
+        "event_id", "late"))
+
 
 # --- scalar functions over whole texts ------------------------------------------------------------
 
@@ -632,3 +662,7 @@ query("export_names", f"""SELECT page_id, 'page-audit-' || regexp_replace({_HOST
 query("file_names", """SELECT page_id, regexp_replace(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''),
   '([^/]+)/*$', 1), '\\.[a-z0-9]{1,5}$', '') AS name FROM pages""")(
     lambda s, d: load_pages(s, d).selectExpr("page_id", f"{file_name_of('url')} AS name"))
+query("link_targets", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN u ELSE '<' || u || '>' END AS target FROM (SELECT p_partkey,
+  'https://e.example.com/' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '/a(b)' WHEN 1 THEN '/a b' ELSE '/ab' END AS u FROM part)""")(
+    lambda s, d: _read(s, d, "part").selectExpr("p_partkey", "concat(' https://e.example.com/', p_partkey, element_at(array('/a(b)', '/a b', '/ab'), "
+                                                "CAST(p_partkey % 3 + 1 AS INT))) AS u").selectExpr("p_partkey", f"{link_target('u')} AS target"))

@@ -7,6 +7,7 @@ key's remainder, so an independent query over the same relation says what every
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from crawlsift.sources import spread
 
@@ -153,3 +154,17 @@ def layer_pages(spark: SparkSession, directory: str) -> DataFrame:
         f"if({k} % 3 = 0, concat('<script src=\"https://www.googletagmanager.com/gtm.js?id=GTM-ABC', {k} % 9, 'X\"></script>'), '')",
         f"'<script>', CASE {k} % 4 WHEN 0 THEN {relaxed} WHEN 1 THEN {initial} WHEN 2 THEN {command} ELSE {comments} END, '</script>'"]
     return _pages(_read(spark, directory, "events"), k, f"'https://events.example.com/', {k}", head, [])
+
+
+def long_table_pages(spark: SparkSession, directory: str) -> DataFrame:
+    """One page per supplier with all its line items in one table; every row without a close tag, the first cell without a row."""
+    rows = _read(spark, directory, "lineitem").groupBy("l_suppkey").agg(F.expr(
+        "array_join(array_sort(collect_list(concat('<td>', lpad(l_orderkey, 12, '0'), '<td>', l_linenumber))), '<tr>')").alias("cells"))
+    return _pages(rows, "l_suppkey", "'https://lines.example.com/', l_suppkey", [], ["'<table>', cells, '</table>'"])
+
+
+def captured_cookies(spark: SparkSession, directory: str) -> DataFrame:
+    """What a live browser saw on the tagged pages: cookie names by s_suppkey."""
+    return _read(spark, directory, "supplier").selectExpr("CAST(s_suppkey AS BIGINT) AS page_id", (
+        "array_compact(array(if(s_suppkey % 2 = 0, concat('_ga_X', s_suppkey), NULL), if(s_suppkey % 5 = 0, '_hjSessionUser_1', NULL), "
+        "if(s_suppkey % 7 = 0, '_fb', NULL), '', 'sid')) AS cookie_names"))
