@@ -4,7 +4,8 @@ Each tree of the forest orders the signature's values in its own way; sorted by
 neighbours. A region (a run of documents that share a prefix) starts at a short prefix; where it holds more than `region` documents it
 is cut by the next longer prefix, as often as needed. Beyond the longest prefix a region is dealt into parts that all hold the same few
 pivots. Inside a region the sorted neighbours, each document's most similar ones by signature, and the one similar to most become
-candidates; a candidate pair counts only if the full sets agree to the threshold.
+candidates; a candidate pair counts only if the full sets agree to the threshold. Once these links have made components, every pair of
+a region of the shortest prefix that lies in two of them and whose signatures agree is tested as well.
 
 Documents with equal sets are one class from the start, so copies are never expanded into pairs. Components of the links are found by
 passing the smallest id along links and shortcuts.
@@ -93,18 +94,23 @@ def _prefix_keys(sigs: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.list_(pa.int64())))
 
 
-def _regions(classes: DataFrame, region: int) -> DataFrame:
-    """rep, tree, region: of all regions of two classes or more."""
-    rows = classes.select("rep", F.posexplode(_prefix_keys("sig")).alias("tree", "keys"))
+def _shared(rows: DataFrame, level: int) -> DataFrame:
+    """The rows whose region of this level holds two classes or more, with their number m."""
+    keyed = rows.withColumn("region", F.col("keys")[level])
+    return keyed.join(keyed.groupBy("region").agg(F.count("*").alias("m")).where("m > 1"), "region")
 
-    def shared(rows: DataFrame, level: int) -> DataFrame:
-        keyed = rows.withColumn("region", F.col("keys")[level])
-        return keyed.join(keyed.groupBy("region").agg(F.count("*").alias("m")).where("m > 1"), "region")
 
-    left, out = written(shared(rows, 0)), []
+def widest_regions(classes: DataFrame) -> DataFrame:
+    """region, rep, tree, keys, m: regions of the shortest prefix."""
+    return written(_shared(classes.select("rep", F.posexplode(_prefix_keys("sig")).alias("tree", "keys")), 0))
+
+
+def _regions(widest: DataFrame, region: int) -> DataFrame:
+    """rep, tree, region: of all regions of two classes or more, cut where dense."""
+    left, out = widest, []
     for level in range(1, len(PREFIXES)):
         out.append(left.where(F.col("m") <= region))
-        left = shared(left.where(F.col("m") > region).select("rep", "tree", "keys"), level)
+        left = _shared(left.where(F.col("m") > region).select("rep", "tree", "keys"), level)
     out.append(left.where(F.col("m") <= region))
     dense = left.where(F.col("m") > region).withColumn("parts", F.ceil(F.col("m") / region))
     pivots = dense.groupBy("region").agg(*[F.min_by("rep", F.xxhash64("rep", F.lit(i))).alias(f"p{i}") for i in range(4)], F.first("tree").alias("tree"), F.max("parts").alias("parts"))
@@ -137,7 +143,7 @@ def region_pairs(reps: np.ndarray, sigs: np.ndarray, tree: int, least: float) ->
         yield from zip(a[ok], b[ok])
 
 
-def candidates(classes: DataFrame, region: int, least: float) -> DataFrame:
+def candidates(classes: DataFrame, widest: DataFrame, region: int, least: float) -> DataFrame:
     """Distinct pairs (a < b) of class representatives from all trees whose signatures agree in a share of at least `least`."""
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,11 +166,76 @@ def candidates(classes: DataFrame, region: int, least: float) -> DataFrame:
         if len(held) > 1:
             yield _pair_batch(set(found(held)))
 
-    rows = _regions(classes, region).join(classes.select("rep", "sig"), "rep")
+    rows = _regions(widest, region).join(classes.select("rep", "sig"), "rep")
     rows = rows.repartition("region").sortWithinPartitions("region", "rep").select("region", "rep", "sig", "tree")
     return rows.mapInArrow(pairs, "a long, b long").distinct()
 
 
+def apart_pairs(sigs: np.ndarray, sizes: np.ndarray, roots: np.ndarray, parts: np.ndarray, least: float, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All index pairs of a block whose signatures agree in a share of at least `least`, whose roots differ and whose set sizes allow
+    the similarity; with two parts in the block, pairs of different parts. The flag marks the four most alike of each two roots."""
+    order = np.argsort(roots, kind="stable")
+    sigs, sizes, roots, parts = sigs[order], sizes[order], roots[order], parts[order]
+    after, several = np.searchsorted(roots, roots, "right"), bool((parts != parts[0]).any())
+    found = []
+    for i in range(0, len(roots), 32):
+        low = after[i]
+        if low == len(roots):
+            break
+        mine = slice(i, i + 32)
+        alike = np.count_nonzero(sigs[mine, None, :] == sigs[None, low:, :], axis=-1)
+        ok = (alike >= least * HASHES) & (roots[mine, None] < roots[None, low:])
+        ok &= 100 * np.minimum(sizes[mine, None], sizes[None, low:]) >= percent * np.maximum(sizes[mine, None], sizes[None, low:])
+        if several:
+            ok &= parts[mine, None] != parts[None, low:]
+        x, y = np.nonzero(ok)
+        found.append((x + i, y + low, alike[x, y]))
+    if not found:
+        return order[:0], order[:0], np.empty(0, bool)
+    a, b, alike = (np.concatenate(x) for x in zip(*found))
+    by = np.lexsort([-alike, roots[b], roots[a]])
+    a, b = a[by], b[by]
+    new = np.ones(len(a), bool)
+    new[1:] = (roots[a[1:]] != roots[a[:-1]]) | (roots[b[1:]] != roots[b[:-1]])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+    return order[a], order[b], np.arange(len(a)) - first < 4
+
+
+def apart(classes: DataFrame, widest: DataFrame, roots: DataFrame, region: int, least: float, percent: int) -> DataFrame:
+    """a, b, best: every pair of a region of the shortest prefix that no component holds yet and whose signatures agree; `best`: among
+    the four most alike of two components in some block. Regions of eight or fewer were compared in full before."""
+
+    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def found(group: list[tuple]) -> pa.RecordBatch:
+            reps, roots, sizes, parts = (np.array([g[k] for g in group]) for k in (1, 2, 3, 4))
+            sigs = np.frombuffer(b"".join(g[5] for g in group), "<u2").reshape(len(group), HASHES)
+            x, y, best = apart_pairs(sigs, sizes, roots, parts, least, percent)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(reps[x], reps[y]), pa.int64()), pa.array(np.maximum(reps[x], reps[y]), pa.int64()), pa.array(best)], names=["a", "b", "best"])
+
+        for batch in small_batches(batches, 2048):
+            for row in zip(*(batch[c].to_pylist() for c in ("block", "rep", "root", "n_shingles", "part", "sig"))):
+                if held and held[0][0] != row[0]:
+                    if len(held) > 1:
+                        yield found(held)
+                    held = []
+                held.append(row)
+        if len(held) > 1:
+            yield found(held)
+
+    rows = widest.where(F.col("m") > 8).select("region", "rep", "m", "tree").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    mixed = rows.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("region")
+    rows = _blocks(rows.join(mixed, "region"), region).join(classes.select("rep", "sig", "n_shingles"), "rep")
+    rows = rows.repartition("block").sortWithinPartitions("block", "rep").select("block", "rep", "root", "n_shingles", "part", "sig")
+    return rows.mapInArrow(pairs, "a long, b long, best boolean").groupBy("a", "b").agg(F.max("best").alias("best"))
+
+
+def _blocks(rows: DataFrame, region: int) -> DataFrame:
+    """rep, root, part, block: the regions as they are."""
+    return rows.where(F.col("m") <= region).select("rep", "root", F.lit(0).alias("part"), F.col("region").alias("block"))
+
+
 def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
@@ -234,6 +305,19 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root after some more links: components of the components."""
+
+    def at_root(links: DataFrame, end: str) -> DataFrame:
+        return links.join(roots.toDF(end, "r"), end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
+
+    further = components(at_root(at_root(links, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).toDF("root", "low")
+    known = roots.join(further, "root", "left").select("node", F.coalesce("low", "root").alias("root"))
+    # a node without links before is its own root
+    single = further.select(F.col("root").alias("node"), F.col("low").alias("root")).join(roots, "node", "left_anti")
+    return written(known.union(single))
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, region: int = 1000, slack: float = 0.16) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs. `slack`: how far a signature may understate a similarity."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
@@ -241,10 +325,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, region:
     shape = ["n_shingles", "f1", "f2"]
     real = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     reps = written(real.groupBy(*shape).agg(F.min("doc_id").alias("rep")))
-    classes = written(real.join(reps, (real.doc_id == reps.rep) & (real.f1 == reps.f1) & (real.f2 == reps.f2) & (real.n_shingles == reps.n_shingles), "left_semi").select(F.col("doc_id").alias("rep"), "sig").distinct())
-    pairs = written(candidates(classes, region, percent / 100 - slack))
-    links = confirmed(pairs, rows.where("doc_id IS NOT NULL"), words, percent)
-    roots = components(links)
+    classes = written(real.join(reps, (real.doc_id == reps.rep) & (real.f1 == reps.f1) & (real.f2 == reps.f2) & (real.n_shingles == reps.n_shingles), "left_semi").select(F.col("doc_id").alias("rep"), "sig", "n_shingles").distinct())
+    least, known = percent / 100 - slack, rows.where("doc_id IS NOT NULL")
+    widest = widest_regions(classes)
+    pairs = written(candidates(classes, widest, region, least))
+    roots = components(confirmed(pairs, known, words, percent))
+    # What is not in one component yet: the most alike of two components first, then all that is still apart.
+    rest = written(apart(classes, widest, roots, region, least, percent).join(pairs, ["a", "b"], "left_anti"))
+    for some in (F.col("best"), ~F.col("best")):
+        ends = rest.where(some).join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+        open_pairs = written(ends.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+        if not open_pairs.isEmpty():
+            roots = joined(roots, confirmed(open_pairs, known, words, percent))
     named = written(reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*shape, F.coalesce("root", "rep").alias("root")))
     found = signed.select("doc_id", *shape).join(named, shape, "left")
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))

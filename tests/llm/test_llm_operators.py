@@ -136,6 +136,21 @@ def test_near_duplicates_are_the_brute_force_components(spark):
         assert all(r["kept"] == (i == roots[i]) for i, r in got.items())
 
 
+def test_one_link_between_two_families_joins_them(spark):
+    texts = {}
+    for family in (0, 1):
+        for version in range(50):
+            w = [f"w1x{i}" for i in range(300)]
+            if family:
+                w[100:130] = [f"other{j}" for j in range(30)]
+            w[299] = "bridge" if version == 25 else f"v{family}x{version}"  # versions 25 are at 0.8, all others of two families below
+            texts[family * 50 + version] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    roots, _ = brute_components(texts, 4)
+    assert set(roots.values()) == {0} and set(brute_components({i: t for i, t in texts.items() if i != 25}, 4)[0].values()) == {0, 50}
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()} == roots
+
+
 def test_near_duplicates_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (None, "a b c d e"), (3, None)], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect())
