@@ -113,9 +113,9 @@ def _regions(widest: DataFrame, region: int) -> DataFrame:
         left = _shared(left.where(F.col("m") > region).select("rep", "tree", "keys"), level)
     out.append(left.where(F.col("m") <= region))
     dense = left.where(F.col("m") > region).withColumn("parts", F.ceil(F.col("m") / region))
-    pivots = dense.groupBy("region").agg(*[F.min_by("rep", F.xxhash64("rep", F.lit(i))).alias(f"p{i}") for i in range(4)], F.first("tree").alias("tree"), F.max("parts").alias("parts"))
+    pivots = dense.groupBy("region").agg(*[F.min_by("rep", F.xxhash64("rep", "tree", F.lit(i))).alias(f"p{i}") for i in range(4)], F.first("tree").alias("tree"), F.max("parts").alias("parts"))
     pivots = pivots.select(F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(4)]))).alias("rep"), "tree", "region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = dense.select("rep", "tree", "region", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part")).union(pivots).distinct()
+    dealt = dense.select("rep", "tree", "region", F.pmod(F.xxhash64("rep", "tree"), F.col("parts")).alias("part")).union(pivots).distinct()
     done = out[0].select("rep", "tree", "region")
     for x in out[1:]:
         done = done.union(x.select("rep", "tree", "region"))
@@ -232,8 +232,13 @@ def apart(classes: DataFrame, widest: DataFrame, roots: DataFrame, region: int,
 
 
 def _blocks(rows: DataFrame, region: int) -> DataFrame:
-    """rep, root, part, block: the regions as they are."""
-    return rows.where(F.col("m") <= region).select("rep", "root", F.lit(0).alias("part"), F.col("region").alias("block"))
+    """rep, root, part, block: regions of up to `region` as they are; a larger one is dealt into parts of about half of that, and each two
+    of its parts meet in a block of their own (for parts of their own kind, in one more)."""
+    few = rows.where(F.col("m") <= region).select("rep", "root", F.lit(0).cast("long").alias("part"), F.col("region").alias("block"))
+    parts = F.ceil(F.col("m") / (region / 2))
+    dense = rows.where(F.col("m") > region).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep", "tree"), F.col("parts")))
+    dense = dense.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return few.union(dense.select("rep", "root", "part", F.xxhash64("region", F.least("part", "other"), F.greatest("part", "other")).alias("block")))
 
 
 def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:

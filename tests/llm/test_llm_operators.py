@@ -151,6 +151,21 @@ def test_one_link_between_two_families_joins_them(spark):
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()} == roots
 
 
+def test_links_in_a_crowded_region_are_found(spark):
+    rng, template = random.Random(7), [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(200):  # different texts on one template, any two of them below 0.8
+        texts[i] = " ".join([*template, *(f"own{i}x{j}" for j in range(24))])
+    for i in range(0, 60, 2):  # but thirty pairs, just above it
+        w = texts[i].split()
+        w[121:133] = [f"new{i}x{j}" for j in range(12)]
+        texts[i + 1] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    roots, _ = brute_components(texts, 4)
+    assert sum(i != r for i, r in roots.items()) == 30
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, region=20).collect()} == roots
+
+
 def test_near_duplicates_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (None, "a b c d e"), (3, None)], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect())
