@@ -286,6 +286,19 @@ def test_toxicity_on_held_out_rows(labelled):
     assert np.mean([(r["s"] >= 0.3) == r["toxic"] for r in scored]) > 0.93
 
 
+def test_toxicity_keeps_the_share_of_labels_when_sampled(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, prose(rng, 8), "en") for i in range(3000)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(3000)], "doc_id long, toxic int")  # texts say nothing about them
+    means = [toxicity_mean(docs, labels, rows) for rows in (6000, 400)]
+    assert all(m < 0.25 for m in means) and abs(means[0] - means[1]) < 0.15, means
+
+
+def toxicity_mean(docs, labels, rows):
+    model = toxicity.train_toxicity(docs, labels, sample_rows=rows)
+    return docs.agg(F.avg(toxicity.toxicity_score(model, F.col("text")))).first()[0]
+
+
 def test_classifiers_take_odd_texts_and_no_labels(spark, odd_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     one = spark.createDataFrame([(1, 1, 1), (2, None, None), (None, 0, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
