@@ -128,7 +128,8 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [text.lower().split() for text in texts]  # ASCII letters and white space only: the tokenizer would do both
+        # ASCII letters and white space only: the tokenizer would do both, but for its special strings, which it matches before
+        split = [[w if b"<|" in w else w.lower() for w in text.split()] if b"<|" in text else text.lower().split() for text in texts]
         found = [list(map(self.memo.get, words)) for words in split]
         gaps = [[i for i, ids in enumerate(got) if ids is None] if None in got else [] for got in found]
         unknown = {words[i] for words, gap in zip(split, gaps) for i in gap}

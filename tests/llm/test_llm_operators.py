@@ -57,6 +57,14 @@ def test_token_files_hold_what_the_library_gives(odd_docs):
         start += len(ids)
 
 
+def test_special_strings_keep_their_case():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    for text in ("<|ENDOFTEXT|>", "One<|EndOfText|>TWO three", "<|endoftext|>", "A <|StartOfText|> B<| C|>"):
+        got = next(token_ids.WordEncoder(path).encode([text.encode()]))
+        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_counts_are_the_library_s(odd_docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer, texts = Tokenizer.from_file(path), texts_of(odd_docs)
