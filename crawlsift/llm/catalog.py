@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, language_model, mixing, near_dedup, quality, token_counts, token_ids, toxicity, warc
+from . import ann, decontamination, importance, language_model, languages, mixing, near_dedup, quality, token_counts, token_ids, toxicity, warc, whitening
 from .shared import remainder_is, table, tokenizer_path
 
 
@@ -61,9 +61,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), lambda: tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), remainder_is(F.col("doc_id"), 3, 1)
+    model = languages.train_languages(docs.where(~held))
+    return languages.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "languages")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_nearest, op3_token_ids, op4_warc, op5_language_model, op6_near_dedup, op7_mixing, op8_toxicity, op9_decontamination, op10_token_counts)
+    for f in (
+        op1_quality, op2_nearest, op3_token_ids, op4_warc, op5_language_model, op6_near_dedup, op7_mixing, op8_toxicity, op9_decontamination, op10_token_counts,
+        op11_importance, op12_languages, op13_whitening)
 }
 
 ORACLES = {
@@ -90,5 +107,23 @@ ORACLES = {
         e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM p)
         SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
                CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - start)) AS BIGINT) AS taken FROM e""",
+    "op11_importance": r"""
+        WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crcs),
+        d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+        b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+        w AS (SELECT row, unnest(words) AS word, 1 AS s, 0 AS t FROM d UNION ALL SELECT NULL, unnest(words), 0, 1 FROM b),
+        c AS (SELECT word, sum(s) AS s, sum(t) AS t, list_transform(range(strlen(word)), lambda i: CAST('0x' || substr(hex(encode(word)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS bytes FROM w GROUP BY word),
+        h AS (SELECT word, s, t, xor(list_reduce(list_concat([4294967295], bytes), lambda a, x: xor(a // 256, crcs[xor(a % 256, x) + 1])), 4294967295) % 10000 AS bucket FROM c, tab),
+        g AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM h GROUP BY bucket),
+        n AS (SELECT sum(s) AS s, sum(t) AS t FROM g),
+        v AS (SELECT bucket, CAST(floor(1000 * ln(CAST(g.t + 1 AS DOUBLE) * (n.s + 10000) / (CAST(g.s + 1 AS DOUBLE) * (n.t + 10000)))) AS BIGINT) AS gain FROM g, n),
+        f AS (SELECT row, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM w JOIN h USING (word) JOIN v USING (bucket) WHERE row IS NOT NULL GROUP BY row),
+        r AS (SELECT doc_id, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS weight,
+                     CAST(('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) AS h FROM d LEFT JOIN f USING (row)),
+        x AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM r),
+        k AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place FROM x),
+        a AS (SELECT count(*) * 10 // 100 AS drawn FROM x WHERE n_features >= 20)
+        SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+               CAST(CASE WHEN place <= drawn THEN place END AS BIGINT) AS rank FROM k, a""",
 }
 ORACLES = {name: sql for name, sql in ORACLES.items() if sql}

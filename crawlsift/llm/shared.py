@@ -44,6 +44,16 @@ def small_batches(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterat
             yield batch.slice(start, rows)
 
 
+def cuts(body, size: int, between) -> Iterator[tuple[int, int]]:
+    """Where a long text (as bytes) may be cut: pieces of `size` bytes or a little more, each ending with a match of the pattern."""
+    start = 0
+    while start < len(body):
+        found = between.search(body, min(len(body), start + size))
+        stop = found.end() if found else len(body)
+        yield start, stop
+        start = stop
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
