@@ -1,18 +1,17 @@
-"""Readable blocks of a page: the content root, then flat leaf blocks with the lists and quotes around them."""
+"""Readable blocks of a page: the content root, then flat leaf blocks with the lists and quotes around them.
+
+Both are found by one walk over the page's tags (see `folds`), in the page's row: nothing is shuffled, any depth of lists, quotes and
+marks is kept, and the same code runs on a stream in append mode.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from crawlsift.extract.markup import attr, attr_or
-from crawlsift.extract.structured import element_intervals
-from crawlsift.functions.markdown import (
-    BREAK, CODE_END, CODE_OPEN, LINK_CLOSE, LINK_END, LINK_OPEN, MARKS, image_markdown, link_target, markdown_escape,
-)
-from crawlsift.functions.sql import case, in_list, lit, matches
-from crawlsift.functions.text import collapse, decode_entities, js_trim
-from crawlsift.functions.urls import absolute_or
+from crawlsift.extract.facts import explode_items
+from crawlsift.extract.folds import Token, attribute, closes, folded, tokens_of
 
 # Elements that are never read, elements that flow inside a line, roots in order of preference.
 SKIPPED = ("script style noscript template iframe canvas svg form button select textarea input label nav header footer "
@@ -20,139 +19,150 @@ SKIPPED = ("script style noscript template iframe canvas svg form button select
 INLINE = ("a abbr b bdi bdo br cite code data dfn em i img kbd mark q rp rt ruby s samp small span strong sub sup time u "
           "var wbr font del").split()
 ROOTS = ["article", "main", "[role=main]", "#content", ".post", "body"]
-_FORMATS = {"strong": ["strong", "b"], "em": ["em", "i"], "strike": ["s", "del"], "code": ["code", "kbd", "samp"], "a": ["a"]}
-_ORDER = "OVER (PARTITION BY page_id ORDER BY pos)"
-
-
-def _rooted(parsed: DataFrame) -> DataFrame:
-    """All tokens with the page's content root: first candidate with more than 200 characters, else the body."""
-    tokens = element_intervals(parsed, "", ["base"])
-    sized = tokens.selectExpr(
-        "*", f"sum(if(tag = '', length(trim(tok)), 0)) {_ORDER} AS seen",
-        "NOT closing AND tag <> '' AS opens").selectExpr(
-        "*", "if(opens, coalesce(close_pos, 2147483647), pos) AS ends")
-    klass = f"concat(' ', {collapse(attr_or('tok', 'class'))}, ' ')"
-    rank = case(
-        ("tag = 'article'", "0"), ("tag = 'main'", "1"),
-        (f"contains(tok, 'role') AND {attr('tok', 'role')} = 'main'", "2"),
-        (f"contains(tok, 'content') AND {attr('tok', 'id')} = 'content'", "3"),
-        (f"contains(tok, 'post') AND contains({klass}, ' post ')", "4"), ("tag = 'body'", "5"))
-    ranked = sized.selectExpr("*", f"if(opens, {rank}, NULL) AS rank")
-    # text up to the close of a candidate: the running length where its interval ends
-    at_end = ranked.selectExpr("*", "max(seen) OVER (PARTITION BY page_id) AS all_text").selectExpr(
-        "*", "row_number() OVER (PARTITION BY page_id, rank ORDER BY pos) AS nth")
-    firsts = ("array_sort(collect_list(if(rank IS NOT NULL AND nth = 1, struct(rank, pos, ends, seen, all_text), NULL)) "
-              "OVER (PARTITION BY page_id)) AS roots")
-    marks = at_end.selectExpr("*", firsts).selectExpr(
-        "*", "exists(roots, r -> r.ends = pos) AS is_end").selectExpr(
-        "*", "map_from_entries(collect_list(if(is_end, struct(pos, seen), NULL)) OVER (PARTITION BY page_id)) AS end_text")
-    enough = "filter(roots, r -> coalesce(try_element_at(end_text, r.ends), r.all_text) - r.seen > 200)"
-    body = "filter(roots, r -> r.rank = 5)"
-    return marks.selectExpr("*", f"coalesce(get({enough}, 0), get({body}, 0)) AS root").drop(
-        "roots", "end_text", "is_end", "nth", "all_text", "rank")
+#: Text that a root must hold, in characters.
+ROOT_TEXT = 200
+_FORMATS = {"strong": "strong", "b": "strong", "em": "em", "i": "em", "s": "strike", "del": "strike",
+            "code": "code", "kbd": "code", "samp": "code", "a": "a"}
+_SKIPPED, _INLINE = frozenset(SKIPPED), frozenset(INLINE)
+_UNSEEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
+_START = re.compile(r"\s*([+-]?[0-9]{1,9})\s*\Z")
 
+BLOCKS = ("array<struct<pos: int, type: string, level: int, raw: string, pieces: array<struct<kind: string, tok: string>>, "
+          "chain: array<struct<kind: string, pos: int, start: int, item: int>>>>")
+
+
+def _rank(tag: str, name: str) -> int | None:
+    if name in ("article", "main", "body"):
+        return ROOTS.index(name)
+    if "role" in tag and attribute(tag, "role") == "main":
+        return 2
+    if "content" in tag and attribute(tag, "id") == "content":
+        return 3
+    return 4 if "post" in tag and "post" in (attribute(tag, "class") or "").split() else None
+
+
+def _root(tokens: list[Token], ends: list[int]) -> tuple[int, int, int] | None:
+    """(rank, first, end) of the first candidate of each rank that holds enough text, else of the body."""
+    first: dict[int, int] = {}
+    seen = [0]
+    for pos, (text, name, closing) in enumerate(tokens):
+        seen.append(seen[-1] if name else seen[-1] + len(text.strip(" ")))
+        if name and not closing:
+            rank = _rank(text, name)
+            if rank is not None:
+                first.setdefault(rank, pos)
+    for rank, pos in sorted(first.items()):
+        if rank == 5 or seen[min(ends[pos] + 1, len(tokens))] - seen[pos + 1] > ROOT_TEXT:
+            return rank, pos, ends[pos]
+    return None
+
+
+def _hidden(tag: str) -> bool:
+    low = tag.lower()
+    return ("hidden" in low and (attribute(tag, "hidden") is not None or attribute(tag, "aria-hidden") == "true")
+            or "style" in low and bool(_UNSEEN.search(attribute(tag, "style") or "")))
 
-def select_content_root(parsed: DataFrame) -> DataFrame:
-    """(page_id, root): the selector whose first match holds the page's text."""
-    names = f"array({', '.join(lit(r) for r in ROOTS)})"
-    return _rooted(parsed).groupBy("page_id").agg(F.first("root").alias("r")).selectExpr(
-        "page_id", f"coalesce(get({names}, r.rank), 'body') AS root")
 
+def _read(tokens: list[Token], ends: list[int], first: int, end: int) -> list[int]:
+    """Positions between the root's tags without what is hidden or never read."""
+    read, pos = [], first
+    while pos < end:
+        text, name, closing = tokens[pos]
+        if name and not closing and (name in _SKIPPED or _hidden(text)):
+            pos = ends[pos]
+        else:
+            read.append(pos)
+        pos += 1
+    return read
 
-def _hidden() -> str:
-    style = attr_or("tok", "style")
-    return (f"contains(lower(tok), 'hidden') AND ({attr('tok', 'hidden')} IS NOT NULL OR "
-            f"{attr_or('tok', 'aria-hidden')} = 'true') OR contains(lower(tok), 'style') AND "
-            f"{matches(style, r'(?i)display\s*:\s*none|visibility\s*:\s*hidden')}")
+
+def blocks_of(markup: str) -> list[tuple]:
+    """Blocks of the page. A block's pieces are its texts and pictures, and the marks that open and close in it; marks that an earlier
+    block left open come first."""
+    tokens = tokens_of(markup)
+    ends = closes(tokens)
+    root = _root(tokens, ends)
+    read = _read(tokens, ends, root[1] + 1 if root else 0, root[2] if root else len(tokens))
+    pictures = sorted(p for p in read if tokens[p][1] == "img")
+    pictured = lambda pos: any(pos < p < ends[pos] for p in pictures)
+    depth = dict.fromkeys(("strong", "em", "strike", "code", "a"), 0)
+    lists: list[list] = []
+    out: list[dict] = []
+    link, whole_until, in_whole = "", -1, False
+
+    def begin(pos: int, name: str, opens: bool) -> dict:
+        heading = opens and len(name) == 2 and name[0] == "h" and name[1] in "123456"
+        kind = "heading" if heading else "hr" if name == "hr" else "paragraph"
+        carried = [(f"+{f}", "") for f in ("strong", "em", "strike") for _ in range(depth[f])]
+        carried += [("+a", link)] * (depth["a"] > 0) + [("code", "")] * (depth["code"] > 0)
+        return {"pos": pos, "type": kind, "level": int(name[1]) if heading else None, "raw": [], "pieces": carried, "chain": []}
+
+    for pos in read:
+        text, name, closing = tokens[pos]
+        opens = bool(name) and not closing
+        if pos <= whole_until:
+            out[-1]["raw"].append(text)
+            in_whole = True
+            continue
+        if not out or in_whole or name and name not in _INLINE:
+            out.append(begin(pos, name, opens))
+        in_whole, block = False, out[-1]
+        if opens and (name in ("pre", "table") or name == "figure" and pictured(pos)):  # read whole
+            whole_until = ends[pos]
+            block["type"], block["raw"] = {"pre": "code-block"}.get(name, name), [text]
+        if name in ("ul", "ol", "blockquote"):
+            if opens:
+                start = _START.match(attribute(text, "start") or "") if name == "ol" else None
+                lists.append([name, pos, int(start[1]) or 1 if start else 1, 0])
+            elif lists:
+                lists.pop()
+        elif name == "li" and opens and lists:
+            lists[-1] = [*lists[-1][:3], lists[-1][3] + 1]
+        block["chain"] = block["chain"] if not name or name in _INLINE else [tuple(level) for level in lists]
+        mark, pieces = _FORMATS.get(name), block["pieces"]
+        before = depth[mark] if mark else 0
+        if mark:
+            depth[mark] = before + 1 if opens else max(0, before - 1)
+        if mark == "a" and opens:
+            link = text
+        if mark == "code":
+            if opens and not before:
+                pieces.append(("code", ""))
+        elif depth["code"]:
+            if not name and pieces and pieces[-1][0] == "code":
+                pieces[-1] = ("code", pieces[-1][1] + text)
+        elif not name:
+            pieces.append(("text", text))
+        elif name in ("br", "img"):
+            pieces.append((name, text))
+        elif mark and (opens or before):
+            pieces.append((f"+{mark}" if opens else f"-{mark}", text if mark == "a" and opens else ""))
+    found = []
+    for b in out:
+        raw = "".join(b["raw"]) if b["raw"] else None
+        if b["type"] in ("code-block", "table", "figure", "hr") or any(k in ("img", "text", "code") and t.strip() for k, t in b["pieces"]):
+            found.append((b["pos"], b["type"], b["level"], raw, [] if raw else b["pieces"], b["chain"]))
+    return found
+
+
+def root_of(markup: str) -> str:
+    tokens = tokens_of(markup)
+    root = _root(tokens, closes(tokens))
+    return ROOTS[root[0]] if root else "body"
+
+
+def select_content_root(parsed: DataFrame) -> DataFrame:
+    """(page_id, root): the selector whose first match holds the page's text."""
+    return folded(parsed.select("page_id", "markup"), "markup", root=(root_of, "string"))
 
 
-def extract_blocks(parsed: DataFrame, links: bool = True, images: bool = True, max_nesting: int = 24,
-                   cap: int | None = None) -> DataFrame:
-    """blocks(page_id, pos, type, level, raw, marked, chain, base).
+def extract_blocks(parsed: DataFrame, cap: int | None = None) -> DataFrame:
+    """blocks(page_id, base, pos, type, level, raw, pieces, chain).
 
-    `type` is heading, paragraph, code-block, table, figure or hr. `marked` is the text of a heading or paragraph with
-    inline marks, `raw` the markup of code, tables and figures. `chain` lists the quotes and lists around the block,
-    outermost first: ARRAY<STRUCT<kind, pos, start, item>>. One exchange by page_id feeds every window.
+    `type` is heading, paragraph, code-block, table, figure or hr. `pieces` are the texts, pictures and marks of a heading or paragraph
+    as the page has them, `raw` the markup of code, tables and figures. `chain` lists the quotes and lists around the block, outermost
+    first: ARRAY<STRUCT<kind, pos, start, item>>. `cap` keeps a page's first blocks only.
     """
-    rooted = _rooted(parsed)
-    inside = rooted.filter("root IS NULL OR (pos > root.pos AND pos < root.ends)")
-    skip = f"opens AND ({in_list('tag', SKIPPED)} OR {_hidden()})"
-    read = inside.selectExpr("*", f"coalesce(max(if({skip}, ends, -1)) {_ORDER}, -1) >= pos AS skipped").filter(
-        "NOT skipped")
-    # code, tables and figures with a picture are read whole
-    atomic = f"opens AND (tag IN ('pre', 'table') OR tag = 'figure' AND has_img)"
-    pictured = read.selectExpr(
-        "*", f"min(if(tag = 'img', pos, NULL)) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED "
-             "FOLLOWING) < ends AS has_img")
-    whole = pictured.selectExpr("*", f"max(if({atomic}, ends, -1)) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN "
-                                     "UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy_until").selectExpr(
-        "*", "coalesce(busy_until, -1) >= pos AS in_atomic").selectExpr(
-        "*", f"coalesce(lag(in_atomic) {_ORDER}, false) AS was_atomic")
-    block_tag = f"(tag <> '' AND NOT {in_list('tag', INLINE)})"
-    lists = "tag IN ('ul', 'ol', 'blockquote') AND NOT in_atomic"
-    sums = [f"sum(CASE WHEN in_atomic THEN 0 WHEN {in_list('tag', names)} THEN if(closing, -1, 1) ELSE 0 END) {_ORDER} AS s_{f}"
-            for f, names in _FORMATS.items()]
-    steps = whole.selectExpr(
-        "*", f"sum(if(NOT in_atomic AND ({block_tag} OR was_atomic), 1, 0)) {_ORDER} AS block",
-        f"sum(CASE WHEN {lists} THEN if(closing, -1, 1) ELSE 0 END) {_ORDER} AS s_list", *sums)
-    depths = steps.selectExpr(
-        "*", f"s_list - least(0, min(s_list) {_ORDER}) AS cdepth",
-        *[f"s_{f} - least(0, min(s_{f}) {_ORDER}) AS d_{f}" for f in _FORMATS])
-    containers = depths.selectExpr("*", f"{lists} AND opens AS c_open").selectExpr(
-        "*", "last(if(c_open, pos, NULL), true) OVER (PARTITION BY page_id, cdepth ORDER BY pos) AS c_pos",
-        "last(if(c_open, tag, NULL), true) OVER (PARTITION BY page_id, cdepth ORDER BY pos) AS c_kind",
-        f"last(if(c_open, if(tag = 'ol', {attr('tok', 'start')}, NULL), NULL), true) "
-        "OVER (PARTITION BY page_id, cdepth ORDER BY pos) AS c_start")
-    items = containers.selectExpr(
-        "*", "sum(if(tag = 'li' AND opens AND NOT in_atomic, 1, 0)) OVER (PARTITION BY page_id, cdepth, c_pos ORDER BY pos) "
-             "AS item").selectExpr(
-        "*", "if(c_open OR (tag = 'li' AND opens AND NOT in_atomic), named_struct('kind', c_kind, 'pos', c_pos, 'start', "
-             "coalesce(nullif(try_cast(c_start AS INT), 0), 1), 'item', item), NULL) AS here")
-    chain = "filter(array(" + ", ".join(
-        f"if(cdepth >= {d}, last(if(cdepth = {d}, here, NULL), true) {_ORDER}, NULL)" for d in range(1, max_nesting + 1)
-    ) + "), c -> c IS NOT NULL) AS chain"
-    linked = items.selectExpr(
-        "*", chain, f"last(if(tag = 'a' AND opens, {absolute_or('base', attr_or('tok', 'href'), 'empty')}, NULL), true) "
-                    f"{_ORDER} AS href", *[f"coalesce(lag(d_{f}) {_ORDER}, 0) AS lag_{f}" for f in _FORMATS])
-    code = in_list("tag", _FORMATS["code"])
-    link_open = f"concat({lit(LINK_OPEN)}, {link_target('href')}, {lit(LINK_END)})"
-    picture = image_markdown(js_trim(attr_or("tok", "alt")), absolute_or("base", attr_or("tok", "src"), "empty"))
-    pieces = [("in_atomic", "''"), ("tag = '' AND d_code > 0", decode_entities("tok")),
-              (f"{code} AND opens AND d_code = 1", lit(CODE_OPEN)), (f"{code} AND d_code = 0 AND lag_code > 0", lit(CODE_END)),
-              ("tag = ''", markdown_escape(collapse(decode_entities("tok")))), ("d_code > 0", "''"),
-              ("tag = 'br'", lit(BREAK)), ("tag = 'img'", picture if images else "''")]
-    for f, (o, c, _) in MARKS.items():
-        tag = in_list("tag", _FORMATS[f])
-        # a close tag counts only where something was open before it
-        pieces += [(f"{tag} AND opens", lit(o)), (f"{tag} AND closing AND lag_{f} > 0", lit(c))]
-    pieces += [("tag = 'a' AND opens", link_open), ("tag = 'a' AND closing AND lag_a > 0", lit(LINK_CLOSE))]
-    formats = [*MARKS, "a", "code"]
-    marked = linked.selectExpr(
-        "page_id", "pos", "block", "chain", "base", f"{case(*pieces, otherwise=lit(''))} AS piece",
-        f"if(in_atomic OR {atomic}, tok, NULL) AS raw",
-        f"named_struct('tag', tag, 'opens', opens, 'href', href, {', '.join(f'{lit('lag_' + f)}, lag_{f}' for f in formats)}) AS f",
-        f"named_struct({', '.join(f'{lit('d_' + f)}, d_{f}' for f in formats)}, 'chain', chain) AS l")
-    joined = "array_join(transform(array_sort(collect_list({0})), x -> x.{1}), '')"
-    blocks = marked.groupBy("page_id", "block").agg(
-        F.min("pos").alias("pos"),
-        F.expr(joined.format("if(piece <> '', struct(pos, piece), NULL)", "piece")).alias("text"),
-        F.expr(joined.format("if(raw IS NOT NULL, struct(pos, raw), NULL)", "raw")).alias("raw"),
-        F.min_by("f", "pos").alias("f"), F.max_by("l", "pos").alias("l"), F.first("base").alias("base"))
-    # elements left open by an earlier block are open at the start of this one, and closed at its end
-    first = "".join(f"if(f.lag_{f} > 0, {lit(o)}, ''), " for f, (o, _, _) in MARKS.items())
-    reopened = f"if(f.lag_a > 0, concat({lit(LINK_OPEN)}, {link_target('f.href')}, {lit(LINK_END)}), '')"
-    code_on = f"if(f.lag_code > 0, {lit(CODE_OPEN)}, '')"
-    last = ", ".join(f"if(l.d_{f} > 0, repeat({lit(c)}, CAST(l.d_{f} AS INT)), '')" for f, (_, c, _) in
-                     [("code", ("", CODE_END, "")), *reversed(MARKS.items()), ("a", ("", LINK_CLOSE, ""))])
-    kind = case(
-        ("f.opens AND rlike(f.tag, '^h[1-6]$')", "'heading'"), ("f.opens AND f.tag = 'pre'", "'code-block'"),
-        ("f.opens AND f.tag = 'table'", "'table'"),
-        ("f.opens AND f.tag = 'figure' AND contains(lower(raw), '<img')", "'figure'"),
-        ("f.tag = 'hr'", "'hr'"), otherwise="'paragraph'")
-    typed = blocks.selectExpr(
-        "page_id", "pos", f"{kind} AS type", "if(rlike(f.tag, '^h[1-6]$'), CAST(substr(f.tag, 2) AS INT), NULL) AS level",
-        "raw", f"concat({first}{reopened}, {code_on}, text, {last}) AS marked", "l.chain AS chain", "base", "text")
-    filled = typed.filter("type IN ('code-block', 'table', 'figure', 'hr') OR trim(text) <> ''").drop("text")
-    if cap is None:
-        return filled
-    return filled.selectExpr("*", "row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n").filter(f"n <= {cap}").drop("n")
+    rows = folded(parsed.select("page_id", "base", "markup"), "markup", _blocks=(blocks_of, BLOCKS))
+    array = "_blocks" if cap is None else f"slice(_blocks, 1, {cap})"
+    return explode_items(rows, array, ["page_id", "base"], index="_at").drop("_at")

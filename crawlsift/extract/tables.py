@@ -1,104 +1,112 @@
-"""HTML tables: their cells with spans, and what a picker shows of each."""
+"""HTML tables: their cells with spans, and what a picker shows of each.
+
+One walk over a page's table tags (see `folds`) finds the tables, in the page's row; a table then is one row with its cells in order.
+Nothing is shuffled, and the same code runs on a stream.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from crawlsift.extract.facts import explode_items
+from crawlsift.extract.folds import folded
 from crawlsift.extract.markup import attr, attr_or
-from crawlsift.functions.sql import extract, lit
+from crawlsift.functions.sql import each, extract, keep, struct
 from crawlsift.functions.text import clip, decode_entities
 
 MAX_TEXT = None
-_STRUCTURE = "table|tr|td|th|caption|thead|tbody|tfoot"
+#: Fixed value: the largest span that html knows.
+MAX_SPAN = 65534
+_MARK = re.compile(r"<(/?)(table|tr|td|th|caption|thead|tbody|tfoot)(?=[\s/>])[^>]*>", re.IGNORECASE)
+_TAG = re.compile(r"<[^>]*>")
+_SECTIONS = {"thead": 0, "tbody": 1, "tfoot": 2}
+TABLES = ("array<struct<opened: string, nested: boolean, caption: string, row_count: int, "
+          "cells: array<struct<row: int, cell: int, opened: string, header: boolean, text: string>>>>")
 
 
-def _segments(parsed: DataFrame) -> DataFrame:
-    """Pages with tables, cut at table markup: (page_id, pos, tag, closing, opened, text).
+def tables_of(markup: str) -> list[tuple]:
+    """Every table in the order of its open tag, with its cells in display order (head, body, foot).
 
-    A segment is one structural tag and everything up to the next one. One exchange by page_id, made before the
-    rows multiply; all windows and aggregates below use it.
+    A cell straight after its table, a section or a closed row opens a row of its own, as browsers do. A nested table keeps its own rows;
+    its text is also part of the cell that holds it: a cell runs to the next mark of its own table.
     """
-    pages = parsed.filter("contains(lower(markup), '<table')").select("page_id", "markup").repartition("page_id")
-    pieces = f"split(markup, {lit(rf'(?i)(?=</?(?:{_STRUCTURE})[\s/>])')})"
-    rows = pages.selectExpr("page_id", f"posexplode({pieces}) AS (pos, piece)")
-    return rows.selectExpr(
-        "page_id", "pos", f"lower({extract('piece', f'(?i)^</?({_STRUCTURE})(?=[\\s/>])', 1)}) AS tag",
-        "startswith(piece, '</') AS closing", f"{extract('piece', '^<[^>]*>')} AS opened",
-        "regexp_replace(regexp_replace(piece, '^<[^>]*>', ''), '<[^>]*>', '') AS text")
-
-
-def _placed(segments: DataFrame) -> DataFrame:
-    """Each segment with the table it belongs to (the last one opened at its depth), row and cell numbers."""
-    page = "OVER (PARTITION BY page_id ORDER BY pos)"
-    opens = "tag = 'table' AND NOT closing"
-    depth = segments.selectExpr(
-        "*", f"sum(CASE WHEN tag = 'table' THEN if(closing, -1, 1) ELSE 0 END) {page} "
-             "+ if(tag = 'table' AND closing, 1, 0) AS depth",
-        f"if({opens}, sum(if({opens}, 1, 0)) {page} - 1, NULL) AS opened_table")
-    owned = depth.selectExpr(
-        "*", "last(opened_table, true) OVER (PARTITION BY page_id, depth ORDER BY pos) AS table_index")
-    table = "OVER (PARTITION BY page_id, table_index ORDER BY pos)"
-    # a cell straight after its table, a section or a closed row opens a row of its own, as browsers do
-    before = f"lag(struct(tag AS tag, closing AS closing)) {table}"
-    marked = owned.selectExpr(
-        "*", f"NOT closing AND (tag = 'tr' OR tag IN ('td', 'th') AND coalesce({before}.tag IN ('table', 'thead', 'tbody', 'tfoot') "
-             f"OR {before}.tag IN ('tr', 'caption') AND {before}.closing, false)) AS row_start")
-    rows = marked.selectExpr(
-        "*", f"sum(if(row_start, 1, 0)) {table} AS row_no",
-        f"last(if(tag IN ('thead', 'tbody', 'tfoot'), if(closing, 'tbody', tag), NULL), true) {table} AS section",
-        f"lead(pos) {table} AS end_pos")
-    return rows.selectExpr(
-        "*", "CASE section WHEN 'thead' THEN 0 WHEN 'tfoot' THEN 2 ELSE 1 END AS section_rank",
-        "if(tag IN ('td', 'th') AND NOT closing, 1, 0) AS is_cell",
-        "sum(if(tag IN ('td', 'th') AND NOT closing, 1, 0)) OVER (PARTITION BY page_id, table_index, row_no ORDER BY pos) "
-        "- 1 AS cell")
+    marks = list(_MARK.finditer(markup))
+    ends = [m.start() for m in marks[1:]] + [len(markup)]
+    texts = [_TAG.sub("", markup[m.end() : end]) for m, end in zip(marks, ends)]
+    found: list[dict] = []
+    stack: list[dict] = []
+
+    def content(t: dict, until: int) -> None:
+        if t["open"]:
+            into, start = t["open"]
+            into.append("".join(texts[start : max(until, start + 1)]))
+            t["open"] = None
+
+    for i, m in enumerate(marks):
+        closing, tag = m[1] == "/", m[2].lower()
+        if tag == "table" and not closing:
+            stack.append({"opened": m[0], "nested": bool(stack), "caption": [], "rows": [], "rank": 1, "before": (tag, False), "open": None})
+            found.append(stack[-1])
+            continue
+        if not stack:
+            continue
+        t = stack[-1]
+        content(t, i)
+        if tag == "table":
+            stack.pop()
+            continue
+        before, after = t["before"]
+        t["before"] = tag, closing
+        if tag in _SECTIONS:
+            t["rank"] = 1 if closing else _SECTIONS[tag]
+        cell = tag in ("td", "th") and not closing
+        if tag == "tr" and not closing or cell and (before == "table" or before in _SECTIONS or before in ("tr", "caption") and after):
+            t["rows"].append((t["rank"], []))
+        if cell and t["rows"]:
+            text: list[str] = []
+            t["rows"][-1][1].append((m[0], tag == "th", text))
+            t["open"] = text, i
+        elif tag == "caption" and not closing and not t["caption"]:
+            t["open"] = t["caption"], i
+    for t in found:
+        content(t, 0)
+    return [
+        (t["opened"], t["nested"], "".join(t["caption"]), len(t["rows"]), [
+            (r, c, opened, header, text[0]) for r, (_, cells) in enumerate(sorted(t["rows"], key=lambda row: row[0]))
+            for c, (opened, header, text) in enumerate(cells)])
+        for t in found]
+
+
+def page_tables(parsed: DataFrame, cap: int | None = None, row_cap: int | None = None) -> DataFrame:
+    """(page_id, table_index, caption, id, nested, row_count, truncated, cells), cells as ARRAY<STRUCT<row, cell, text, colspan, rowspan,
+    header>> in display order; caps on tables per page and rows per table are opt-in."""
+    rows = folded(parsed.filter("contains(lower(markup), '<table')").select("page_id", "markup"), "markup", _tables=(tables_of, TABLES))
+    span = lambda c, name, least: (
+        f"least(greatest(coalesce(try_cast({extract(attr_or(f'{c}.opened', name), r'^\s*\+?([0-9]{1,9})', 1)} AS INT), 1), {least}), {MAX_SPAN})")
+    shown = lambda text: clip(decode_entities(text), MAX_TEXT, "empty")
+    kept = "cells" if row_cap is None else keep("cells", lambda c: f"{c}.row < {row_cap}")
+    cells = each(kept, lambda c: struct(
+        row=f"{c}.row", cell=f"{c}.cell", text=shown(f"{c}.text"), colspan=f"if(contains(lower({c}.opened), 'colspan'), {span(c, 'colspan', 1)}, 1)",
+        rowspan=f"if(contains(lower({c}.opened), 'rowspan'), {span(c, 'rowspan', 0)}, 1)", header=f"{c}.header"))
+    tables = explode_items(rows, "_tables" if cap is None else f"slice(_tables, 1, {cap})", index="table_index")
+    # a row cap also bounds the height that grids are padded to
+    return tables.selectExpr(
+        "page_id", "table_index", f"{shown('caption')} AS caption", f"coalesce({attr('opened', 'id')}, '') AS id", "nested",
+        "row_count" if row_cap is None else f"least(row_count, {row_cap}) AS row_count",
+        "false AS truncated" if row_cap is None else f"row_count > {row_cap} AS truncated", f"{cells} AS cells")
 
 
 def extract_tables(parsed: DataFrame, cap: int | None = None, row_cap: int | None = None) -> tuple[DataFrame, DataFrame]:
     """tables(page_id, table_index, caption, id, nested, row_count, truncated, headings, preview) and
     table_cells(page_id, table_index, row, cell, text, colspan, rowspan, header, row_count).
 
-    Rows count in display order (head, body, foot); cells outside a row open one. A nested table keeps its own rows; its text is also part of
-    the cell that holds it.
+    Rows count in display order (head, body, foot); cells outside a row open one.
     """
-    placed = _placed(_segments(parsed))
-    limit = "" if cap is None else f" AND table_index < {cap}"
-    # a cell runs to the next mark of its own table; its text is that slice of the page's segment texts
-    mark = (f"if(NOT closing AND depth > 0 AND tag IN ('table', 'tr', 'td', 'th', 'caption'){limit}, "
-            "named_struct('table_index', table_index, 'depth', depth, 'pos', pos, 'end_pos', coalesce(end_pos, pos + 1), "
-            "'tag', tag, 'opened', opened, 'row_no', row_no, 'section_rank', section_rank, 'cell', cell, "
-            "'is_cell', is_cell, 'row_start', row_start), NULL)")
-    packed = placed.groupBy("page_id").agg(
-        F.expr(f"collect_list({mark})").alias("marks"),
-        F.expr("transform(array_sort(collect_list(struct(pos, text))), x -> x.text)").alias("texts"))
-    content = "array_join(slice(texts, m.pos + 1, greatest(m.end_pos - m.pos, 1)), '')"
-    full = packed.selectExpr("page_id", "explode(transform(marks, m -> named_struct('m', m, 'content', "
-                                        f"if(m.tag IN ('td', 'th', 'caption'), {content}, '')))) AS x").select(
-        "page_id", "x.m.*", "x.content")
-    span = lambda name: (
-        f"least(greatest(coalesce(try_cast({extract(attr_or('opened', name), r'^\s*\+?([0-9]{1,9})', 1)} AS INT), 1), "
-        f"{1 if name == 'colspan' else 0}), 65534)")
-    table = "OVER (PARTITION BY page_id, table_index ORDER BY pos)"
-    numbered = full.selectExpr(
-        "*", f"last(if(row_start, section_rank, NULL), true) {table} AS tr_section",
-        f"{clip(decode_entities('content'), MAX_TEXT, 'empty')} AS text").selectExpr(
-        "*", "dense_rank() OVER (PARTITION BY page_id, table_index, tag IN ('tr', 'td', 'th') AND row_no > 0 "
-             "ORDER BY tr_section, row_no) - 1 AS row",
-        "count_if(row_start) OVER (PARTITION BY page_id, table_index) AS row_count")
-    in_row = "is_cell = 1 AND row_no > 0"
-    # a row cap also bounds the height that grids are padded to
-    cells = numbered.filter(in_row if row_cap is None else f"{in_row} AND row < {row_cap}").selectExpr(
-        "page_id", "table_index", "row", "cell", "text", f"{span('colspan')} AS colspan", f"{span('rowspan')} AS rowspan",
-        "tag = 'th' AS header", "row_count" if row_cap is None else f"least(row_count, {row_cap}) AS row_count")
-    tables = numbered.groupBy("page_id", "table_index").agg(
-        F.expr("min_by(text, if(tag = 'caption', pos, NULL))").alias("caption"),
-        F.expr(f"max(if(tag = 'table', coalesce({attr('opened', 'id')}, ''), NULL))").alias("id"),
-        F.expr("bool_or(tag = 'table' AND depth > 1)").alias("nested"), F.max("row_count").alias("row_count"),
-        F.expr(f"array_sort(collect_list(if({in_row} AND row = 0, struct(cell, tag = 'th' AS h, text AS t), NULL)))")
-        .alias("first"))
-    described = tables.selectExpr(
-        "page_id", "table_index", "coalesce(caption, '') AS caption", "coalesce(id, '') AS id", "nested", "row_count",
-        "false AS truncated" if row_cap is None else f"row_count > {row_cap} AS truncated",
-        "filter(first, x -> x.h).t AS headings", "slice(first.t, 1, 4) AS preview")
-    return described, cells
+    tables = page_tables(parsed, cap, row_cap)
+    first = keep("cells", lambda c: f"{c}.row = 0")
+    described = tables.selectExpr(*[c for c in tables.columns if c != "cells"], f"{first} AS first").selectExpr(
+        *[c for c in tables.columns if c != "cells"], "filter(first, x -> x.header).text AS headings", "slice(first.text, 1, 4) AS preview")
+    cells = explode_items(tables, "cells", ["page_id", "table_index", "row_count"], index="_at")
+    return described, cells.select("page_id", "table_index", "row", "cell", "text", "colspan", "rowspan", "header", "row_count")

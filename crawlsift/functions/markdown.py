@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from crawlsift.extract.markup import attr_or, tags, text_content
 from crawlsift.functions.sql import case, each, extract, extract_all, keep, let, lit, matches, substitute
-from crawlsift.functions.text import WHITESPACE, WS, collapse, js_trim, squish
+from crawlsift.functions.text import WS, collapse, decode_entities, js_trim, squish
 from crawlsift.functions.urls import absolute_or
 
-# Marks that stand for opened and closed inline elements until a block is put together.
-MARKS = {"strong": ("\ue010", "\ue011", "**"), "em": ("\ue012", "\ue013", "*"), "strike": ("\ue014", "\ue015", "~~")}
-CODE_OPEN, CODE_END = "\ue01a", "\ue01b"
-LINK_OPEN, LINK_CLOSE, LINK_END, BREAK = "\ue016", "\ue017", "\ue018", "\ue019"
+# The marks of inline elements.
+MARKS = {"strong": "**", "em": "*", "strike": "~~"}
 
 
 def markdown_escape(text: str) -> str:
@@ -43,30 +41,12 @@ def image_markdown(alt: str, src: str) -> str:
                 otherwise=f"concat('![', {markdown_escape(alt)}, '](', {link_target(src)}, ')')")
 
 
-def _code_spans(marked: str) -> str:
-    """Text between code marks, raw so far, as code spans."""
-    span = lambda p: (
-        f"concat({inline_code(extract(p, f'^[^{CODE_END}]*'))}, {substitute(p, f'^[^{CODE_END}]*{CODE_END}?')})")
-    return (f"array_join(transform(split({marked}, {lit(CODE_OPEN)}), (p, i) -> if(i = 0, p, {span('p')})), '')")
-
-
-def render_inline(marked: str, links: bool = True) -> str:
-    """Put a block's marked text together: wrappers trimmed inside, empty ones dropped."""
-    out = case((f"contains({marked}, {lit(CODE_OPEN)})", _code_spans(marked)), otherwise=marked)
-    opens = "".join(o for o, _, _ in MARKS.values()) + LINK_END
-    closes = "".join(c for _, c, _ in MARKS.values()) + LINK_CLOSE
-    empty = "|".join(o + c for o, c, _ in MARKS.values()) + f"|{LINK_OPEN}[^{LINK_END}]*{LINK_END}{LINK_CLOSE}"
-    space = f"[{WHITESPACE}{BREAK}]"
-    for _ in range(4):
-        out = substitute(out, f"(?<=[{opens}]){space}++|{space}++(?=[{closes}])")
-        out = substitute(out, empty)
-    for o, c, mark in MARKS.values():
-        out = substitute(out, f"[{o}{c}]", mark)
-    parts = rf"{LINK_OPEN}([^{LINK_END}]*){LINK_END}([^{LINK_OPEN}{LINK_CLOSE}]*){LINK_CLOSE}"
-    out = substitute(out, rf"{LINK_OPEN}{LINK_END}([^{LINK_OPEN}{LINK_CLOSE}]*){LINK_CLOSE}", "$1")
-    out = substitute(out, parts, "[$2]($1)" if links else "$2")
-    out = substitute(out, f"[{LINK_OPEN}-{LINK_END}]")
-    return js_trim(substitute(out, BREAK, "  \n"))
+def inline_piece(kind: str, tok: str, base: str, images: bool = True) -> str:
+    """What one piece of a block contributes: escaped text, a code span, a picture, or where a link leads."""
+    picture = image_markdown(js_trim(attr_or(tok, "alt")), absolute_or(base, attr_or(tok, "src"), "empty")) if images else "''"
+    return case(
+        (f"{kind} = 'text'", markdown_escape(collapse(decode_entities(tok)))), (f"{kind} = 'code'", inline_code(decode_entities(tok))),
+        (f"{kind} = 'img'", picture), (f"{kind} = '+a'", link_target(absolute_or(base, attr_or(tok, "href"), "empty"))), otherwise="''")
 
 
 def code_language(markup: str) -> str:
@@ -109,5 +89,3 @@ def render_figure(markup: str, base: str) -> str:
     caption = squish(text_content(extract(markup, r"(?is)<figcaption(?:\s[^>]*)?>.*?(?=</figcaption|\z)")))
     return let(caption, lambda c: case((f"{c} = ''", picture), otherwise=(
         f"concat({picture}, '\\n\\n*', {markdown_escape(c)}, '*')")))
-
-

@@ -86,8 +86,8 @@ def decode_entities(text: str) -> str:
             (f"startswith({p}, '&#')", let(f"coalesce({decimal}, {hexa})", _code_point)),
             otherwise=f"coalesce(try_element_at({named}, {extract(p, '^&([A-Za-z0-9]+);$', 1)}), {p})")
 
-    pieces = extract_all(text, "&(?:#[0-9]{1,7};?|#[xX][0-9A-Fa-f]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};)|[^&]++|&")
-    return f"array_join({each(pieces, piece)}, '')"
+    pieces = lambda t: extract_all(t, "&(?:#[0-9]{1,7};?|#[xX][0-9A-Fa-f]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};)|[^&]++|&")
+    return let(text, lambda t: case((f"contains({t}, '&')", f"array_join({each(pieces(t), piece)}, '')"), otherwise=t))
 
 
 def first_n(array: str, n: int | None) -> str:

@@ -138,8 +138,7 @@ FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'file:///a' || page_id WHEN 1
 query("content_roots", """SELECT page_id, CASE WHEN list_sum(list_transform(regexp_split_to_array(regexp_extract(html,
   '(?s)<article>(.*)</article>', 1), '<[^>]*>'), lambda t: length(trim(t)))) > 200 THEN 'article' ELSE 'body' END AS root FROM pages""")(lambda s, d: B.select_content_root(_pages(s, d)))
 
-query("page_markdown_sizes")(lambda s, d: MD.render_markdown(
-    B.extract_blocks(_pages(s, d)), MD.page_headers(_pages(s, d))).selectExpr("page_id", "length(markdown) AS chars"))
+query("page_markdown_sizes")(lambda s, d: MD.page_markdown(_pages(s, d)).selectExpr("page_id", "length(markdown) AS chars"))
 
 query("latest_captures", """SELECT host, max(page_id) AS page_id FROM (SELECT page_id, """ + _HOST + """ AS host FROM pages)
 GROUP BY host""")(lambda s, d: C.latest_capture(C.with_host(load_pages(s, d)).drop("html").withColumn(
@@ -342,6 +341,10 @@ def _cells(s, d) -> DataFrame:
     return TB.extract_tables(parse_pages(S.table_pages(s, d)))[1]
 
 
+def _grid_rows(s, d) -> DataFrame:
+    return tables.grid_rows(TB.page_tables(parse_pages(S.table_pages(s, d))))
+
+
 query("table_cells", _CELLS_SQL.replace('"row", "cell", text, colspan, rowspan, header FROM', 'CAST("row" AS INTEGER) AS "row", '
       'CAST("cell" AS INTEGER) AS "cell", text, CAST(colspan AS INTEGER) AS colspan, CAST(rowspan AS INTEGER) AS rowspan, header FROM', 1))(
     lambda s, d: _cells(s, d).selectExpr("page_id", "CAST(row AS INT) AS row", "CAST(cell AS INT) AS cell", "text",
@@ -351,23 +354,21 @@ _GRID_SQL = f"""SELECT page_id, CAST("row" AS INTEGER) AS "row", CAST(col AS INT
   UNION ALL SELECT p_partkey, i + 1, c.col, CASE c.col WHEN 0 THEN p_type WHEN 1 THEN CAST(i AS VARCHAR) ELSE '=' || (p_partkey + i) END
     FROM part, LATERAL (SELECT unnest(range(0, {_R})) AS i), (VALUES (0), (1), (2)) c(col)
   UNION ALL SELECT p_partkey, {_R} + 1, c.col, '' FROM part, (VALUES (0), (1), (2)) c(col))"""
-query("table_grid", _GRID_SQL)(lambda s, d: tables.expand_grid(_cells(s, d)).select("page_id", "row", "col", "value"))
+query("table_grid", _GRID_SQL)(lambda s, d: tables.grid_cells(_grid_rows(s, d)).select("page_id", "row", "col", "value"))
 query("trimmed_grid", f"SELECT * FROM ({_GRID_SQL}) WHERE value <> ''")(
-    lambda s, d: tables.trim_grid(tables.expand_grid(_cells(s, d))).select("page_id", "row", "col", "value"))
+    lambda s, d: tables.grid_cells(tables.trimmed_rows(_grid_rows(s, d))).select("page_id", "row", "col", "value"))
 query("grid_measures", f"""SELECT p_partkey AS page_id, {_R} + 2 AS "rows", 3 AS "columns", CAST(3 * ({_R} + 2) AS BIGINT) AS cells,
   CAST(3 AS BIGINT) AS empty FROM part""")(
-    lambda s, d: tables.measure_grid(tables.expand_grid(_cells(s, d))).selectExpr(
-        "page_id", "CAST(rows AS INT) AS rows", "CAST(columns AS INT) AS columns", "cells", "empty"))
+    lambda s, d: tables.grid_measures(_grid_rows(s, d)).drop("table_index"))
 query("table_labels", "SELECT p_partkey AS page_id, 'Table 1 - ' || p_brand AS label FROM part")(
     lambda s, d: tables.describe_table(TB.extract_tables(parse_pages(S.table_pages(s, d)))[0]).select("page_id", "label"))
 query("table_csv", f"""SELECT page_id, "row", string_agg(CASE WHEN value LIKE '=%' THEN chr(39) || value ELSE value END, ';' ORDER BY col)
 AS line FROM ({_GRID_SQL}) GROUP BY page_id, "row" """)(
-    lambda s, d: tables.grid_csv(tables.expand_grid(_cells(s, d)), ";").select("page_id", "row", "line"))
+    lambda s, d: tables.grid_lines(_grid_rows(s, d), ";").select("page_id", "row", "line"))
 
 query("long_tables", """SELECT l_suppkey AS page_id, CAST(count(*) AS INTEGER) AS "rows", 2 AS "columns", CAST(2 * count(*) AS BIGINT) AS cells,
   CAST(0 AS BIGINT) AS empty FROM lineitem GROUP BY l_suppkey""")(
-    lambda s, d: tables.measure_grid(tables.expand_grid(TB.extract_tables(parse_pages(S.long_table_pages(s, d)))[1])).selectExpr(
-        "page_id", "CAST(rows AS INT) AS rows", "CAST(columns AS INT) AS columns", "cells", "empty"))
+    lambda s, d: tables.grid_measures(tables.grid_rows(TB.page_tables(parse_pages(S.long_table_pages(s, d))))).drop("table_index"))
 
 
 # --- Markdown -------------------------------------------------------------------------------------
@@ -378,8 +379,7 @@ query("page_markdown", """SELECT p_partkey AS page_id, '# ' || p_name || chr(10)
   trim(repeat('lorem ipsum ', 20)) || chr(10) || chr(10) || '```sql' || chr(10) || 'select ' || p_partkey || chr(10) || '```' || chr(10) ||
   chr(10) || '---' || chr(10) || chr(10) || '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_partkey || ' | a\\|b |' ||
   chr(10) AS markdown FROM part""")(
-    lambda s, d: MD.render_markdown(B.extract_blocks(parse_pages(S.article_pages(s, d))),
-                                    MD.page_headers(parse_pages(S.article_pages(s, d)))).drop("url"))
+    lambda s, d: MD.page_markdown(parse_pages(S.article_pages(s, d))).drop("url"))
 
 
 # --- storefronts ----------------------------------------------------------------------------------
