@@ -56,11 +56,11 @@ def head_threshold(counts: DataFrame, head: int) -> int:
     return 1 << 62 if least is None else int(-(-(2 ** (least / 8)) // 1))
 
 
-def summed_rests(docs: DataFrame, scan: Callable[[Iterator[tuple[int | None, bytes]]], Iterator[tuple[list, Counter]]], fields: dict[str, str], values: DataFrame, sums: dict[str, str]) -> DataFrame:
-    """Per row of docs (doc_id, text as binary): `fields` as computed where it was read, and `sums` over its rarer terms.
+def document_rests(docs: DataFrame, scan: Callable[[Iterator[tuple[int | None, bytes]]], Iterator[tuple[list, Counter]]], fields: dict[str, str]) -> DataFrame:
+    """uid, term, n, base: a row for each of a document's rarer terms with its frequency; one of them holds `fields` in base.
 
-    scan gives for each document the values of fields and the Counter of rarer terms; values has a column term and others that the SQL
-    expressions in sums use, with n, the term's frequency in the document. A term without values gives nulls there.
+    scan gives for each document (doc_id, text as binary) the values of fields and the Counter of rarer terms. A document without any has
+    one row, with a term of its own and n = 0.
     """
     types = {"long": pa.int64(), "double": pa.float64()}
     base = pa.struct([(name, types[kind]) for name, kind in fields.items()])
@@ -81,6 +81,17 @@ def summed_rests(docs: DataFrame, scan: Callable[[Iterator[tuple[int | None, byt
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()).cast(pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], base)], names=names)
 
     schema = "uid long, term string, n long, base struct<" + ", ".join(f"{name}: {kind}" for name, kind in fields.items()) + ">"
-    joined = docs.mapInArrow(rows, schema).join(values, "term", "left")
+    return docs.mapInArrow(rows, schema)
+
+
+def rests_with_values(rests: DataFrame, fields: Iterable[str], values: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """Per document of `rests` its fields, and `sums` over its rarer terms: SQL expressions over the columns that values has beside term,
+    and n, the term's frequency in the document. A term without values gives nulls there."""
+    joined = rests.join(values, "term", "left")
     sums_of = [F.sum(F.expr(e)).alias(name) for name, e in sums.items()]
     return joined.groupBy("uid").agg(*[F.max(f"base.{name}").alias(name) for name in fields], *sums_of).drop("uid")
+
+
+def summed_rests(docs: DataFrame, scan: Callable[[Iterator[tuple[int | None, bytes]]], Iterator[tuple[list, Counter]]], fields: dict[str, str], values: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """Per row of docs: `fields` as computed where it was read, and `sums` over its rarer terms, of which values are known already."""
+    return rests_with_values(document_rests(docs, scan, fields), fields, values, sums)

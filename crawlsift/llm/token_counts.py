@@ -4,7 +4,11 @@ frequencies and summed; ids are never made.
 Pre-tokens are the tokenizer's own (of its byte-level pre-tokenizer), found once per distinct piece of text between white space.
 Strings of special tokens inside texts count as one token, as the library has it by default.
 
-Cases: a null text counts as empty (0 bytes, 0 tokens); rows that repeat an id stay rows of their own; an empty table gives no rows.
+Each document's pre-token frequencies are found in one pass: pre-tokens that a sample shows to be frequent are added up where the text
+is read, the others are written as rows, from which the distinct ones are counted and to which their counts are joined.
+
+Cases: a null text counts as empty (0 bytes, 0 tokens); rows that repeat an id stay rows of their own; an empty table gives no rows;
+other columns are not read; a very long text is cut into parts of about a MB (whole where it has no ASCII white space).
 """
 
 from __future__ import annotations
@@ -17,13 +21,17 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .frequencies import corpus_counts, head_threshold, summed_rests
-from .shared import small_batches, utf8, written
+from .frequencies import corpus_counts, document_rests, head_threshold, rests_with_values
+from .shared import bounded_sample, cuts, small_batches, utf8, written
 
 #: Distinct pieces whose pre-tokens a worker keeps; beyond it, it starts anew.
 MEMO = 200_000
+#: Bytes of a text that are pieces in memory at a time.
+PART = 1 << 20
 _PIECE = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+_END = re.compile(rb"[!-~](?=[\t-\r ])")
 #: White space beyond ASCII, or characters that libraries take differently: such a text is cut by the tokenizer as a whole.
 _ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
@@ -44,6 +52,15 @@ class PreTokens:
             return [p for part in self.special.split(text) if part for p in ([part] if self.special.fullmatch(part) else self._cut(part))]
         return self._cut(text)
 
+    def counted(self, text: bytes) -> Counter:
+        """How often the text holds each piece; a long text is worked through in parts, cut before white space."""
+        if len(text) <= PART:
+            return Counter(self.pieces(text))
+        out: Counter = Counter()
+        for start, stop in cuts(text, PART, _END):
+            out.update(self.pieces(text[start:stop]))
+        return out
+
     @staticmethod
     def _cut(text: bytes) -> list[bytes]:
         return ([text] if text else []) if _ODD.search(text) else _PIECE.findall(text)
@@ -85,31 +102,37 @@ def pretokens_of(path: Callable[[], str] | str) -> PreTokens:
     return _pretokens[where]
 
 
-def pretoken_pieces(texts: DataFrame, tokenizer: Callable[[], str] | str) -> DataFrame:
-    """term, n, pieces: each distinct pre-token of the corpus, how often it occurs, and its tokens, counted once."""
+def pretoken_pieces(terms: DataFrame, tokenizer: Callable[[], str] | str) -> DataFrame:
+    """The rows of terms (distinct pre-tokens) with `pieces`, their tokens, counted once."""
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pretokens_of(tokenizer)
         for batch in small_batches(batches, 4096):
-            yield pa.RecordBatch.from_arrays([batch["term"], batch["n"], pa.array([own.count(t) for t in batch["term"].to_pylist()], pa.int32())], names=["term", "n", "pieces"])
+            counted = pa.array([own.count(t) for t in batch["term"].to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, counted], names=[*batch.schema.names, "pieces"])
+
+    return terms.mapInArrow(pieces, StructType([*terms.schema, StructField("pieces", IntegerType())]))
+
 
-    counts = corpus_counts(texts, lambda seen: pretokens_of(tokenizer).terms(seen), lambda text: pretokens_of(tokenizer).pieces(text))
-    return written(counts.mapInArrow(pieces, "term string, n long, pieces int"))
+def frequent_pretokens(rows: DataFrame, tokenizer: Callable[[], str] | str, head: int, sample_rows: int) -> dict[bytes, int]:
+    """Tokens of the pre-tokens that are frequent in about `sample_rows` documents (at most `head` of them). Which ones these are decides
+    only where a pre-token's tokens are added up, never the sums."""
+    sample = bounded_sample(rows, F.col("doc_id"), sample_rows).select("text")
+    counts = written(corpus_counts(sample, lambda seen: pretokens_of(tokenizer).terms(seen), lambda text: pretokens_of(tokenizer).counted(text)))
+    least = max(2, head_threshold(counts, head))
+    return {r["term"].encode(): r["pieces"] for r in pretoken_pieces(counts.where(F.col("n") >= least), tokenizer).toLocalIterator()}
 
 
-def count_tokens(docs: DataFrame, tokenizer: Callable[[], str] | str, limit: int = 1024, head: int = 1 << 17) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for each row of docs."""
+def count_tokens(docs: DataFrame, tokenizer: Callable[[], str] | str, limit: int = 1024, head: int = 1 << 17, sample_rows: int = 10_000) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit for each row of docs. Texts are read once (and a sample of them before)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
-    pieces = pretoken_pieces(rows.select("text"), tokenizer)
-    least = head_threshold(pieces, head)
-    frequent = {r["term"].encode(): r["pieces"] for r in pieces.where(F.col("n") >= least).toLocalIterator()}  # at most `head`
-    known = docs.sparkSession.sparkContext.broadcast(frequent)
+    known = docs.sparkSession.sparkContext.broadcast(frequent_pretokens(rows, tokenizer, head, sample_rows))
 
     def scan(pairs: Iterator[tuple]) -> Iterator[tuple[list, Counter]]:
         own, counted = pretokens_of(tokenizer), known.value
         for doc_id, text in pairs:
             here, rest = 0, Counter()
-            for piece, n in Counter(own.pieces(text)).items():
+            for piece, n in own.counted(text).items():
                 for term in own.of(piece):
                     if (m := counted.get(term)) is None:
                         rest[term] += n
@@ -118,6 +141,8 @@ def count_tokens(docs: DataFrame, tokenizer: Callable[[], str] | str, limit: int
             yield [doc_id, len(text), here], rest
 
     fields = {"doc_id": "long", "n_bytes": "long", "here": "long"}
-    found = summed_rests(rows, scan, fields, pieces.where(F.col("n") < least).select("term", "pieces"), {"there": "n * pieces"})
+    rests = written(document_rests(rows, scan, fields))
+    pieces = pretoken_pieces(rests.where(F.col("n") > 0).select("term").distinct(), tokenizer)
+    found = rests_with_values(rests, fields, pieces, {"there": "n * pieces"})
     total = F.col("here") + F.coalesce("there", F.lit(0))
     return found.select("doc_id", "n_bytes", total.cast("long").alias("n_tokens"), (total > limit).alias("over_limit"))

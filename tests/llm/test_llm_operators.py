@@ -323,3 +323,11 @@ def test_empty_tables_give_no_rows(odd_docs):
     assert language_model.score_texts(none, F.lit(True)).count() == 0
     assert decontamination.contaminations(none, none.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
     assert warc.read_archive(warc.write_archive(none.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"), F.col("lang").alias("url")))).count() == 0
+
+
+def test_long_texts_are_counted_in_parts(odd_docs, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, text = token_counts.pretokens_of(path), "  a b,c 12 3.\n\n x's  <|endoftext|> y  z\t" * 40
+    whole = own.terms(own.counted(text.encode()))
+    monkeypatch.setattr(token_counts, "PART", 50)
+    assert own.terms(own.counted(text.encode())) == whole and sum(n * own.count(t.decode()) for t, n in whole.items()) == len(own.tokenizer.encode(text).ids)
