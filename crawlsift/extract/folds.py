@@ -44,7 +44,8 @@ def attribute(tag: str, name: str) -> str | None:
 def closes(tokens: list[Token]) -> list[int]:
     """Where each open tag's element ends: its own close tag, or the end of the page; void elements and other tokens end where they are.
 
-    An element that may be left unclosed ends at its next sibling when the page does not balance it.
+    An element that may be left unclosed ends at its next sibling when the page does not balance it; no unclosed element goes on beyond
+    the one around it.
     """
     ends, open_, surplus = list(range(len(tokens))), {}, {}
     for pos, (_, name, closing) in enumerate(tokens):
@@ -66,6 +67,17 @@ def closes(tokens: list[Token]) -> list[int]:
                 if not tokens[pos][2]:
                     ends[pos] = last.get(name, len(tokens))
                 last[name] = pos
+    around: list[int] = []
+    for pos, (_, name, closing) in enumerate(tokens):
+        while around and around[-1] <= pos:
+            around.pop()
+        if not name or closing or name in VOID:
+            continue
+        end, limit = ends[pos], around[-1] if around else len(tokens)
+        if end < len(tokens) and tokens[end][1:] == (name, True):
+            around.append(min(end, limit))
+        else:
+            ends[pos] = min(end, limit)
     return ends
 
 

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from crawlsift.extract.facts import explode_items, is_jsonld
-from crawlsift.extract.markup import VOID_TAGS, attr, attr_or
-from crawlsift.functions.json import below, children, has_value, is_container, normalise_type, whole_json
-from crawlsift.functions.sql import case, each, extract_all, in_list, keep, let, lit, struct
+from crawlsift.extract.folds import attribute, closes, folded, tokens_of
+from crawlsift.extract.json_folds import ENTITIES, entities_of
+from crawlsift.extract.markup import attr, attr_or
+from crawlsift.functions.json import normalise_type, whole_json
+from crawlsift.functions.sql import case, each, in_list, keep, lit, struct
 from crawlsift.functions.text import WS, clip, decode_entities, first_n
 from crawlsift.functions.urls import absolute_or
 
-_NODES = "CAST(array() AS ARRAY<STRUCT<path STRING, ord STRING, raw STRING>>)"
-
-
 def extract_jsonld(parsed: DataFrame, cap: int | None = None) -> DataFrame:
     """jsonld_blocks(page_id, block, ok, raw, data VARIANT, error, excerpt)."""
     bodies = first_n(keep("scripts", is_jsonld), cap)
@@ -24,164 +27,141 @@ def extract_jsonld(parsed: DataFrame, cap: int | None = None) -> DataFrame:
         f"if(data IS NULL, substr({clip('raw', 500)}, 1, 200), NULL) AS excerpt")
 
 
-def _type_of(raw: str) -> str:
-    """Normalised @type of an object's JSON text; arrays are joined, unusable values give ''."""
-    value = f"try_element_at(from_json({raw}, 'MAP<STRING,VARIANT>'), '@type')"
-    one = f"CAST({value} AS STRING)"
-    many = keep(each(f"try_variant_get({value}, '$', 'array<string>')", normalise_type), lambda t: f"{t} <> ''")
-    return case((f"startswith(schema_of_variant({value}), 'ARRAY')", f"array_join({many}, ', ')"),
-                (f"is_variant_null({value})", "''"), otherwise=f"coalesce({normalise_type(one)}, '')")
-
-
-def filled_properties(raw: str) -> str:
-    """Names of the properties that carry a value."""
-    return f"map_keys(map_filter(from_json({raw}, 'MAP<STRING,VARIANT>'), (k, v) -> {has_value('v')}))"
-
-
-def _graph(node: str) -> str:
-    """JSON text of an object's @graph array, NULL when there is none."""
-    value = f"try_element_at(from_json({node}.raw, 'MAP<STRING,VARIANT>'), '@graph')"
-    return case((f"startswith({node}.raw, '{{') AND startswith(schema_of_variant({value}), 'ARRAY')",
-                 f"try_element_at(from_json({node}.raw, 'MAP<STRING,STRING>'), '@graph')"))
-
+def type_name(types: str) -> str:
+    """Normalised names of an array of @type values, joined; '' where none is usable."""
+    return f"array_join({keep(each(types, normalise_type), lambda t: f"{t} <> ''")}, ', ')"
 
-def _next_level(node: str) -> str:
-    inside = lambda n: keep(children(n), lambda c: is_container(f"{c}.value"))
 
-    def expand(g: str) -> str:
-        graph_items = each(inside(f"named_struct('raw', {g})"), lambda c: struct(
-            path=f"concat({node}.path, '@graph[', {c}.index, ']')", ord=below(f"{node}.ord", f"{c}.index"), raw=f"{c}.raw"))
-        items = each(keep(inside(node), lambda c: f"{c}.key IS NULL OR NOT startswith({c}.key, '@')"), lambda c: struct(
-            path=f"if({c}.key IS NULL, concat({node}.path, '[', {c}.index, ']'), concat({node}.path, '.', {c}.key))",
-            ord=below(f"{node}.ord", f"{c}.index"), raw=f"{c}.raw"))
-        return case((f"{g} IS NOT NULL", graph_items), otherwise=items)
-
-    return let(_graph(node), expand)
-
-
-def flatten_jsonld(blocks: DataFrame, max_depth: int = 8) -> DataFrame:
-    """(page_id, block, level, path, ord, type, raw, filled): every typed object of every block that parsed.
+def flatten_jsonld(blocks: DataFrame, max_depth: int | None = None, raw: bool = True) -> DataFrame:
+    """(page_id, block, level, path, ord, type, raw, filled): every typed object, at any depth, of every block that parsed.
 
     An array contributes its items, an @graph its members and nothing else of that node, other objects themselves
-    and their nested objects. One level per projection; all inside the block's row.
+    and their nested objects, all inside the block's row. Without `raw` the objects' own texts, which hold those of all
+    objects inside them, are left out.
     """
-    rows = blocks.filter("ok").selectExpr(
-        "page_id", "block", f"if({is_container('data')}, array(named_struct('path', concat('block', block), 'ord', '', 'raw', raw)), "
-                            f"{_NODES}) AS l0")
-    for d in range(1, max_depth + 1):
-        deeper = f"flatten({each(f'l{d - 1}', _next_level)})"
-        rows = rows.selectExpr("*", f"if(size(l{d - 1}) = 0, {_NODES}, {deeper}) AS l{d}")
-    found = "concat(" + ", ".join(
-        each(f"l{d}", lambda n, d=d: struct(level=str(d), path=f"{n}.path", ord=f"{n}.ord", raw=f"{n}.raw"))
-        for d in range(max_depth + 1)) + ")"
-    nodes = rows.selectExpr("page_id", "block", f"explode_outer({found}) AS n").filter("n IS NOT NULL")
-    objects = nodes.select("page_id", "block", "n.*").filter("startswith(raw, '{')").selectExpr(
-        "page_id", "block", "level", "path", "ord", "raw", f"{_graph('named_struct(' + repr('raw') + ', raw)')} AS graph",
-        f"{_type_of('raw')} AS type")
-    return objects.filter("graph IS NULL AND type <> ''").selectExpr(
-        "page_id", "block", "level", "path", "ord", "type", "raw", f"{filled_properties('raw')} AS filled")
+    rows = blocks.filter("ok").select("page_id", "block", "raw")
+    nodes = folded(rows, "raw", _nodes=(lambda text: list(entities_of(text, max_depth, raw)), ENTITIES))
+    found = explode_items(nodes, "_nodes", ["page_id", "block"], index="_at").drop("_at")
+    return found.selectExpr("page_id", "block", "level", "concat('block', block, path) AS path", "ord", f"{type_name('types')} AS type", "raw",
+                            "filled").filter("type <> ''")
 
 
 # --- Microdata ------------------------------------------------------------------------------------
 
-_IMPLIED_END = ["p", "li", "dt", "dd", "td", "th", "tr", "option"]
 _SRC_TAGS = ["img", "audio", "embed", "iframe", "source", "track", "video"]
+_ITEM = re.compile(r"(?i)item(?:scope|prop)")
+MICRODATA = ("array<struct<item: int, scope: int, parent_scope: int, scope_prop: string, tag_text: string, names: string, pos: int, tok: string, "
+             "tag: string, content: string, nested: int>>")
 
 
-def element_intervals(parsed: DataFrame, hint: str, carry: list[str]) -> DataFrame:
-    """Tag tokens of pages whose markup contains `hint`, with the position of each open tag's matching close.
+def microdata_of(markup: str) -> list[tuple]:
+    """A row for each property of a page's items (one without a property for an empty item), with the scope that holds it.
 
-    One exchange by page_id, made while the page is still one compact row; the windows below share it. Opens and
-    closes of one tag at one depth alternate, so the match is simply the next row of that group. A tag that may
-    be left unclosed ends at its next sibling when the page does not balance it.
+    Scopes nest as their elements do, so a stack tells each property's owner. A nested scope without itemprop is no item of its own: its
+    properties go to the outer one. Items without itemtype are left out with all they hold.
     """
-    pages = parsed.filter(f"contains(lower(markup), {lit(hint)})").repartition("page_id")
-    tokens = pages.selectExpr("page_id", *carry, f"posexplode({extract_all('markup', '<[^>]*>|[^<]+')}) AS (pos, tok)")
-    named = tokens.selectExpr("*", "lower(regexp_extract(tok, '^</?([A-Za-z][^\\\\s/>]*)', 1)) AS tag",
-                              "startswith(tok, '</') AS closing")
-    nesting = f"(tag <> '' AND NOT {in_list('tag', VOID_TAGS)})"
-    step = f"CASE WHEN {nesting} THEN if(closing, -1, 1) ELSE 0 END"
-    running = named.selectExpr(
-        "*", f"sum({step}) OVER (PARTITION BY page_id, tag ORDER BY pos) AS depth",
-        f"sum({step}) OVER (PARTITION BY page_id, tag) AS surplus")
-    levels = running.selectExpr("*", "if(closing, depth + 1, depth) AS level")
-    return levels.selectExpr(
-        "*", f"CASE WHEN closing OR NOT {nesting} THEN pos WHEN surplus <> 0 AND {in_list('tag', _IMPLIED_END)} "
-             "THEN lead(pos) OVER (PARTITION BY page_id, tag ORDER BY pos) "
-             "ELSE lead(pos) OVER (PARTITION BY page_id, tag, level ORDER BY pos) END AS close_pos").drop(
-        "depth", "surplus", "level")
-
-
-def _property_value(text: str) -> str:
-    link = lambda name: absolute_or("base", attr_or("tok", name), "raw")
+    tokens = tokens_of(markup)
+    if not any(name and _ITEM.search(text) for text, name, _ in tokens):
+        return []
+    ends = closes(tokens)
+    open_: list[tuple[int, dict | None]] = []  # where each open scope ends, and its item unless it is none of its own
+    items, count = [], -1
+    for pos, (text, name, closing) in enumerate(tokens):
+        while open_ and open_[-1][0] <= pos:
+            open_.pop()
+        if closing or not name or not _ITEM.search(text):
+            continue
+        scope, names = attribute(text, "itemscope") is not None, attribute(text, "itemprop")
+        if not scope and names is None:
+            continue
+        owner = next((item for _, item in reversed(open_) if item is not None), None)
+        own = scope and (not open_ or names is not None)
+        if names is not None and owner is not None:
+            content = "" if scope else "".join(t for t, n, _ in tokens[pos + 1 : ends[pos]] if not n)
+            owner["props"].append((names, pos, text, name, content, pos if scope else None))
+        if scope:
+            item = None
+            if own:
+                top = not open_ and attribute(text, "itemtype") is not None
+                count += top
+                item = {"scope": pos, "parent": owner and owner["scope"], "prop": names, "text": text, "props": [], "item": count, "kept": owner["kept"] if owner else top}
+                items.append(item)
+            open_.append((ends[pos], item))
+            # an element that ends before one it was opened in (its close tag is missing) keeps the order of ends
+            for i in range(len(open_) - 1, 0, -1):
+                if open_[i][0] > open_[i - 1][0]:
+                    open_[i] = (open_[i - 1][0], open_[i][1])
+    return [
+        (i["item"], i["scope"], i["parent"], i["prop"], i["text"], *p)
+        for i in items if i["kept"] for p in i["props"] or [(None,) * 6]]
+
+
+def _property_value(p: str, text: str) -> str:
+    tag, tok = f"{p}.tag", f"{p}.tok"
+    link = lambda name: absolute_or("base", attr_or(tok, name), "raw")
     return case(
-        ("scope", "NULL"), ("tag = 'meta'", clip(attr("tok", "content"), None, "empty")),
-        ("tag IN ('a', 'area', 'link')", link("href")), (in_list("tag", _SRC_TAGS), link("src")),
-        ("tag = 'object'", link("data")), ("tag IN ('data', 'meter')", clip(attr("tok", "value"), None, "empty")),
-        ("tag = 'time'", clip(f"coalesce(nullif({attr('tok', 'datetime')}, ''), {text})", None, "empty")),
+        (f"{p}.nested IS NOT NULL OR {p}.names IS NULL", "CAST(NULL AS STRING)"), (f"{tag} = 'meta'", clip(attr(tok, "content"), None, "empty")),
+        (f"{tag} IN ('a', 'area', 'link')", link("href")), (in_list(tag, _SRC_TAGS), link("src")),
+        (f"{tag} = 'object'", link("data")), (f"{tag} IN ('data', 'meter')", clip(attr(tok, "value"), None, "empty")),
+        (f"{tag} = 'time'", clip(f"coalesce(nullif({attr(tok, 'datetime')}, ''), {text})", None, "empty")),
         otherwise=clip(text, None, "empty"))
 
 
+def microdata_array(props: str) -> str:
+    """Rows of `microdata_of` with one entry per name, and values read from the tags: ARRAY<STRUCT<item, scope, parent_scope, scope_prop,
+    type, id, pos, prop, value, nested>>."""
+    def entry(p: str, name: str) -> str:
+        return struct(
+            item=f"{p}.item", scope=f"{p}.scope", parent_scope=f"{p}.parent_scope", scope_prop=f"{p}.scope_prop",
+            type=clip(attr(f"{p}.tag_text", "itemtype"), None, "empty"), id=clip(attr(f"{p}.tag_text", "itemid"), None, "empty"), pos=f"{p}.pos",
+            prop=name, value=_property_value(p, decode_entities(f"{p}.content")), nested=f"{p}.nested")
+
+    split = lambda p: keep(f"split({clip(f'{p}.names', None, 'empty')}, {lit(WS + '+')})", lambda n: f"{n} <> ''")
+    named = lambda p: case((f"{p}.names IS NULL", f"array({entry(p, 'CAST(NULL AS STRING)')})"), otherwise=each(split(p), lambda n: entry(p, n)))
+    return f"flatten({each(props, named)})"
+
+
 def extract_microdata(parsed: DataFrame, cap: int | None = None) -> DataFrame:
-    """microdata_props(page_id, item, scope, parent_scope, scope_prop, type, id, prop, value, nested).
+    """microdata_props(page_id, item, scope, parent_scope, scope_prop, type, id, pos, prop, value, nested).
 
     One row per property of an item or nested item (one row with prop NULL for an empty item); `item` numbers the
     top-level items of a page, `scope` is the position of the element holding the property, `nested` the scope a
-    property leads to. A nested scope without itemprop is no item of its own: its properties go to the outer one.
+    property leads to. A nested scope without itemprop is no item of its own: its properties go to the outer one. `cap` keeps a page's
+    first items only.
     """
-    tokens = element_intervals(parsed, "itemscope", ["base"])
-    marked = tokens.selectExpr(
-        "page_id", "base", "pos", "tok", "tag", "coalesce(close_pos, 2147483647) AS close_pos",
-        f"NOT closing AND tag <> '' AND rlike(tok, '(?i)item(?:scope|prop)') AND {attr('tok', 'itemscope')} IS NOT NULL AS scope",
-        f"if(NOT closing AND rlike(tok, '(?i)itemprop'), {attr('tok', 'itemprop')}, NULL) AS itemprop")
-    # all tokens of a page in order (at most its html); an element's text is the slice between its tags
-    pages = marked.groupBy("page_id").agg(
-        *_exprs("transform(array_sort(collect_list(named_struct('pos', pos, 'tok', tok))), t -> t.tok) AS toks",
-                "array_sort(collect_list(if(scope OR itemprop IS NOT NULL, named_struct('pos', pos, 'close_pos', "
-                "close_pos, 'tok', tok, 'tag', tag, 'scope', scope, 'itemprop', itemprop, 'base', base), NULL))) AS els"))
-    inside = ("array_join(filter(slice(toks, e.pos + 2, greatest(least(e.close_pos, size(toks)) - e.pos - 1, 0)), "
-              "t -> NOT startswith(t, '<')), '')")
-    els = pages.selectExpr("page_id", f"explode(transform(els, e -> named_struct('e', e, 'content', if(e.scope, '', "
-                                      f"{inside})))) AS x").select("page_id", "x.e.*", "x.content")
-    outer = els.selectExpr("*", "coalesce(max(if(scope, close_pos, NULL)) OVER (PARTITION BY page_id ORDER BY pos ROWS "
-                                "BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > pos, false) AS within")
-    bounded = outer.selectExpr("*", "scope AND (NOT within OR itemprop IS NOT NULL) AS boundary")
-    # every boundary scope opens and closes a depth; an element belongs to the last scope opened at its depth
-    events = bounded.selectExpr("*", "explode(if(boundary, array(1, -1), array(0))) AS step").selectExpr(
-        "*", "if(step = -1, close_pos, pos) AS at")
-    deep = events.selectExpr("*", "coalesce(sum(step) OVER (PARTITION BY page_id ORDER BY at, step ROWS BETWEEN UNBOUNDED "
-                                  "PRECEDING AND 1 PRECEDING), 0) AS depth").filter("step >= 0")
-    roles = deep.selectExpr("*", "explode(if(boundary, array(true, false), array(false))) AS opens")
-    owned = roles.selectExpr("*", "last(if(opens, pos, NULL), true) OVER (PARTITION BY page_id, if(opens, depth + 1, depth) "
-                                  "ORDER BY pos, opens) AS owner").filter("NOT opens")
-    scopes = owned.filter("boundary").selectExpr(
-        "page_id", "pos AS scope", "owner AS parent_scope", "itemprop AS scope_prop", "depth",
-        f"{clip(attr('tok', 'itemtype'), None, 'empty')} AS type", f"{clip(attr('tok', 'itemid'), None, 'empty')} AS id",
-        f"NOT within AND {attr('tok', 'itemtype')} IS NOT NULL AS top").selectExpr(
-        "*", "sum(if(top, 1, 0)) OVER (PARTITION BY page_id ORDER BY scope) - 1 AS item",
-        "last(if(depth = 0, top, NULL), true) OVER (PARTITION BY page_id ORDER BY scope) AS kept")
-    limit = "" if cap is None else f" AND item < {cap}"
-    scopes = scopes.filter(f"kept{limit}").drop("top", "kept")
-    names = keep(f"split({clip('itemprop', None, 'empty')}, {lit(WS + '+')})", lambda n: f"{n} <> ''")
-    props = owned.filter("itemprop IS NOT NULL AND owner IS NOT NULL").selectExpr(
-        "page_id", "owner AS scope", "pos", f"explode({names}) AS prop",
-        f"{_property_value(decode_entities('content'))} AS value", "if(scope, pos, NULL) AS nested")
-    return scopes.drop("depth").join(props, ["page_id", "scope"], "left")
-
-
-def _exprs(*texts: str):
-    from pyspark.sql import functions as F
-
-    return [F.expr(t) for t in texts]
+    pages = parsed.filter("contains(lower(markup), 'itemscope')").select("page_id", "base", "markup")
+    rows = folded(pages, "markup", _props=(microdata_of, MICRODATA)).selectExpr("page_id", f"{microdata_array('_props')} AS _props")
+    array = "_props" if cap is None else keep("_props", lambda p: f"{p}.item < {cap}")
+    return explode_items(rows, array, index="_at").drop("_at")
+
+
+def items_of(props: list[dict]) -> list[tuple]:
+    """(item, type, filled, raw) of a page's top-level items: the names of properties that carry a value, and all properties as a JSON
+    object. Repeated names give an array, nested scopes an object of type, id and properties."""
+    scopes: dict[int, dict] = {}
+    for p in props:
+        scope = scopes.setdefault(p["scope"], {**p, "values": {}})
+        if p["prop"] is not None:
+            scope["values"].setdefault(p["prop"], []).append(p)
+    texts: dict[int, str] = {}
+    for at in sorted(scopes, reverse=True):  # inner scopes come after the ones that hold them
+        scope, parts = scopes[at], []
+        for name, values in scope["values"].items():
+            shown = [texts.get(v["nested"], "null") if v["nested"] is not None else json.dumps(v["value"], ensure_ascii=False) for v in values]
+            parts.append(f"{json.dumps(name, ensure_ascii=False)}:{shown[0] if len(shown) == 1 else '[' + ','.join(shown) + ']'}")
+        scope["raw"] = "{" + ",".join(parts) + "}"
+        kind, id_ = (json.dumps(scope[k] or None, ensure_ascii=False) for k in ("type", "id"))
+        texts[at] = f'{{"type":{kind},"id":{id_},"properties":{scope["raw"]}}}'
+    filled = lambda values: len(values) > 1 or values[0]["nested"] is not None or bool((values[0]["value"] or "").strip())
+    return [(s["item"], s["type"], [n for n, v in s["values"].items() if filled(v)], s["raw"]) for _, s in sorted(scopes.items()) if s["parent_scope"] is None]
+
+
+ITEMS = "array<struct<item: int, type: string, filled: array<string>, raw: string>>"
 
 
 def microdata_entities(microdata: DataFrame) -> DataFrame:
-    """(page_id, item, type, filled): top-level items with the names of properties that carry a value."""
-    top = microdata.filter("parent_scope IS NULL")
-    per_prop = top.groupBy("page_id", "item", "type", "prop").agg(*_exprs(
-        "count(*) AS n", "bool_or(nested IS NOT NULL OR coalesce(trim(value), '') <> '') AS has", "min(pos) AS pos"))
-    return per_prop.groupBy("page_id", "item", "type").agg(*_exprs(
-        "transform(array_sort(collect_list(if(prop IS NOT NULL AND (has OR n > 1), struct(pos, prop), NULL))), x -> x.prop) "
-        "AS filled")).selectExpr("page_id", "item", f"{normalise_type('type')} AS type", "filled").filter("type <> ''")
-
-
+    """(page_id, item, type, filled, raw): top-level items with the names of properties that carry a value, and the properties as JSON."""
+    fields = "pos, item, scope, parent_scope, type, id, prop, value, nested"
+    rows = folded(microdata.groupBy("page_id").agg(F.expr(f"array_sort(collect_list(struct({fields})))").alias("_props")), "_props", _items=(items_of, ITEMS))
+    found = explode_items(rows, "_items", index="_at").drop("_at")
+    return found.selectExpr("page_id", "item", f"{normalise_type('type')} AS type", "filled", "raw").filter("type <> ''")

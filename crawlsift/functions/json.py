@@ -2,20 +2,8 @@
 
 from __future__ import annotations
 
-from crawlsift.functions.sql import case, let, lit, matches, substitute
-from crawlsift.functions.text import ELLIPSIS, js_cut, js_trim
-
-
-def is_container(value: str) -> str:
-    """The VARIANT is an object or an array."""
-    return f"coalesce({matches(f'schema_of_variant({value})', '^(?:OBJECT|ARRAY)')}, false)"
-
-
-def has_value(value: str) -> str:
-    """Present and carrying something: not null, blank text, [] or {}. Numbers and booleans count."""
-    return let(value, lambda v: f"coalesce(" + case(
-        (f"schema_of_variant({v}) = 'STRING'", f"{js_trim(f'CAST({v} AS STRING)')} <> ''"),
-        otherwise=f"to_json({v}) NOT IN ('null', '[]', '{{}}')") + ", false)")
+from crawlsift.functions.sql import case, let, lit, substitute
+from crawlsift.functions.text import js_trim
 
 
 def normalise_type(value: str) -> str:
@@ -26,37 +14,11 @@ def normalise_type(value: str) -> str:
         otherwise=f"coalesce(nullif(regexp_extract({t}, {lit('([^/#]+)[/#]*' + chr(92) + 'z')}, 1), ''), {t})"))
 
 
-def children(node: str) -> str:
-    """Children of struct<path, raw> as ARRAY<STRUCT<key, index, raw, value>> in source order.
-
-    `key` is NULL for array items; `index` is the position among the siblings.
-    """
-    pairs = (f"arrays_zip(map_keys(from_json({node}.raw, 'MAP<STRING,STRING>')), "
-             f"map_values(from_json({node}.raw, 'MAP<STRING,STRING>')), "
-             f"map_values(from_json({node}.raw, 'MAP<STRING,VARIANT>')))")
-    objects = (f"transform({pairs}, (p, i) -> named_struct('key', p['0'], 'index', i, 'raw', p['1'], 'value', p['2']))")
-    items = (f"transform(arrays_zip(from_json({node}.raw, 'ARRAY<STRING>'), from_json({node}.raw, 'ARRAY<VARIANT>')), "
-             "(p, i) -> named_struct('key', CAST(NULL AS STRING), 'index', i, 'raw', p['0'], 'value', p['1']))")
-    return case((f"startswith({node}.raw, '[')", items), otherwise=objects)
-
-
-def below(order: str, index: str) -> str:
-    """Sort key of a child: keys of a whole tree sort in document order."""
-    return f"concat({order}, lpad({index}, 7, '0'), '/')"
-
-
 def number_text(raw: str) -> str:
     """A JSON number as a browser prints it: no trailing zeros after the point."""
     return substitute(substitute(raw, r"^(-?[0-9]+)\.0+$", "$1"), r"^(-?[0-9]+\.[0-9]*[1-9])0+$", "$1")
 
 
-def leaf_text(raw: str, value: str, max_string: int | None = None) -> str:
-    """Text of a scalar child."""
-    string = raw if max_string is None else js_cut(raw, max_string, ELLIPSIS)
-    return case((f"{value} IS NULL OR is_variant_null({value})", "'null'"),
-                (f"schema_of_variant({value}) = 'STRING'", string), otherwise=number_text(raw))
-
-
 def whole_json(text: str) -> str:
     """VARIANT of a text that is one JSON value and nothing else; NULL otherwise (the parser alone stops after the first value)."""
     listed = f"try_variant_get(try_parse_json(concat('[', {text}, ']')), '$', 'array<variant>')"

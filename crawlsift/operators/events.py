@@ -8,11 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlsift.functions.json import below, children, is_container, leaf_text, number_text
-from crawlsift.functions.sql import case, each, keep, let, lit, struct
+from crawlsift.extract.facts import explode_items
+from crawlsift.extract.folds import folded
+from crawlsift.extract.json_folds import LEAVES, leaves_of
+from crawlsift.functions.json import number_text
+from crawlsift.functions.sql import any_of, case, let, lit
 from crawlsift.functions.text import contains_ci
 
-MAX_DEPTH = 12
+#: Fixed value: how deep one entry may go where payloads are capped.
+CLEAN_DEPTH = 12
 
 
 def event_name_of(value: str) -> str:
@@ -45,55 +49,22 @@ def annotate_entries(entries: DataFrame) -> DataFrame:
     return named.selectExpr("*", f"{describe_entry('raw', 'value')} AS label")
 
 
-def flatten_json(df: DataFrame, raw: str = "raw", carry: list[str] | None = None, max_depth: int = MAX_DEPTH,
+def flatten_json(df: DataFrame, raw: str = "raw", carry: list[str] | None = None, max_depth: int | None = None,
                  clean: bool = False) -> DataFrame:
-    """(carry..., ord, path, value): every leaf of a JSON text as `a.b[0].c` and its text.
+    """(carry..., ord, path, value): every leaf of a JSON text, at any depth, as `a.b[0].c` and its text.
 
-    One level per projection, all inside the row: works on streams, shuffles nothing. Empty containers are leaves
-    ([] and {}); below `max_depth` stands [Depth limit]. `clean` also caps what one entry may hold: 2000 characters
-    per text, 500 items per array (then `[n more]`), 200 keys per object.
+    One scan inside the row: works on streams, shuffles nothing. Empty containers are leaves ([] and {}). With `max_depth`,
+    [Depth limit] stands for what is deeper. `clean` caps what one entry may hold: depth 12, 2000 characters per text, 500 items per
+    array (then `[n more]`), 200 keys per object.
     """
     carry = carry or [c for c in df.columns if c not in (raw, "value")]
-    node_type = "ARRAY<STRUCT<path STRING, ord STRING, raw STRING, leaf BOOLEAN>>"
-    root_text = let(f"try_parse_json({raw})", lambda v: case(
-        (f"schema_of_variant({v}) = 'STRING'", f"CAST({v} AS STRING)"), otherwise=leaf_text(f"trim({raw})", v)))
-    root = case((f"rlike({raw}, '^\\\\s*[\\\\[{{]')", struct(path="''", ord="''", raw=f"trim({raw})", leaf="false")),
-                otherwise=struct(path="''", ord="''", raw=root_text, leaf="true"))
-    rows = df.selectExpr(*carry, f"CAST(filter(array({root}), n -> n.raw IS NOT NULL) AS {node_type}) AS l0",
-                         f"CAST(array() AS {node_type}) AS done0")
-    limit = max_depth - 1 if clean else max_depth
-    for d in range(limit + 1):
-        last = d == limit
-
-        def child(node: str, c: str, last: bool = last) -> str:
-            # top-level array items are plain numbers, deeper ones are bracketed
-            step = (f"CASE WHEN {c}.key IS NULL THEN if({node}.path = '', CAST({c}.index AS STRING), "
-                    f"concat({node}.path, '[', {c}.index, ']')) WHEN {node}.path = '' THEN {c}.key "
-                    f"ELSE concat({node}.path, '.', {c}.key) END")
-            scalar = leaf_text(f"{c}.raw", f"{c}.value", 2000 if clean else None)
-            empty = f"{c}.raw IN ('[]', '{{}}')"
-            inside = is_container(f"{c}.value")
-            text = f"CASE WHEN {inside} THEN {f'if({empty}, {c}.raw, {lit('[Depth limit]')})' if last else f'{c}.raw'} ELSE {scalar} END"
-            leaf = "true" if last else f"NOT {inside} OR {empty}"
-            return struct(path=step, ord=below(f"{node}.ord", f"{c}.index"), raw=text, leaf=leaf)
-
-        def expand(node: str, child=child) -> str:
-            kids = children(node)
-            if clean:
-                kids = let(kids, lambda k: (
-                    f"CASE WHEN startswith({node}.raw, '{{') THEN slice({k}, 1, 200) WHEN size({k}) > 500 THEN "
-                    f"concat(slice({k}, 1, 500), array(named_struct('key', CAST(NULL AS STRING), 'index', 500, 'raw', "
-                    f"concat('[', size({k}) - 500, ' more]'), 'value', parse_json('\"\"')))) ELSE {k} END"))
-            out = each(kids, lambda c: child(node, c))
-            return f"if({node}.raw IN ('[]', '{{}}'), array(named_struct('path', {node}.path, 'ord', {node}.ord, " \
-                   f"'raw', {node}.raw, 'leaf', true)), {out})"
-
-        grown = f"flatten({each(keep(f'l{d}', lambda n: f'NOT {n}.leaf'), expand)})"
-        rows = rows.selectExpr(*carry, f"concat(done{d}, filter(l{d}, n -> n.leaf)) AS done{d + 1}",
-                               f"CAST(if(size(filter(l{d}, n -> NOT n.leaf)) = 0, array(), {grown}) AS {node_type}) AS l{d + 1}")
-    found = f"explode_outer(concat(done{limit + 1}, l{limit + 1})) AS n"
-    return rows.selectExpr(*carry, found).filter("n IS NOT NULL").selectExpr(
-        *carry, "n.ord AS ord", "n.path AS path", "n.raw AS value")
+    limit = (max_depth or CLEAN_DEPTH) if clean else None if max_depth is None else max_depth + 1
+    return explode_items(_with_leaves(df.selectExpr(*carry, f"{raw} AS _raw"), limit, clean), "_leaves", carry, index="_at").drop("_at")
+
+
+def _with_leaves(df: DataFrame, limit: int | None = None, clean: bool = False) -> DataFrame:
+    """df with `_leaves` of the JSON text in `_raw`, in place of it."""
+    return folded(df, "_raw", _leaves=(lambda text: list(leaves_of(text, limit, clean)), LEAVES))
 
 
 def clean_json_payload(df: DataFrame, raw: str = "raw", carry: list[str] | None = None) -> DataFrame:
@@ -101,23 +72,21 @@ def clean_json_payload(df: DataFrame, raw: str = "raw", carry: list[str] | None
     return flatten_json(df, raw, carry, clean=True)
 
 
-def filter_entries(entries: DataFrame, query: str = "", event: str = "", keys: list[str] | None = None) -> DataFrame:
-    """Annotated entries with that exact event whose name, any path or any value contains the text. The entry's own text is part of the
-    join, so entries of repeated captures are told apart.
+def filter_entries(entries: DataFrame, query: str = "", event: str = "") -> DataFrame:
+    """Annotated entries with that exact event whose name, any path or any value, at any depth, contains the text.
 
-    The search is a semi-join with the flattened leaves, so an entry is read once however many leaves match.
+    An entry's own leaves are searched in its row: no join, and entries of repeated captures stay apart.
     """
-    keys = keys or ["page_id", "layer", "index"]
     out = entries.filter(f"event = {lit(event)}") if event else entries
     needle = query.strip()
     if not needle:
         return out
-    out = out.withColumn("_text", F.xxhash64("raw"))
-    keys = [*keys, "_text"]
-    leaves = flatten_json(out, "raw", [*keys, "event"])
-    hits = leaves.filter(f"{contains_ci('coalesce(event, ' + repr('') + ')', needle)} OR {contains_ci('path', needle)} "
-                         f"OR {contains_ci('value', needle)}")
-    return out.join(hits.select(*keys), keys, "left_semi").drop("_text")
+    plain = [c for c in out.columns if out.schema[c].dataType.typeName() != "variant"]
+    leaves = _with_leaves(out.selectExpr(*plain, "raw AS _raw"))
+    found = f"{contains_ci('coalesce(event, ' + repr('') + ')', needle)} OR " + any_of(
+        "_leaves", lambda x: f"{contains_ci(f'{x}.path', needle)} OR {contains_ci(f'{x}.value', needle)}")
+    # parsed values do not travel through the search: they are parsed again for what it left
+    return leaves.filter(found).selectExpr(*[c if c in plain else f"try_parse_json(raw) AS `{c}`" for c in out.columns])
 
 
 def event_counts(entries: DataFrame, by: list[str] | None = None) -> DataFrame:

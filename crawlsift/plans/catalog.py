@@ -34,7 +34,7 @@ from crawlsift.plans import site_audit
 from crawlsift.plans import synthetic as S
 from crawlsift.registry.technologies import STACK_CATEGORIES
 from crawlsift.registry.trackers import TRACKER_CATEGORIES
-from crawlsift.sinks import audit_json, csv_documents, export_key, layers_json, stack_report, store_rows, tracker_report, tracker_rows
+from crawlsift.sinks import audit_json, csv_documents, export_key, layers_json, schema_documents, stack_report, store_rows, tracker_report, tracker_rows
 from crawlsift.sources import describe_blocked, load_pages
 from crawlsift.streaming import first_sightings, split_late
 
@@ -294,14 +294,7 @@ _SCHEMA_SQL = """SELECT p_partkey AS page_id, f.path, f.label, f.status, CASE f.
   ('block0@graph[0].offers[0]', 'Offer', 'availability', 'warning'), ('block0@graph[0].offers[0]', 'Offer', 'url', 'warning')
 ) f(path, type, label, status) WHERE p_partkey % 11 <> 0"""
 query("schema_findings", _SCHEMA_SQL)(
-    lambda s, d: SC.validate_entities(SC.flatten_entities(_blocks(s, d))).select("page_id", "path", "label", "status", "message"))
-
-
-def _schema_summary(s, d) -> DataFrame:
-    blocks = _blocks(s, d)
-    entities = SC.flatten_entities(blocks)
-    return SC.summarize_schema(entities, SC.validate_entities(entities), blocks, S.product_pages(s, d)).withColumn(
-        "types", F.array_join("types", ", "))
+    lambda s, d: SC.validate_entities(SC.flatten_entities(_blocks(s, d), raw=False)).select("page_id", "path", "label", "status", "message"))
 
 
 query("schema_summary", """SELECT p_partkey AS page_id, CAST(CASE WHEN bad THEN 0 ELSE 3 END AS BIGINT) AS entities,
@@ -310,7 +303,8 @@ query("schema_summary", """SELECT p_partkey AS page_id, CAST(CASE WHEN bad THEN
   CAST(CASE WHEN bad THEN 0 WHEN p_partkey % 2 = 0 THEN 7 ELSE 8 END AS BIGINT) AS warnings,
   CAST(CASE WHEN bad THEN 1 ELSE 0 END AS BIGINT) AS parse_errors,
   CASE WHEN bad OR p_partkey % 3 <> 0 THEN 'error' ELSE 'warning' END AS status
-FROM (SELECT *, p_partkey % 11 = 0 AS bad FROM part)""")(_schema_summary)
+FROM (SELECT *, p_partkey % 11 = 0 AS bad FROM part)""")(
+    lambda s, d: SC.summarize_pages(parse_pages(S.product_pages(s, d))).withColumn("types", F.array_join("types", ", ")))
 
 query("microdata", """SELECT p_partkey AS page_id, 0 AS item, m.type, m.prop, m.value, m.nested FROM part, LATERAL (VALUES
   ('https://schema.org/Product', 'name', p_name, false), ('https://schema.org/Product', 'offers', NULL, true),
@@ -323,6 +317,34 @@ query("microdata", """SELECT p_partkey AS page_id, 0 AS item, m.type, m.prop, m.
         "page_id", "CAST(item AS INT) AS item", "type", "prop", "value", "nested IS NOT NULL AS nested"))
 
 
+query("nested_items", """SELECT s_suppkey AS page_id, m.item, m.type, m.id, m.prop, m.value, m.depth FROM supplier, LATERAL (
+  SELECT 0 AS item, 'https://schema.org/OnlineBusiness' AS type, 'urn:' || s_suppkey AS id, 'name' AS prop, s_name AS value, 0 AS depth
+  UNION ALL SELECT 0, 'https://schema.org/OnlineBusiness', 'urn:' || s_suppkey, 'review', 'good', 0
+  UNION ALL SELECT 0, 'https://schema.org/OnlineBusiness', 'urn:' || s_suppkey, 'review', CAST(s_suppkey AS VARCHAR), 0
+  UNION ALL SELECT 0, 'https://schema.org/OnlineBusiness', 'urn:' || s_suppkey, 'about', NULL, 0
+  UNION ALL SELECT 0, 'Thing', '', 'level', CAST(i AS VARCHAR), i FROM (SELECT unnest(range(1, CAST(s_suppkey % 30 + 2 AS BIGINT))) AS i)
+  UNION ALL SELECT 0, 'Thing', '', 'about', NULL, i FROM (SELECT unnest(range(1, CAST(s_suppkey % 30 + 1 AS BIGINT))) AS i)
+  UNION ALL SELECT 1, 'Empty', '', NULL, NULL, 0) m""")(
+    lambda s, d: SD.extract_microdata(parse_pages(S.review_pages(s, d))).selectExpr(
+        "page_id", "item", "type", "id", "prop", "value", "CAST(if(type <> 'Thing', 0, (scope - min(if(type = 'Thing', scope, NULL)) OVER (PARTITION BY page_id)) / 4 + 1) AS BIGINT) AS depth"))
+query("microdata_findings", """SELECT s_suppkey AS page_id, f.path, f.label, f.status FROM supplier, (VALUES ('item0', 'name', 'ok'), ('item0', 'url', 'warning'),
+  ('item0', 'logo', 'warning'), ('item0', 'sameAs', 'warning'), ('item1', 'Empty', 'info')) f(path, label, status)""")(
+    lambda s, d: SC.validate_entities(SC.flatten_entities(
+        SD.extract_jsonld(parse_pages(S.review_pages(s, d))), SD.extract_microdata(parse_pages(S.review_pages(s, d))))).select("page_id", "path", "label", "status"))
+query("deep_entities", f"""SELECT s_suppkey AS page_id, 'block0' || repeat('.part', i) AS path, CASE WHEN i = {S.DEEP - 1} THEN 'Leaf' ELSE 'Part' END AS type,
+  CAST(i AS INTEGER) AS level FROM supplier, (SELECT unnest(range(0, {S.DEEP})) AS i)""")(
+    lambda s, d: SD.flatten_jsonld(SD.extract_jsonld(parse_pages(S.deep_pages(s, d))), raw=False).select("page_id", "path", "type", "level"))
+query("schema_documents", """SELECT p_partkey AS page_id, 'Product' AS type, 'item0' AS path, CAST(0 AS BIGINT) AS failed, p_name AS name,
+  CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) AS price, 'https://schema.org/Offer' AS inner_type, 'https://shop.example.com/p/' || p_partkey AS url,
+  CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) END AS sku, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 4 END AS warnings, 'Present.' AS first_message
+FROM part""")(
+    lambda s, d: schema_documents(SC.structured_pages(parse_pages(S.microdata_pages(s, d)), raw=True)).selectExpr(
+        "page_id", *[f"get_json_object(json, '$.entities[0].{path}') AS {name}" for name, path in {
+            "type": "type", "path": "path", "name": "properties.name", "price": "properties.offers.properties.price",
+            "inner_type": "properties.offers.type", "url": "properties.url", "sku": "properties.sku", "first_message": "findings[0].message"}.items()],
+        "CAST(get_json_object(json, '$.entities[0].warnings') AS INT) AS warnings", "CAST(json_array_length(get_json_object(json, '$.parseErrors')) AS BIGINT) AS failed"))
+
+
 # --- tables ---------------------------------------------------------------------------------------
 
 _R = "(p_size % 4 + 1)"
@@ -619,6 +641,12 @@ _LEAVES_SQL = f"""SELECT event_id AS "index", l.path, l.value FROM events, LATER
   (CASE WHEN event_id % 2 = 0 AND event_id % 10 <> 0 THEN 'tags' END, '[]'), (CASE WHEN event_id % 2 = 1 THEN '0' END, 'event'),
   (CASE WHEN event_id % 2 = 1 THEN '1' END, event_type), (CASE WHEN event_id % 2 = 1 THEN '2.k' END, {_K})) l(path, value) WHERE l.path IS NOT NULL"""
 query("event_leaves", _LEAVES_SQL)(lambda s, d: EV.flatten_json(S.event_entries(s, d), "raw", ["index"]).drop("ord"))
+query("deep_leaves", f"""SELECT s_suppkey AS page_id, repeat('part.', i) || CASE WHEN i = {S.DEEP} - n THEN 'name' ELSE '@type' END AS path,
+  CASE WHEN i < {S.DEEP - 1} THEN 'Part' WHEN n = 0 THEN 'Leaf' ELSE s_name END AS value FROM supplier, (SELECT unnest(range(0, {S.DEEP})) AS i, 0 AS n
+  UNION ALL SELECT {S.DEEP - 1}, 1) l""")(
+    lambda s, d: EV.flatten_json(S.deep_entries(s, d), "raw", ["page_id"]).drop("ord"))
+query("deep_search", "SELECT s_suppkey AS page_id FROM supplier WHERE contains(s_name, '7')")(
+    lambda s, d: EV.filter_entries(EV.annotate_entries(S.deep_entries(s, d)), "Part.Name").filter("contains(raw, '7')").select("page_id"))
 query("event_search", f"""SELECT user_id AS page_id, event_id AS "index" FROM events WHERE event_id % 10 <> 0 AND event_type = 'click' AND
   event_id IN (SELECT "index" FROM ({_LEAVES_SQL}) WHERE contains(lower(path), '42') OR contains(lower(value), '42'))""")(
     lambda s, d: EV.filter_entries(_entries(s, d), "42", "click").select("page_id", "index"))

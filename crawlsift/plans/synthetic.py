@@ -57,6 +57,37 @@ def microdata_pages(spark: SparkSession, directory: str) -> DataFrame:
     return _pages(_read(spark, directory, "part"), "p_partkey", "'https://shop.example.com/item/', p_partkey", [], body)
 
 
+def review_pages(spark: SparkSession, directory: str) -> DataFrame:
+    """One page per supplier: an item whose reviews repeat and hold items in items, s_suppkey % 30 + 1 deep, beside an empty and an untyped one."""
+    k, deep = "s_suppkey", "(s_suppkey % 30 + 1)"
+    body = [
+        "'<div itemscope itemtype=\"https://schema.org/OnlineBusiness\" itemid=\"urn:', s_suppkey, '\"><h1 itemprop=name>', s_name, '</h1>'",
+        f"'<p itemprop=review>good</p><p itemprop=review>', {k}, '</p>'",
+        f"array_join(transform(sequence(1, {deep}), i -> concat('<div itemprop=about itemscope itemtype=Thing><b itemprop=level>', i, '</b>')), '')",
+        f"repeat('</div>', {deep}), '</div><div itemscope itemtype=Empty></div><div itemscope><i itemprop=lost>x</i></div>'"]
+    return _pages(_read(spark, directory, "supplier"), k, f"'https://books.example.com/', {k}", [], body)
+
+
+#: Levels of the texts of `deep_entries` and the blocks of `deep_pages`.
+DEEP = 40
+
+
+def _deep(name: str) -> str:
+    return f"concat(repeat('{{\"@type\":\"Part\",\"part\":', {DEEP - 1}), '{{\"@type\":\"Leaf\",\"name\":\"', {name}, '\"}}', repeat('}}', {DEEP - 1}))"
+
+
+def deep_pages(spark: SparkSession, directory: str) -> DataFrame:
+    """One page per supplier with a JSON-LD object in an object in an object, DEEP levels in all."""
+    head = [f"'<script type=\"application/ld+json\">', {_deep('s_name')}, '</script>'"]
+    return _pages(_read(spark, directory, "supplier"), "s_suppkey", "'https://deep.example.com/', s_suppkey", head, [])
+
+
+def deep_entries(spark: SparkSession, directory: str) -> DataFrame:
+    """layer_entries of the same depth, one per supplier."""
+    return _read(spark, directory, "supplier").selectExpr(
+        "CAST(s_suppkey AS BIGINT) AS page_id", "'dataLayer' AS layer", "0 AS index", f"{_deep('s_name')} AS raw").selectExpr("*", "try_parse_json(raw) AS value")
+
+
 def table_pages(spark: SparkSession, directory: str) -> DataFrame:
     """One page per part: a table of p_size % 4 + 1 body rows, the first column spanning them all, and one blank row."""
     body = [

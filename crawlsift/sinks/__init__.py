@@ -132,6 +132,16 @@ def schema_json(entities: DataFrame, findings: DataFrame, blocks: DataFrame, sum
                    "coalesce(parseErrors, array()) AS parseErrors, coalesce(entities, array()) AS entities)) AS json")
 
 
+def schema_documents(structured: DataFrame, tool: str = TOOL, inspected_at: str = "current_timestamp()") -> DataFrame:
+    """(page_id, json): the same document from `structured_pages(..., raw=True)`, in the page's row. A Microdata item's properties are an
+    object: repeated names are arrays, nested items objects of type, id and properties."""
+    entities = ("transform(entities, e -> named_struct('type', e.type, 'source', e.source, 'path', e.path, 'errors', e.errors, 'warnings', e.warnings, "
+                "'findings', e.findings, 'properties', try_parse_json(e.properties)))")
+    return structured.selectExpr(
+        "page_id", f"to_json(struct({lit(tool)} AS tool, 1 AS version, url, {inspected_at} AS inspectedAt, summary, failed AS parseErrors, "
+                   f"{entities} AS entities)) AS json")
+
+
 def layers_json(entries: DataFrame, pages: DataFrame, tool: str = TOOL, containers: DataFrame | None = None,
                 captured_at: str = "current_timestamp()") -> DataFrame:
     """(page_id, json): every layer with its entries, in queue order.
