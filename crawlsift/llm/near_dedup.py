@@ -78,20 +78,17 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 @arrow_udf(ArrayType(ArrayType(LongType())))
 def _prefix_keys(sigs: pa.Array) -> pa.Array:
     """For each tree, a key of each of its prefixes."""
-    out = []
-    for i in range(0, len(sigs), 512):
-        part = sigs.slice(i, 512).to_pylist()
-        values = np.frombuffer(b"".join(part), "<u2").reshape(len(part), HASHES).astype(np.uint64)
-        keys = np.empty((len(part), TREES, len(PREFIXES)), np.uint64)
-        for t in range(TREES):
-            h = np.full(len(part), t + 1, np.uint64)
-            for d in range(PREFIXES[-1]):
-                h = (h ^ values[:, ORDERS[t, d]]) * _MIX
-                h ^= h >> np.uint64(29)
-                if d + 1 in PREFIXES:
-                    keys[:, t, PREFIXES.index(d + 1)] = h
-        out += keys.astype(np.int64).tolist()
-    return pa.array(out, pa.list_(pa.list_(pa.int64())))
+    values = np.frombuffer(b"".join(s.as_buffer() for s in sigs), "<u2").reshape(len(sigs), HASHES).astype(np.uint64)
+    keys = np.empty((len(sigs), TREES, len(PREFIXES)), np.uint64)
+    for t in range(TREES):
+        h = np.full(len(sigs), t + 1, np.uint64)
+        for d in range(PREFIXES[-1]):
+            h = (h ^ values[:, ORDERS[t, d]]) * _MIX
+            h ^= h >> np.uint64(29)
+            if d + 1 in PREFIXES:
+                keys[:, t, PREFIXES.index(d + 1)] = h
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(len(sigs) * TREES + 1, dtype=np.int32) * len(PREFIXES)), pa.array(keys.astype(np.int64).ravel()))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * TREES), inner)
 
 
 def _shared(rows: DataFrame, level: int) -> DataFrame:

@@ -4,22 +4,26 @@ The format is word-aligned (Simple-8b): the top four bits of a 64-bit word selec
 more than fifteen bits stand as an escape mark in their lane and in full in a side list. A file row holds the ids of some whole
 documents in blocks of BLOCK ids; for each block it has the first word and the first escape, so that a block decodes alone.
 
-Cases: a null text has only the end id; repeated document ids follow each other; null ids come first; an empty table gives no rows.
+Cases: a null text has only the end id; repeated document ids follow each other; null ids come first; an empty table gives no rows; other
+columns are not read; a very long text is cut into words some MB at a time, but its ids are one document of one file row.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches, utf8, written
+from .shared import cuts, small_batches, utf8, written
 
 # Fixed values of the format: ids in a word and bits of each, by selector.
 COUNTS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -28,8 +32,9 @@ ESCAPE = 0x7FFF
 BLOCK = 8192
 #: Ids after which a file row ends, with the document that reaches them.
 ROW_IDS = 16384
-#: Distinct words whose ids a worker keeps; beyond it, it starts anew.
-MEMO = 900_000
+#: Bytes of text that are words in memory at a time.
+SLICE = 2 << 20
+_SPACE = re.compile(rb"[\t-\r ]")
 
 _SHIFTS = [np.arange(n, dtype=np.uint64) * np.uint64(w) for n, w in zip(COUNTS, WIDTHS)]
 
@@ -78,8 +83,40 @@ def unpack(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
     return out
 
 
+class WordCache:
+    """Ids of words by a 64-bit hash of the word. A slot keeps the last word met there, so the cache takes 2 ** bits slots of a few bytes
+    whatever the input; words of more than WIDTH ids are not kept. (Two words of one hash would meet once in some 10^9 distinct words.)"""
+
+    WIDTH = 6
+
+    def __init__(self, largest: int, bits: int = 21):
+        self.keys, self.counts = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint8)
+        self.ids = np.zeros((1 << bits, self.WIDTH), np.uint16 if largest < 1 << 16 else np.uint32)
+
+    def slots(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and slot of each word, and whether the slot holds it."""
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) | np.uint64(1 << 63)  # 0 is an empty slot
+        slot = (h & np.uint64(len(self.keys) - 1)).astype(np.int64)
+        return h, slot, self.keys[slot] == h
+
+    def keep(self, h: np.ndarray, slot: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        short = np.flatnonzero(counts <= self.WIDTH)
+        at = (np.cumsum(counts) - counts)[short]
+        lanes = np.arange(self.WIDTH)
+        filled = lanes < counts[short, None]
+        self.keys[slot[short]], self.counts[slot[short]] = h[short], counts[short]
+        self.ids[slot[short]] = np.where(filled, ids[np.where(filled, at[:, None] + lanes, 0)], 0) if len(ids) else 0
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of each run, one run behind the other."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(int(counts.sum()))
+
+
 class WordEncoder:
-    """Ids of whole texts through the tokenizer, which is asked once for each distinct word between white space.
+    """Ids of whole texts through the tokenizer, which is asked once for each distinct word between white space in some MB of text, and not
+    for those that the cache holds.
 
     That is exact for tokenizers that drop white space and never join across it. Words of Latin letters are encoded many at a time
     where each word's last piece is marked as such in the vocabulary.
@@ -95,13 +132,15 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         if suffix:
             self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
-        self.memo: dict[bytes, bytes] = {}
+        self.cache = WordCache(len(self.ends))
 
-    def _slowly(self, words: list[bytes]) -> None:
+    def _slowly(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
         for word, got in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
-            self.memo[word] = np.array(got.ids, dtype="<u4").tobytes()
+            into[word] = np.array(got.ids, dtype="<u4").tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words as little-endian unsigned 32-bit integers."""
+        found: dict[bytes, bytes] = {}
         plain, other = [], []
         for word in words:
             core = word.rstrip(b".,;:!?*$%&#|")
@@ -109,37 +148,77 @@ class WordEncoder:
                 plain.append((word, core, word[len(core):]))
             else:
                 other.append(word)
-        self._slowly(other)
-        if tails := {tail for _, _, tail in plain if tail and tail not in self.memo}:
-            self._slowly(list(tails))
-        cores = list({core for _, core, _ in plain if core not in self.memo})
+        self._slowly(other, found)
+        if tails := {tail for _, _, tail in plain if tail and tail not in found}:
+            self._slowly(list(tails), found)
+        cores = list({core for _, core, _ in plain if core not in found})
         lists = [cores[i : i + 500] for i in range(0, len(cores), 500)]
         for some, got in zip(lists, self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in lists], add_special_tokens=False)):
             ids = np.array(got.ids, dtype="<u4")
             cut = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(cut) == len(some) and cut[-1] == 4 * len(ids):
                 data = ids.tobytes()
-                self.memo.update(zip(some, [data[a:b] for a, b in zip([0, *cut], cut)]))
+                found.update(zip(some, [data[a:b] for a, b in zip([0, *cut], cut)]))
             else:
-                self._slowly(some)
-        for word, core, tail in plain:
-            if tail:
-                self.memo[word] = self.memo[core] + self.memo[tail]
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+                self._slowly(some, found)
+        return [found[core] + found[tail] if tail else found[core] for core, tail in self._parts(words, plain)]
+
+    @staticmethod
+    def _parts(words: list[bytes], plain: list[tuple[bytes, bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+        cut = {word: (core, tail) for word, core, tail in plain}
+        return [cut.get(word, (word, b"")) for word in words]
+
+    def coded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in order, and how many each has."""
+        encoded = words.dictionary_encode()
+        distinct = encoded.dictionary.cast(pa.binary()).to_pylist()
+        at = encoded.indices.to_numpy(zero_copy_only=False)
+        h, slot, known = self.cache.slots(distinct)
+        missing = np.flatnonzero(~known)
+        learned = self.learn([distinct[i] for i in missing.tolist()])
+        new = np.frombuffer(b"".join(learned), "<u4")
+        counts = self.cache.counts[slot].astype(np.int64)
+        counts[missing] = np.fromiter(map(len, learned), np.int64, len(learned)) // 4
+        starts = np.cumsum(counts) - counts
+        flat = np.empty(int(counts.sum()), "<u4")
+        flat[_spread(starts[missing], counts[missing])] = new
+        held = np.flatnonzero(known)
+        flat[_spread(starts[held], counts[held])] = self.cache.ids[slot[held]][np.arange(WordCache.WIDTH) < counts[held, None]]
+        self.cache.keep(h[missing], slot[missing], counts[missing], new)
+        lengths = counts[at]
+        return flat[_spread(starts[at], lengths)], lengths
+
+    def encode(self, texts: pa.Array | list[bytes]) -> Iterator[bytes]:
+        """The ids of each text (as binary) as little-endian unsigned 32-bit integers, some MB of text at a time."""
+        texts = pa.array(texts, pa.binary()) if isinstance(texts, list) else texts
+        sizes, start = pc.binary_length(texts).to_numpy(zero_copy_only=False), 0
+        while start < len(texts):
+            if sizes[start] > SLICE:
+                body = texts[start].as_py()
+                yield b"".join(ids for a, b in cuts(body, SLICE, _SPACE) for ids in self._slice(pa.array([body[a:b]], pa.binary())))
+                start += 1
+                continue
+            stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), SLICE, "right")))
+            yield from self._slice(texts.slice(start, stop - start))
+            start = stop
+
+    def _slice(self, texts: pa.Array) -> Iterator[bytes]:
         # ASCII letters and white space only: the tokenizer would do both, but for its special strings, which it matches before
-        split = [[w if b"<|" in w else w.lower() for w in text.split()] if b"<|" in text else text.lower().split() for text in texts]
-        found = [list(map(self.memo.get, words)) for words in split]
-        gaps = [[i for i, ids in enumerate(got) if ids is None] if None in got else [] for got in found]
-        unknown = {words[i] for words, gap in zip(split, gaps) for i in gap}
-        if len(self.memo) + len(unknown) > MEMO:
-            self.memo.clear()
-        self.learn(unknown)
-        for words, got, gap in zip(split, found, gaps):
-            for i in gap:
-                got[i] = self.memo[words[i]]
-            yield b"".join(got)
+        special = pc.match_substring(texts, b"<|").to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(special), pa.scalar(b"", pa.binary()), texts).cast(pa.string()) if special.any() else texts.cast(pa.string())
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        words, text_of = pc.list_flatten(lists), pc.list_parent_indices(lists)
+        real = pc.greater(pc.binary_length(words), 0)
+        ids, lengths = self.coded(words.filter(real))
+        sums = np.bincount(text_of.filter(real).to_numpy(zero_copy_only=False), lengths, len(texts)).astype(np.int64)
+        data, at = ids.tobytes(), 0
+        for i, n in enumerate(sums.tolist()):
+            if special[i]:
+                kept = [w if b"<|" in w else w.lower() for w in texts[i].as_py().split()]
+                yield self.coded(pa.array(kept, pa.binary()))[0].tobytes()
+            else:
+                yield data[4 * at : 4 * (at + n)]
+                at += n
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -178,8 +257,8 @@ def write_token_files(docs: DataFrame, tokenizer: Callable[[], str] | str, end_i
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, types)], names=[c.split()[0] for c in FILE_SCHEMA.split(", ")])
 
         size = 0
-        for batch in small_batches(batches, 128):
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"].to_pylist())):
+        for batch in batches:
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"])):
                 doc_ids.append(doc_id)
                 data.append(ids + end)
                 size += len(ids) // 4 + 1

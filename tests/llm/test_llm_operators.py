@@ -331,3 +331,16 @@ def test_long_texts_are_counted_in_parts(odd_docs, monkeypatch):
     whole = own.terms(own.counted(text.encode()))
     monkeypatch.setattr(token_counts, "PART", 50)
     assert own.terms(own.counted(text.encode())) == whole and sum(n * own.count(t.decode()) for t, n in whole.items()) == len(own.tokenizer.encode(text).ids)
+
+
+def test_words_meet_the_cache_and_the_slices(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng, tokenizer = random.Random(9), Tokenizer.from_file(path)
+    texts = [prose(rng, n) for n in (0, 1, 50, 400)] + ["x" * 90 + " " + prose(rng, 30), "A <|EndOfText|> b<|endoftext|> C", "\t", "ß Ünï \n cödé"] + [t or "" for t in ODD]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    encoder = token_ids.WordEncoder(path)
+    encoder.cache = token_ids.WordCache(len(encoder.ends), bits=4)  # slots are taken from each other all the time
+    for size in (1 << 20, 64):
+        monkeypatch.setattr(token_ids, "SLICE", size)
+        assert list(encoder.encode([t.encode() for t in texts])) == want
+    assert (encoder.cache.keys > 0).any() and len(encoder.cache.keys) == 16
