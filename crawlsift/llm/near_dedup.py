@@ -11,7 +11,7 @@ Documents with equal sets are one class from the start, so copies are never expa
 passing the smallest id along links and shortcuts.
 
 Cases: null, empty and white-space texts have no shingles and link with nothing; a text of fewer words than a shingle is one shingle;
-rows that repeat an id are one document; null ids take part in nothing, form no component and are kept; an empty table gives no rows.
+rows that repeat an id are one document, linked with what links with any of its texts; null ids take part in nothing, form no component and are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from .shared import small_batches, utf8, written
 
@@ -59,6 +59,16 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return ((low * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype("<u2")
 
 
+SHAPE = ["n_shingles", "f1", "f2"]
+_SET = StructType([*(StructField(name, LongType()) for name in SHAPE), StructField("set", BinaryType())])
+
+
+def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums over a set."""
+    mixed = (shingles ^ (shingles >> np.uint64(31))) * _MIX
+    return int(shingles.sum(dtype=np.uint64).astype(np.int64)), int(mixed.sum(dtype=np.uint64).astype(np.int64))
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, a fingerprint of the set in two longs, and the signature (null for empty sets)."""
 
@@ -67,8 +77,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             out: list[list] = [[], [], [], []]
             for text in batch["text"].to_pylist():
                 s = shingle_set(text, words)
-                mixed = (s ^ (s >> np.uint64(31))) * _MIX
-                for column, value in zip(out, (len(s), int(s.sum(dtype=np.uint64).astype(np.int64)), int(mixed.sum(dtype=np.uint64).astype(np.int64)), signature(s).tobytes() if len(s) else None)):
+                for column, value in zip(out, (len(s), *fingerprint(s), signature(s).tobytes() if len(s) else None)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], names=["doc_id", "n_shingles", "f1", "f2", "sig"])
 
@@ -259,13 +268,18 @@ def likely_members(ids: DataFrame):
     return lambda c: maybe(F.pmod(F.xxhash64(c), F.lit(1 << 24)))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets agree: 100 * intersection >= percent * union."""
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs whose full sets agree: 100 * intersection >= percent * union. A class's set is that of a text with its own fingerprint,
+    also where rows repeat the id that stands for the class. Sets are compared by 48 bits of each shingle's hash."""
 
-    @arrow_udf("binary")
+    @arrow_udf(_SET)
     def sets(texts: pa.Array) -> pa.Array:
-        # six bytes of each hash: the sets are the largest thing that is shuffled
-        return pa.array([np.ascontiguousarray(np.sort(shingle_set(t, words) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for t in texts.to_pylist()], pa.binary())
+        out = []
+        for text in texts.to_pylist():
+            s = shingle_set(text, words)
+            # six bytes of each hash: the sets are the largest thing that is shuffled
+            out.append((len(s), *fingerprint(s), np.ascontiguousarray(np.sort(s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()))
+        return pa.array(out, pa.struct([(f.name, pa.binary() if f.name == "set" else pa.int64()) for f in _SET]))
 
     def unpacked(value: pa.Scalar) -> np.ndarray:
         out = np.zeros((len(value.as_buffer()) // 6, 8), np.uint8)
@@ -286,9 +300,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
             out.append(100 * same >= percent * (len(both) - same))
         return pa.array(out, pa.bool_())
 
-    members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    kept = docs.where(likely_members(members)(F.col("doc_id"))).join(members, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-    kept = written(kept.select("doc_id", sets("text").alias("set")))
+    members = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes.select("rep", "doc", *SHAPE), "rep"))
+    ids = members.select(F.col("doc").alias("doc_id")).distinct()
+    found = docs.where(likely_members(ids)(F.col("doc_id"))).join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), sets("text").alias("s")).select("doc", "s.*")
+    kept = written(found.join(members, ["doc", *SHAPE]).select(F.col("rep").alias("doc_id"), "set").dropDuplicates(["doc_id"]))
     with_a = pairs.join(kept.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
     return with_a.join(kept.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b").where(agree("sa", "sb")).select("a", "b")
 
@@ -320,27 +335,51 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return written(known.union(single))
 
 
+def _small(rows: DataFrame, limit: int = 100_000) -> DataFrame:
+    """The written table, with a hint to broadcast where it is small: repeated ids and their like are few or none."""
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+
+
+def classes_of(real: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes of equal sets (rep, doc, n_shingles, f1, f2), and links between those that a repeated id brings together.
+
+    rep is the smallest id of a class; where that stands for several classes, the others have a number above all ids.
+    """
+    firsts = written(real.groupBy(*SHAPE).agg(F.min("doc_id").alias("doc")))
+    several = written(firsts.groupBy("doc").agg(F.min(F.struct(*SHAPE)).alias("first"), F.max(F.struct(*SHAPE)).alias("last")).where("first <> last").select("doc", "first"))
+    other = F.lit(1 << 62) + F.pmod(F.xxhash64(*SHAPE), F.lit(1 << 61))
+    rep = F.when(F.col("first").isNull() | (F.col("first") == F.struct(*SHAPE)), F.col("doc")).otherwise(other)
+    classes = written(firsts.join(_small(several), "doc", "left").select(rep.alias("rep"), "doc", *SHAPE))
+    links = classes.where("rep <> doc").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    repeated = written(real.groupBy("doc_id").agg(F.min(F.struct(*SHAPE)).alias("first"), F.max(F.struct(*SHAPE)).alias("last")).where("first <> last").select("doc_id"))
+    if repeated.isEmpty():
+        return classes, links
+    held = written(real.join(_small(repeated), "doc_id", "left_semi").select("doc_id", *SHAPE).distinct().join(classes, SHAPE).select("doc_id", "rep"))
+    least = written(held.groupBy("doc_id").agg(F.min("rep").alias("a")))
+    return classes, links.union(held.join(_small(least), "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, region: int = 1000, slack: float = 0.16) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs. `slack`: how far a signature may understate a similarity."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
     signed = written(signatures(rows, words))
-    shape = ["n_shingles", "f1", "f2"]
     real = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    reps = written(real.groupBy(*shape).agg(F.min("doc_id").alias("rep")))
-    classes = written(real.join(reps, (real.doc_id == reps.rep) & (real.f1 == reps.f1) & (real.f2 == reps.f2) & (real.n_shingles == reps.n_shingles), "left_semi").select(F.col("doc_id").alias("rep"), "sig", "n_shingles").distinct())
+    reps, same_id = classes_of(real)
+    firsts = real.withColumnRenamed("doc_id", "doc").join(reps.select("rep", "doc", *SHAPE), ["doc", *SHAPE])
+    classes = written(firsts.select("rep", "sig", "n_shingles").dropDuplicates(["rep"]))
     least, known = percent / 100 - slack, rows.where("doc_id IS NOT NULL")
     widest = widest_regions(classes)
     pairs = written(candidates(classes, widest, region, least))
-    roots = components(confirmed(pairs, known, words, percent))
+    roots = components(confirmed(pairs, known, reps, words, percent).union(same_id))
     # What is not in one component yet: the most alike of two components first, then all that is still apart.
     rest = written(apart(classes, widest, roots, region, least, percent).join(pairs, ["a", "b"], "left_anti"))
     for some in (F.col("best"), ~F.col("best")):
         ends = rest.where(some).join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
         open_pairs = written(ends.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
         if not open_pairs.isEmpty():
-            roots = joined(roots, confirmed(open_pairs, known, words, percent))
-    named = written(reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*shape, F.coalesce("root", "rep").alias("root")))
-    found = signed.select("doc_id", *shape).join(named, shape, "left")
+            roots = joined(roots, confirmed(open_pairs, known, reps, words, percent))
+    named = written(reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*SHAPE, F.coalesce("root", "rep").alias("root")))
+    found = signed.select("doc_id", *SHAPE).join(named, SHAPE, "left")
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return found.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
 

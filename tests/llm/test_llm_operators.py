@@ -344,3 +344,13 @@ def test_words_meet_the_cache_and_the_slices(monkeypatch):
         monkeypatch.setattr(token_ids, "SLICE", size)
         assert list(encoder.encode([t.encode() for t in texts])) == want
     assert (encoder.cache.keys > 0).any() and len(encoder.cache.keys) == 16
+
+
+def test_links_of_repeated_ids_with_different_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, a2, b = " ".join(words), " ".join([*words[:-3], "x", "y", "z"]), " ".join(f"other{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, a2), (3, b), (4, a), (5, "alone in this table of texts"), (6, "alone in this table of texts"), (6, "one more text by itself"), (7, "one more text by itself")]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: c for (i, _), c in got.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 5} and len(got) == 9
+    hot = spark.createDataFrame([(8, f"text {i} with nothing in common {i}{i}") for i in range(50)] + [(9, "text 7 with nothing in common 77")], "doc_id long, text string")
+    assert {r["component_id"] for r in near_dedup.near_duplicates(hot).collect()} == {8}
