@@ -1,7 +1,7 @@
 """The pipeline: documents through five operators of crawlsift.llm, each stage written as Parquet and read again as the next one's input.
 
 Stages keep whole texts and, but for the last, the columns of documents. ORACLE_SQL is None, as SQL expresses neither the classifier nor
-the forest; tests compare stages with brute force.
+the forest; tests/llm/test_pipeline.py compares every stage with brute force.
 """
 
 from __future__ import annotations
@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlsift.llm import decontamination, mixing, near_dedup, quality, token_ids
-from crawlsift.llm.shared import remainder_is, table, tokenizer_path, written
+from crawlsift.llm.shared import remainder_is, table, text_batches, tokenizer_path, written
 
 ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier takes for good (score 0.7 or more, as op1 predicts)."""
+    text_batches(spark)
     labels = table(spark, sf_dir, "labels").where(~remainder_is(F.col("doc_id"), 4, 2))
     model = quality.train_quality(docs, labels)
     return docs.where(quality.quality_score(model, F.col("text")) >= 0.7)

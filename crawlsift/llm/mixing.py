@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-#: Documents of a source that a range holds about; ranges of a source at most.
-RANGE_ROWS, RANGES = 2000, 65536
+#: Documents of a source that a range holds about.
+RANGE_ROWS = 2000
 
 
 def words_in(text: Column) -> Column:
@@ -44,9 +44,19 @@ def source_targets(sizes: DataFrame, times: int = 3) -> DataFrame:
     return rows.select("source", "source_size", F.least(limit.cast("double"), F.coalesce(F.col("level") * F.col("w"), limit.cast("double"))).alias("target"))
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    """Rows of docs as the mix sees them: doc_id, source, size, a tie-breaker of rows that repeat an id, and the whole row."""
+    own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size")]
+    return docs.select(*own, F.xxhash64("text").alias("tie"), F.struct(*docs.columns).alias("row"))
+
+
 def mix(docs: DataFrame, times: int = 3) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"))
+    return _taken(_sized(docs).drop("row"), times).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _taken(rows: DataFrame, times: int) -> DataFrame:
+    """Sized rows with source_size, target and taken."""
     rows = written(rows.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))))
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     bits = F.least(F.lit(16), F.greatest(F.lit(0), F.ceil(F.log2(F.col("docs") / RANGE_ROWS))))
@@ -57,24 +67,25 @@ def mix(docs: DataFrame, times: int = 3) -> DataFrame:
     sums = dealt.groupBy("source", "range").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("range_start"))
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(sums, F.expr("source <=> s AND range = r")).withColumn("start", F.col("range_start") + F.col("inside"))
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
-    return placed.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return placed.withColumn("taken", (epochs * F.col("size") + part).cast("long"))
 
 
 def mixed_documents(docs: DataFrame, times: int = 3) -> DataFrame:
-    """docs as the mix takes them: a row for each whole repetition, and one with the first words of a document that the cut divides."""
-    counts = mix(docs, times).groupBy("doc_id").agg(F.max("size").alias("mix_size"), F.max("taken").alias("mix_taken")).where("mix_taken > 0").withColumnRenamed("doc_id", "mix_id")
-    rows = docs.join(counts, F.expr("doc_id <=> mix_id"))
-    copies = F.sequence(F.lit(1), F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int"))
-    rows = rows.withColumn("mix_copy", F.explode(copies))
-    words = F.least(F.col("mix_size"), F.col("mix_taken") - (F.col("mix_copy") - 1) * F.col("mix_size"))
-    ends = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
-    text = F.when(words < F.col("mix_size"), F.array_join(F.slice(ends, F.lit(1), words.cast("int")), "")).otherwise(F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.when(words < F.col("mix_size"), F.length(text)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return rows.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    """docs as the mix takes them: a row for each whole repetition, and one with the first words of a document that the cut divides.
+
+    Every row is taken for itself, also where rows repeat an id; the columns of docs travel as one, whatever their names.
+    """
+    rows = _taken(_sized(docs), times).where("taken > 0").select("row", "size", "taken")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))
+    ends = F.regexp_extract_all("row.text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
+    text = F.when(words < F.col("size"), F.array_join(F.slice(ends, F.lit(1), words.cast("int")), "")).otherwise(F.col("row.text"))
+    changed = {"text": text} | ({"n_chars": F.when(words < F.col("size"), F.length(text)).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {})
+    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

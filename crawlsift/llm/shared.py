@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -10,19 +12,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a task turns into Python objects at a time.
-ROWS = 256
+#: Rows that a task turns into Python objects at a time, and that travel to Python together.
+ROWS, BATCH_ROWS = 256, 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; under a temporary one only where that is unset, as in tests."""
+    """A new folder under spark.checkpoint.dir. Where that is unset, one of this machine, which serves local sessions only, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
     return f"{base.rstrip('/') if base else tempfile.mkdtemp(prefix='llm-')}/{uuid.uuid4().hex}"
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows where they are larger: rows hold whole texts, and an executor's buffers outside
+    its heap grow with the batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def written(df: DataFrame) -> DataFrame:
     """The table as Parquet in the shared folder, read again: cuts the lineage and survives lost executors."""
     folder = shared_folder(df.sparkSession)
+    text_batches(df.sparkSession)
     df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
@@ -42,6 +55,14 @@ def small_batches(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterat
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    released()
+
+
+def released() -> None:
+    """Gives memory that a task no longer uses back: workers are kept for later tasks, also of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library is another one
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def cuts(body, size: int, between) -> Iterator[tuple[int, int]]:
