@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from crawlsift.functions.sql import substitute
 from crawlsift.functions.urls import host_of, normalise_url
+from crawlsift.shared import written
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -34,8 +35,10 @@ def _by_group(rows: DataFrame, keys: list[str], weight: str, spread: str, share:
     """Rows with what is known of their group: `groups` (its number of rows) and the columns of `attach`, a row per key or none.
 
     A group of more than one in `share` of all weight is dealt to `parts` parts by a hash of `spread`. There are at most `share` such
-    groups, so their keys are broadcast; every other group is smaller than a task's fair part.
+    groups, so their keys are broadcast; every other group is smaller than a task's fair part. The rows are written first: counting and
+    dealing read them, not the pages they come from.
     """
+    rows = written(rows)
     groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("groups"), F.sum(weight).alias("_weight"))
     total = groups.agg(F.sum("_weight").alias("_total"))  # one row
     sized = groups.join(F.broadcast(total)).withColumn("_hot", F.expr(f"_weight * {share} > _total")).drop("_weight", "_total")
