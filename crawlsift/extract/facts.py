@@ -13,7 +13,7 @@ from crawlsift.extract.markup import (
 )
 from crawlsift.functions.json import whole_json
 from crawlsift.functions.sql import any_of, case, each, extract, extract_all, keep, let, lit, matches, struct, substitute
-from crawlsift.functions.text import clip, count_words, decode_entities, first_n, js_trim, nonblank
+from crawlsift.functions.text import clip, count_words, decode_entities, first_n, js_trim, nonblank, squish
 from crawlsift.functions.urls import absolute_or, resolve_url
 
 #: Texts stay whole; a report may clip its own columns.
@@ -141,14 +141,23 @@ def image_array(markup: str, base: str) -> str:
     return each(let(f"flatten({each(parts, in_part)})", ordered), record)
 
 
-def visible_text(markup: str) -> str:
-    """Body text as read: hidden elements dropped, block boundaries as spaces."""
+def _shown(markup: str) -> str:
+    """The body without hidden elements and inline tags."""
     hidden = (r"""(?is)<([a-z][a-z0-9]*)(?:\s[^>]*)?\s(?:hidden(?=[\s=>])|style\s*=\s*["'][^"'>]*"""
               r"""(?:display\s*:\s*none|visibility\s*:\s*hidden))[^>]*>(?:[^<]++|<(?!/\1[\s>])[^>]*+>)*+</\1\s*>""")
     hints = r"(?i)\shidden[\s=>]|display\s*:\s*none|visibility\s*:\s*hidden"
     shown = let(body_of(markup), lambda b: case((matches(b, hints), substitute(b, hidden, " ")), otherwise=b))
-    joined = substitute(shown, rf"(?i)</?(?:{_INLINE})(?:[\s/][^>]*)?>")
-    return decode_entities(substitute(joined, "<[^>]*>", " "))
+    return substitute(shown, rf"(?i)</?(?:{_INLINE})(?:[\s/][^>]*)?>")
+
+
+def visible_text(markup: str) -> str:
+    """Body text as read: hidden elements dropped, block boundaries as spaces."""
+    return decode_entities(substitute(_shown(markup), "<[^>]*>", " "))
+
+
+def text_runs(markup: str) -> str:
+    """The same text as ARRAY<STRING>, one entry between any two block boundaries, without blank ones."""
+    return keep(each(f"split({_shown(markup)}, '<[^>]*>')", lambda t: squish(decode_entities(t))), lambda t: f"{t} <> ''")
 
 
 def is_jsonld(script: str) -> str:

@@ -21,6 +21,7 @@ from crawlsift.functions.markdown import inline_code, link_target, markdown_esca
 from crawlsift.functions.money import discount_percent, offer_available, offer_price_cents
 from crawlsift.functions.text import clip, count_words, js_length, normalise_alnum
 from crawlsift.functions.urls import file_name_of, host_of
+from crawlsift.operators import captures as CP
 from crawlsift.operators import corpus as C
 from crawlsift.operators import detect as D
 from crawlsift.operators import events as EV
@@ -157,6 +158,16 @@ def _capture_changes(spark, d) -> DataFrame:
     return C.diff_captures(old, new, ["size"]).selectExpr("url", "change", "array_join(changed, ',') AS changed")
 
 
+query("page_changes", """SELECT url || '?p=' || page_id AS url, 'changed' AS change, concat_ws(',', CASE WHEN page_id % 5 = 0 THEN 'title' END,
+  CASE WHEN page_id % 3 = 0 THEN 'headings' END, CASE WHEN page_id % 4 = 0 THEN 'links' END, CASE WHEN page_id % 3 = 0 OR page_id % 4 = 0 OR
+  page_id % 2 = 0 THEN 'text' END) AS changed, CASE WHEN page_id % 4 = 0 THEN 1 END AS new_links, CASE WHEN page_id % 3 = 0 OR page_id % 2 = 0 THEN
+  (CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END) + (CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END) + (CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END) END AS new_text,
+  CASE WHEN page_id % 3 = 0 THEN 1 END AS gone_headings FROM pages WHERE page_id % 5 = 0 OR page_id % 3 = 0 OR page_id % 2 = 0
+UNION ALL SELECT url || '?new=' || page_id, 'added', '', NULL, NULL, NULL FROM pages WHERE page_id % 7 = 0""")(
+    lambda s, d: CP.capture_diff(S.page_captures(s, d), "1", "2", parse_pages).selectExpr(
+        "url", "change", "array_join(changed, ',') AS changed", "added['links'] AS new_links", "added['text'] AS new_text", "removed['headings'] AS gone_headings"))
+
+
 # --- product pages: metadata, images, page audit, structured data ---------------------------------
 
 _SHOP = "'https://shop.example.com"

@@ -21,6 +21,21 @@ def _pages(rows: DataFrame, key: str, url: str, head: list[str], body: list[str]
     return rows.selectExpr(f"CAST({key} AS BIGINT) AS page_id", f"concat({url}) AS url", f"concat({html}) AS html")
 
 
+def page_captures(spark: SparkSession, directory: str) -> DataFrame:
+    """Three captures of every page: as it is, and two of a later, equal time, of which the one with the larger id is the newest. Remainders
+    of page_id say what it changes: title, first heading, a link at the end, a last paragraph. Every seventh page has a new neighbour."""
+    pages = _read(spark, directory, "pages").selectExpr("page_id", "concat(url, '?p=', page_id) AS url", "html", "url AS address")
+    title = "if(page_id % 5 = 0, regexp_replace(html, '<title>', '<title>New '), html)"
+    heading = f"if(page_id % 3 = 0, regexp_replace({title}, '<h1>', '<h1>New '), {title})"
+    tail = "concat(if(page_id % 4 = 0, '<p><a href=\"/new\">fresh</a></p>', ''), if(page_id % 2 = 0, '<p>tie</p>', ''))"
+    newest = f"if(contains(html, '</body>'), replace({heading}, '</body>', concat({tail}, '</body>')), concat({heading}, {tail}))"
+    return (
+        pages.selectExpr("page_id", "url", "html", "1 AS captured_at")
+        .unionByName(pages.selectExpr("page_id", "url", "'<p>never the newest</p>' AS html", "2 AS captured_at"))
+        .unionByName(pages.selectExpr("page_id + 1000000 AS page_id", "url", f"{newest} AS html", "2 AS captured_at"))
+        .unionByName(pages.filter("page_id % 7 = 0").selectExpr("page_id", "concat(address, '?new=', page_id) AS url", "html", "2 AS captured_at")))
+
+
 def product_pages(spark: SparkSession, directory: str) -> DataFrame:
     """One page per part: metadata, JSON-LD (every 11th broken), an image whose alt follows p_partkey % 3."""
     k = "p_partkey"
