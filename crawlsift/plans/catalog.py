@@ -35,7 +35,9 @@ from crawlsift.plans import site_audit
 from crawlsift.plans import synthetic as S
 from crawlsift.registry.technologies import STACK_CATEGORIES
 from crawlsift.registry.trackers import TRACKER_CATEGORIES
+from crawlsift.shared import shared_folder
 from crawlsift.sinks import audit_json, csv_documents, export_key, layers_json, schema_documents, stack_report, store_rows, tracker_report, tracker_rows
+from crawlsift.sinks import documents
 from crawlsift.sources import describe_blocked, load_pages
 from crawlsift.streaming import first_sightings, split_late
 
@@ -406,15 +408,26 @@ query("long_tables", """SELECT l_suppkey AS page_id, CAST(count(*) AS INTEGER) A
 
 # --- Markdown -------------------------------------------------------------------------------------
 
-query("page_markdown", """SELECT p_partkey AS page_id, '# ' || p_name || chr(10) || chr(10) || 'It is **' || p_type || '** and *' || p_size ||
+_MARKDOWN_SQL = """SELECT p_partkey AS page_id, '# ' || p_name || chr(10) || chr(10) || 'It is **' || p_type || '** and *' || p_size ||
   '* big; see [' || p_brand || '](https://shop.example.com/b/' || p_partkey || ').' || chr(10) || chr(10) || '- one' || chr(10) || '- two' ||
   chr(10) || '  ' || p_size || '. ' || p_partkey || chr(10) || '  ' || (p_size + 1) || '. x\\_y' || chr(10) || chr(10) || '> ' ||
   trim(repeat('lorem ipsum ', 20)) || chr(10) || chr(10) || '```sql' || chr(10) || 'select ' || p_partkey || chr(10) || '```' || chr(10) ||
   chr(10) || '---' || chr(10) || chr(10) || '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_partkey || ' | a\\|b |' ||
-  chr(10) AS markdown FROM part""")(
+  chr(10) AS markdown FROM part"""
+query("page_markdown", _MARKDOWN_SQL)(
     lambda s, d: MD.page_markdown(parse_pages(S.article_pages(s, d))).drop("url"))
 
 
+def _page_documents(s, d) -> DataFrame:
+    path = f"{shared_folder(s)}/documents"
+    documents.write_documents(documents.document_names(MD.page_markdown(parse_pages(S.article_pages(s, d))), "markdown", "md", "DATE'2024-01-02'"), path, "markdown")
+    return documents.read_documents(s, path)
+
+
+query("page_documents", f"""SELECT 'shop.example.com/markdown-shop-example-com-2024-01-02-' || page_id || '.md' AS name, markdown AS text
+FROM ({_MARKDOWN_SQL})""")(_page_documents)
+
+
 # --- storefronts ----------------------------------------------------------------------------------
 
 
