@@ -208,6 +208,33 @@ def _images(s, d) -> DataFrame:
 query("image_verdicts", _IMAGES_SQL)(lambda s, d: IM.image_rows(_images(s, d)))
 query("image_problems", f"SELECT * FROM ({_IMAGES_SQL}) WHERE status IN ('error', 'warning')")(
     lambda s, d: IM.image_rows(IM.filter_images(_images(s, d), "issues")))
+_GALLERY_SQL = """SELECT s_suppkey AS page_id, v.kind, v.alt, v.status, v.reason, v.in_link FROM supplier, LATERAL (
+  SELECT 'img' AS kind, s_name || ' at work' AS alt, 'ok' AS status, CAST(length(s_name) + 8 AS VARCHAR) || ' characters.' AS reason, 'no' AS in_link
+  UNION ALL SELECT * FROM (VALUES ('img', '(missing)', 'info', 'Hidden from assistive technology on purpose.', 'no'),
+  ('img', '(missing)', 'warning', 'No alt attribute, but aria-label is present.', 'no'),
+  ('img', '(missing)', 'error', 'No alt attribute. Screen readers will read the file name instead.', 'no'),
+  ('img', '', 'error', 'Empty alt inside a link, which leaves the link with no name.', 'yes'), ('img', '', 'info', 'Decorative (alt="").', 'no'),
+  ('img', repeat('w', 126), 'warning', '126 characters. Over 125 usually belongs in a caption.', 'no'),
+  ('img', 'Photo', 'warning', '"Photo" describes the medium, not the content.', 'no'),
+  ('img', 'An image of ' || s_suppkey, 'warning', 'Starts with a redundant prefix; screen readers already say "image".', 'no'),
+  ('img', 'Team photo ' || s_suppkey, 'warning', 'Alt text is just the file name.', 'no'),
+  ('input', 'Go ' || s_suppkey, 'ok', CAST(3 + length(CAST(s_suppkey AS VARCHAR)) AS VARCHAR) || ' characters.', 'no'),
+  ('area', 'North', 'ok', '5 characters.', 'no'),
+  ('svg', 'Chart ' || s_suppkey, 'ok', CAST(6 + length(CAST(s_suppkey AS VARCHAR)) AS VARCHAR) || ' characters.', 'no'),
+  ('img', '', 'info', 'Tracking pixel, correctly marked decorative.', 'no')) x WHERE s_suppkey % 5 <> 0) v"""
+
+
+def _gallery(s, d) -> DataFrame:
+    # sizes as a browser reports them; static html has none
+    found = X.extract_images(parse_pages(S.gallery_pages(s, d))).selectExpr(
+        "* EXCEPT (natural_width, natural_height)", "if(raw_src = '/p.gif', 1, 640) AS natural_width", "if(raw_src = '/p.gif', 1, 480) AS natural_height")
+    return IM.annotate_images(found)
+
+
+query("image_kinds", _GALLERY_SQL)(lambda s, d: IM.image_rows(_gallery(s, d)).selectExpr("page_id", "type AS kind", "alt", "status", "reason", "in_link"))
+query("image_defaults", f"""SELECT page_id, status, CAST(count(*) AS BIGINT) AS n FROM ({_GALLERY_SQL}) WHERE status IN ('error', 'warning') OR
+  page_id % 5 = 0 GROUP BY ALL""")(
+    lambda s, d: IM.default_filter(_gallery(s, d)).groupBy("page_id", "status").agg(F.count(F.lit(1)).alias("n")))
 query("image_summary", f"""SELECT page_id, CAST(count(*) FILTER (status = 'ok') AS BIGINT) AS ok,
   CAST(count(*) FILTER (status = 'warning') AS BIGINT) AS warning, CAST(count(*) FILTER (status = 'error') AS BIGINT) AS error,
   CAST(count(*) FILTER (status = 'info') AS BIGINT) AS info, CAST(count(*) AS BIGINT) AS total,
@@ -529,6 +556,13 @@ _IDS_SQL = """SELECT s_suppkey AS page_id, i.label, i.value FROM supplier, LATER
   ('GA4 measurement', CASE WHEN s_suppkey % 2 = 0 THEN 'G-ABCDEF' || (s_suppkey % 7) END),
   ('Meta Pixel', CASE WHEN s_suppkey % 3 = 0 THEN '10000' || (s_suppkey % 5) END)) i(label, value) WHERE i.value IS NOT NULL"""
 query("tag_ids", _IDS_SQL)(lambda s, d: D.extract_tag_ids(_tracking(s, d)).drop("pos"))
+query("tag_id_kinds", """SELECT s_suppkey AS page_id, i.label, i.value FROM supplier, LATERAL (VALUES ('GTM container', 'GTM-AB' || (1000 + s_suppkey)),
+  ('GA4 measurement', 'G-ABCD' || (1000 + s_suppkey)), ('Universal Analytics', 'UA-' || (10000 + s_suppkey) || '-1'),
+  ('Google Ads', 'AW-' || (1000000 + s_suppkey)), ('Floodlight', 'DC-' || (2000000 + s_suppkey)), ('Meta Pixel', CAST(3000000 + s_suppkey AS VARCHAR)),
+  ('Hotjar site', CAST(40000 + s_suppkey AS VARCHAR)), ('Clarity project', 'abc' || (1000 + s_suppkey))) i(label, value)""")(
+    lambda s, d: D.extract_tag_ids(G.tracking_signals(parse_pages(S.tag_id_pages(s, d)))).drop("pos"))
+query("jsonld_top_types", """SELECT s_suppkey AS page_id, t.pos, t.type FROM supplier, (VALUES (0, 'Product'), (1, 'Article, NewsArticle'), (2, 'Person')) t(pos, type)
+  WHERE t.pos < 2 OR s_suppkey % 2 = 0""")(lambda s, d: X.extract_jsonld_types(parse_pages(S.tag_id_pages(s, d))))
 query("shared_tag_ids", f"""WITH x AS (SELECT label, value, 'site' || (page_id % 9) || '.example.com' AS host, count(*) AS pages FROM ({_IDS_SQL})
   GROUP BY ALL) SELECT label, value, host, CAST(pages AS BIGINT) AS pages, CAST(count(*) OVER (PARTITION BY label, value) AS BIGINT) AS hosts
 FROM x QUALIFY count(*) OVER (PARTITION BY label, value) > 1""")(

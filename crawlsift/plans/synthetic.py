@@ -127,6 +127,31 @@ def article_pages(spark: SparkSession, directory: str) -> DataFrame:
                   ["'<title>', p_name, '</title>'"], body)
 
 
+def gallery_pages(spark: SparkSession, directory: str) -> DataFrame:
+    """One page per supplier with an image of every kind and one for every verdict; every fifth has a good image alone."""
+    k = "s_suppkey"
+    rest = [
+        "'<img src=/h.png aria-hidden=true><img src=/l.png aria-label=\"lab\"><img src=/m.png><a href=/x><img src=/e.png alt=\"\"></a><img src=/d.png alt=\"\">'",
+        f"'<img src=/w.png alt=\"', repeat('w', 126), '\"><img src=/f.png alt=\" Photo \"><img src=/r.png alt=\"An image of ', {k}, '\">'",
+        f"'<img src=\"/team-photo-', {k}, '.png\" alt=\"Team photo ', {k}, '\"><input type=image src=/go.png alt=\"Go ', {k}, '\"><input type=text alt=no>'",
+        f"'<map><area href=\"/area-', {k}, '\" alt=\"North\"></map><svg role=img aria-label=\"Chart ', {k}, '\"><title>t</title></svg><svg><title>no</title></svg>'",
+        "'<img src=/p.gif alt=\"\">'"]
+    body = [f"'<img src=\"/a-', {k}, '.png\" alt=\"', s_name, ' at work\">'", f"if({k} % 5 = 0, '', concat({', '.join(rest)}))"]
+    return _pages(_read(spark, directory, "supplier"), k, f"'https://pics.example.com/', {k}", [], body)
+
+
+def tag_id_pages(spark: SparkSession, directory: str) -> DataFrame:
+    """One page per supplier with an id of every kind that tags carry, and JSON-LD of several shapes at its top."""
+    k = "s_suppkey"
+    head = [
+        f"'<script src=\"https://www.googletagmanager.com/gtm.js?id=GTM-AB', 1000 + {k}, '\"></script><script src=\"https://www.clarity.ms/tag/abc', 1000 + {k}, '\"></script>'",
+        f"'<script>gtag(\"config\", \"G-ABCD', 1000 + {k}, '\"); ga(\"create\", \"UA-', 10000 + {k}, '-1\"); gtag(\"config\", \"AW-', 1000000 + {k}, '\");'",
+        f"'gtag(\"config\", \"DC-', 2000000 + {k}, '\"); fbq(\"init\", \"', 3000000 + {k}, '\"); h._hjSettings = {{hjid:', 40000 + {k}, '}};</script>'",
+        "'<script type=\"application/ld+json\">[{\"@type\":\"Product\"},{\"@type\":[\"Article\",\"NewsArticle\"]}]</script>'",
+        f"if({k} % 2 = 0, '<script type=\"application/ld+json\">{{\"@type\":\"Person\"}}</script>', '')"]
+    return _pages(_read(spark, directory, "supplier"), k, f"'https://ids.example.com/', {k}", head, [])
+
+
 def store_pages(spark: SparkSession, directory: str) -> DataFrame:
     """One product page per part: theme, analytics and a product JSON island with p_size % 3 + 1 variants."""
     k, cents = "p_partkey", "CAST(round(p_retailprice * 100) AS BIGINT)"
