@@ -36,7 +36,7 @@ from crawlsift.plans import synthetic as S
 from crawlsift.registry.technologies import STACK_CATEGORIES
 from crawlsift.registry.trackers import TRACKER_CATEGORIES
 from crawlsift.shared import shared_folder
-from crawlsift.sinks import audit_json, csv_documents, export_key, layers_json, schema_documents, stack_report, store_rows, tracker_report, tracker_rows
+from crawlsift.sinks import audit_json, csv_documents, export_key, layers_json, schema_documents, schema_report, stack_report, store_rows, tracker_report, tracker_rows
 from crawlsift.sinks import documents
 from crawlsift.sources import describe_blocked, load_pages
 from crawlsift.streaming import first_sightings, split_late
@@ -371,6 +371,12 @@ query("microdata_findings", """SELECT s_suppkey AS page_id, f.path, f.label, f.s
   ('item0', 'logo', 'warning'), ('item0', 'sameAs', 'warning'), ('item1', 'Empty', 'info')) f(path, label, status)""")(
     lambda s, d: SC.validate_entities(SC.flatten_entities(
         SD.extract_jsonld(parse_pages(S.review_pages(s, d))), SD.extract_microdata(parse_pages(S.review_pages(s, d))))).select("page_id", "path", "label", "status"))
+query("schema_reports", """SELECT s_suppkey AS page_id, '# Structured data' || chr(10) || chr(10) || 'URL: https://books.example.com/' || s_suppkey || chr(10) || chr(10) ||
+  '## OnlineBusiness (microdata)' || chr(10) || '- [OK] name - Present.' || chr(10) || '- [WARN] url - Recommended for Organization.' || chr(10) ||
+  '- [WARN] logo - Recommended for Organization.' || chr(10) || '- [WARN] sameAs - Recommended for Organization.' || chr(10) || chr(10) || '## Empty (microdata)' ||
+  chr(10) || '- [INFO] Empty - No rich-result requirements are checked for this type.' AS report FROM supplier""")(
+    lambda s, d: schema_report(SC.validate_entities(SC.flatten_entities(
+        SD.extract_jsonld(parse_pages(S.review_pages(s, d))), SD.extract_microdata(parse_pages(S.review_pages(s, d))))), S.review_pages(s, d)))
 query("deep_entities", f"""SELECT s_suppkey AS page_id, 'block0' || repeat('.part', i) AS path, CASE WHEN i = {S.DEEP - 1} THEN 'Leaf' ELSE 'Part' END AS type,
   CAST(i AS INTEGER) AS level FROM supplier, (SELECT unnest(range(0, {S.DEEP})) AS i)""")(
     lambda s, d: SD.flatten_jsonld(SD.extract_jsonld(parse_pages(S.deep_pages(s, d))), raw=False).select("page_id", "path", "type", "level"))
@@ -574,7 +580,10 @@ FROM (SELECT 'site' || (page_id % 9) || '.example.com' AS host, id FROM ({_TRACK
 query("tracker_cube", f"""SELECT category, host, CAST(count(*) AS BIGINT) AS n, CAST(grouping(category, host) AS BIGINT) AS level FROM (
   SELECT category, 'site' || (page_id % 9) || '.example.com' AS host FROM ({_TRACKERS_SQL})) GROUP BY CUBE (category, host)""")(
     lambda s, d: C.category_cube(D.detect_trackers(C.with_host(_tracking(s, d)), carry=["host"])))
-query("tracker_reports")(lambda s, d: tracker_report(
+query("tracker_reports", f"""SELECT page_id, 'Trackers on https://site' || (page_id % 9) || '.example.com/' || page_id || chr(10) || chr(10) ||
+  string_agg('## ' || c.label || chr(10) || '- ' || tracker || ' (' || evidence || ')', chr(10) || chr(10) ORDER BY c.o) AS report FROM ({_TRACKERS_SQL}) JOIN (VALUES
+  ('consent', 'Consent management', 0), ('tag-manager', 'Tag managers', 1), ('advertising', 'Advertising', 3), ('session', 'Session replay & heatmaps', 4)
+  ) c(category, label, o) USING (category) GROUP BY page_id""")(lambda s, d: tracker_report(
     D.group_by_category(D.detect_trackers(_tracking(s, d)), TRACKER_CATEGORIES), S.tagged_pages(s, d)))
 
 query("cookie_trackers", """SELECT s_suppkey AS page_id, t.id, t.evidence FROM supplier, LATERAL (VALUES
@@ -601,7 +610,10 @@ query("confident_technologies", f"SELECT page_id, id FROM ({_STACK_SQL}) WHERE c
 query("stack_summary", f"""SELECT s_suppkey AS page_id, CAST(coalesce(n, 0) AS BIGINT) AS total, CAST(coalesce(c, 0) AS BIGINT) AS confident
 FROM supplier LEFT JOIN (SELECT page_id, count(*) AS n, count(*) FILTER (confidence = 'high') AS c FROM ({_STACK_SQL}) GROUP BY page_id)
 ON page_id = s_suppkey""")(lambda s, d: D.summarize_stack(_stack(s, d), S.tagged_pages(s, d)).drop("by_category"))
-query("stack_reports")(lambda s, d: stack_report(D.group_by_category(_stack(s, d), STACK_CATEGORIES), S.tagged_pages(s, d)))
+query("stack_reports", f"""SELECT page_id, 'Tech stack of https://site' || (page_id % 9) || '.example.com/' || page_id || chr(10) || chr(10) ||
+  string_agg('## ' || c.label || chr(10) || '- ' || c.name || CASE WHEN version = '' THEN '' ELSE ' ' || version END, chr(10) || chr(10) ORDER BY c.o) AS report
+  FROM ({_STACK_SQL}) JOIN (VALUES ('angular', 'Angular', 'JavaScript frameworks', 0), ('angularjs', 'AngularJS', 'JavaScript frameworks', 0),
+  ('next', 'Next.js', 'Meta frameworks', 1), ('wordpress', 'WordPress', 'CMS & site builders', 2)) c(id, name, label, o) USING (id) GROUP BY page_id""")(lambda s, d: stack_report(D.group_by_category(_stack(s, d), STACK_CATEGORIES), S.tagged_pages(s, d)))
 query("page_signals", """SELECT s_suppkey AS page_id, x.kind, x.value FROM supplier, LATERAL (VALUES
   ('script', CASE WHEN s_suppkey % 2 = 0 THEN 'https://www.googletagmanager.com/gtag/js?id=G-ABCDEF' || (s_suppkey % 7) END),
   ('script', CASE WHEN s_suppkey % 4 = 0 THEN 'https://cdn.cookielaw.org/x.js' END),
