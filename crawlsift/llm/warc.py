@@ -2,7 +2,8 @@
 
 A payload is cut into chunks of at most `chunk_bytes`; each chunk row carries the digest of the payload so far, so a reader checks a
 record while it streams through and never holds more than a chunk. Records of equal payloads of at least `revisit_bytes` are written
-once (that with the smallest page id) and else as revisits, which hold headers only.
+once (that with the smallest page id) and else as revisits, which hold headers only. A response is named by its page id and digest, and
+revisits refer to it by that name.
 
 Cases: null html is an empty payload; rows that share the smallest page id of a payload are all responses; null page ids are never the
 first unless all are null; an empty table gives no rows.
@@ -45,12 +46,13 @@ def write_archive(pages: DataFrame, revisit_bytes: int = 100, chunk_bytes: int =
             ids, urls, digests, refers, lengths = (batch[c].to_pylist() for c in ("page_id", "url", "digest", "refers_to", "length"))
             payloads = batch["payload"]
             for i, (page, url, digest, ref, length) in enumerate(zip(ids, urls, digests, refers, lengths)):
-                record = f"<urn:page:{'' if page is None else page}#{task}.{next(count_of)}>"  # unique also where rows repeat an id
+                record = f"{'' if page is None else page}#{task}.{next(count_of)}"  # unique also where rows repeat an id
+                name = f"<urn:page:{'' if page is None else page}:{digest}>" if ref is None else f"<urn:page:{record}>"
                 size = 0 if ref is not None else length
                 head = [
-                    "WARC/1.1", f"WARC-Type: {'response' if ref is None else 'revisit'}", f"WARC-Record-ID: {record}", f"WARC-Date: {date}",
+                    "WARC/1.1", f"WARC-Type: {'response' if ref is None else 'revisit'}", f"WARC-Record-ID: {name}", f"WARC-Date: {date}",
                     "WARC-Target-URI: " + quote(url, safe=string.punctuation), f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {length}",
-                    *([f"WARC-Refers-To: <urn:page:{ref}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if ref is not None else []),
+                    *([f"WARC-Refers-To: <urn:page:{ref}:{digest}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if ref is not None else []),
                     "Content-Type: text/html", f"Content-Length: {size}",
                 ]
                 body = memoryview(payloads[i].as_buffer()) if size else memoryview(b"")
@@ -110,7 +112,7 @@ def read_archive(chunks: DataFrame) -> DataFrame:
 
     long = chunks.where("chunks > 1").repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(stream, "head string, sha string, n long")
     of = lambda name: _header(F.col("head"), name)
-    page = lambda name: F.nullif(F.regexp_extract(of(name), r"<urn:page:(-?\d*)(?:#[\d.]+)?>", 1), F.lit("")).cast("long")
+    page = lambda name: F.nullif(F.regexp_extract(of(name), r"<urn:page:(-?\d*)(?:[:#][\da-f.]+)?>", 1), F.lit("")).cast("long")
     rows = short.union(long).select(
         page("WARC-Record-ID").alias("page_id"), of("X-Payload-Length").cast("long").alias("stated"), F.regexp_replace(of("WARC-Payload-Digest"), "^sha256:", "").alias("stated_digest"),
         of("WARC-Type").alias("record_type"), page("WARC-Refers-To").alias("refers_to"), "sha", "n")

@@ -354,3 +354,17 @@ def test_links_of_repeated_ids_with_different_texts(spark):
     assert {i: c for (i, _), c in got.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 5} and len(got) == 9
     hot = spark.createDataFrame([(8, f"text {i} with nothing in common {i}{i}") for i in range(50)] + [(9, "text 7 with nothing in common 77")], "doc_id long, text string")
     assert {r["component_id"] for r in near_dedup.near_duplicates(hot).collect()} == {8}
+
+
+def test_revisits_refer_to_records_of_the_archive(spark):
+    long, short = "x" * 300, "y" * 20
+    pages = spark.createDataFrame([(3, "u", long), (1, "u", long), (2, "v", long), (1, "u", "z" * 150), (5, "w", "z" * 150), (4, "w", short), (6, "w", short), (None, "n", long)], "page_id long, url string, html string")
+    archive = warc.write_archive(pages, chunk_bytes=64)
+    heads = [bytes(r["data"]).split(b"\r\n\r\n")[0].decode() for r in archive.where("chunk = 0").collect()]
+    field = lambda head, name: next((line.split(": ", 1)[1] for line in head.split("\r\n") if line.startswith(name + ": ")), None)
+    responses = {field(h, "WARC-Record-ID"): field(h, "WARC-Payload-Digest") for h in heads if field(h, "WARC-Type") == "response"}
+    revisits = [h for h in heads if field(h, "WARC-Type") == "revisit"]
+    assert len(revisits) == 4 and len({field(h, "WARC-Record-ID") for h in heads}) == len(heads) == 8
+    assert all(responses[field(h, "WARC-Refers-To")] == field(h, "WARC-Payload-Digest") for h in revisits)
+    read = warc.read_archive(archive).collect()
+    assert sorted((r["page_id"], r["refers_to"]) for r in read if r["refers_to"] is not None and r["page_id"] is not None) == [(2, 1), (3, 1), (5, 1)] and all(r["intact"] for r in read)
