@@ -5,14 +5,17 @@ of a window of m bytes shares at least m + 1 - q * (k + 1) q-grams with it, on d
 in the benchmark; of those, the stretches dense enough; in these, shared q-grams counted by window and by overlapping diagonal bands; and
 where a band reaches the bound, alignment within the band decides. The budget k is `edits` of the window's length.
 
-Texts are compared as UTF-8 in lower case, with any of space and 09-0D as a space.
+Texts are compared as UTF-8 in lower case, with one space for any run of space and 09-0D. Items shorter than `least` bytes are looked for exactly, on
+word bounds.
 
-Cases: null or empty texts hold nothing; null or empty items and those shorter than `least` bytes match nothing; items that repeat an id
-count together; an empty benchmark or table gives no rows.
+Cases: null or empty texts hold nothing; null or empty items and those of fewer than Q = 12 bytes, a word or two, match nothing; items that
+repeat an id count together; null ids of documents are found, those of items are not looked for; rows that repeat a document's id are
+found each; an empty benchmark or table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -33,10 +36,38 @@ _FOLD = bytes(32 if i in b"\t\n\x0b\x0c\r" else i for i in range(256))
 _BITS = 22
 
 
-def folded(text: bytes) -> bytes:
+_SPACES = re.compile(rb"  +")
+_WORD = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789") | frozenset(range(128, 256))
+
+
+def lowered(text: bytes) -> bytes:
     return (text if text.isascii() else text.decode().lower().encode()).lower().translate(_FOLD)
 
 
+def folded(text: bytes) -> bytes:
+    """Lower case, with one space for each run of white space."""
+    text = lowered(text)
+    return _SPACES.sub(b" ", text) if b"  " in text else text
+
+
+def unfolded(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Where spans of the folded text lie in the lower-cased one."""
+    data = np.frombuffer(lowered(text), np.uint8)
+    kept = np.flatnonzero(~((data == 32) & (np.concatenate([[0], data[:-1]]) == 32)))
+    return [(int(kept[a]), int(kept[b - 1]) + 1) for a, b in spans]
+
+
+def on_word_bounds(data: bytes, part: bytes) -> tuple[int, int] | None:
+    """The first place of part in a folded text that cuts no word."""
+    at = data.find(part)
+    while at >= 0:
+        end = at + len(part)
+        if not (at and part[0] in _WORD and data[at - 1] in _WORD) and not (end < len(data) and part[-1] in _WORD and data[end] in _WORD):
+            return at, end
+        at = data.find(part, at + 1)
+    return None
+
+
 def _grams(data: bytes) -> np.ndarray:
     """A 64-bit key of the q-gram at each position."""
     n = len(data) - Q + 1
@@ -61,11 +92,12 @@ class Windows:
     seen: np.ndarray
 
     @classmethod
-    def of(cls, items: list[tuple[int, bytes]], window: int, edits: float, least: int) -> Windows:
+    def of(cls, items: list[tuple[int, bytes]], window: int, edits: float, least: int, below: int | None = None) -> Windows:
+        """Of the items of at least `least` bytes, and fewer than `below`."""
         ids, texts = [], []
         for item, text in items:
             text = folded(text).strip(b" ")
-            if len(text) < max(least, Q):
+            if len(text) < max(least, Q) or below is not None and len(text) >= below:
                 continue
             starts = [*range(0, max(1, len(text) - window + 1), window // 2)]
             if starts[-1] + window < len(text):
@@ -164,7 +196,8 @@ def passages(data: bytes, w: Windows) -> list[tuple[int, int, int, int]]:
 def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = 100, edits: float = 0.06, least: int = 40) -> DataFrame:
     """doc_id, item_id, edits, windows, start, end: the items of which at least one window stands in a document.
 
-    edits are the fewest of any window; start and end span all of them, in bytes of the lower-cased text.
+    edits are the fewest of any window; start and end span all of them, in bytes of the lower-cased text. Items shorter than `least` bytes
+    count where they stand whole and exactly, on word bounds.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), utf8(F.col("text")).alias("text")).where("item_id IS NOT NULL")
@@ -174,20 +207,26 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = 100, edi
 
     def scan(shard: int) -> DataFrame:
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard)
-        shared = spark.sparkContext.broadcast(Windows.of([(r["item_id"], bytes(r["text"])) for r in own.toLocalIterator()], window, edits, least))
+        held = [(r["item_id"], bytes(r["text"])) for r in own.toLocalIterator()]
+        shared = spark.sparkContext.broadcast((Windows.of(held, window, edits, least), Windows.of(held, least, 0.0, Q, least)))
 
         def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w = shared.value
+            w, brief = shared.value
             for batch in small_batches(batches):
                 out: list[list[int]] = [[] for _ in range(6)]
-                if w.text:
-                    for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                        by_item = defaultdict(list)
-                        for v, *hit in passages(folded(text), w):
-                            by_item[int(w.item[v])].append(hit)
-                        for item, hits in by_item.items():
-                            for column, value in zip(out, (doc_id, item, min(h[0] for h in hits), len(hits), min(h[1] for h in hits), max(h[2] for h in hits))):
-                                column.append(value)
+                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+                    data, by_item = folded(text), defaultdict(list)
+                    for v, *hit in passages(data, w) if w.text else ():
+                        by_item[int(w.item[v])].append(hit)
+                    for v, *_ in passages(data, brief) if brief.text else ():
+                        if at := on_word_bounds(data, brief.text[v]):
+                            by_item[int(brief.item[v])].append([0, *at])
+                    if not by_item:
+                        continue
+                    spans = unfolded(text, [(min(h[1] for h in hits), max(h[2] for h in hits)) for hits in by_item.values()])
+                    for (item, hits), span in zip(by_item.items(), spans):
+                        for column, value in zip(out, (doc_id, item, min(h[0] for h in hits), len(hits), *span)):
+                            column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=[c.split()[0] for c in schema.split(", ")])
 
         return rows.mapInArrow(find, schema)

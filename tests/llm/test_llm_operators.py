@@ -368,3 +368,24 @@ def test_revisits_refer_to_records_of_the_archive(spark):
     assert all(responses[field(h, "WARC-Refers-To")] == field(h, "WARC-Payload-Digest") for h in revisits)
     read = warc.read_archive(archive).collect()
     assert sorted((r["page_id"], r["refers_to"]) for r in read if r["refers_to"] is not None and r["page_id"] is not None) == [(2, 1), (3, 1), (5, 1)] and all(r["intact"] for r in read)
+
+
+def test_leaks_with_other_spaces_short_ones_and_edits(spark):
+    rng = random.Random(12)
+    passage, question = prose(rng, 30), "What is the capital of Peru? Lima."
+    items = [(1, passage), (2, question), (3, "Lima"), (4, None), (None, passage)]
+    docs = [(1, prose(rng, 40) + "\n\n" + passage.replace(" ", "  \t") + " end"), (2, prose(rng, 30) + " " + question.upper() + " Right."), (3, "x" + question), (4, prose(rng, 80) + " Lima."),
+            (5, passage[: len(passage) // 2] + "\r\n   " + passage[len(passage) // 2 :].lstrip()), (None, passage), (5, passage)]
+    got = decontamination.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in got) == [(0, 1), (1, 1), (2, 2), (5, 1), (5, 1)]
+    first = next(r for r in got if r["doc_id"] == 1)
+    found = docs[0][1].encode().lower()[first["start"] : first["end"]].decode()
+    assert " ".join(found.split()) == " ".join(passage.lower().split()) and next(r for r in got if r["doc_id"] == 2)["edits"] == 0
+    for share, least in ((0.03, 0.98), (0.05, 0.9)):
+        items = [(i, prose(rng, 50)) for i in range(60)]
+        edited = []
+        for i, text in items:
+            chars = [rng.choice("abcdefg") if rng.random() < share else c for c in text]
+            edited.append((i, prose(rng, 50) + " " + "".join(chars) + " " + prose(rng, 50)))
+        got = decontamination.contaminations(spark.createDataFrame(edited, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert all(r["doc_id"] == r["item_id"] for r in got) and len(got) >= least * len(items)
