@@ -5,7 +5,8 @@ neighbours. A region (a run of documents that share a prefix) starts at a short
 is cut by the next longer prefix, as often as needed. Beyond the longest prefix a region is dealt into parts that all hold the same few
 pivots. Inside a region the sorted neighbours, each document's most similar ones by signature, and the one similar to most become
 candidates; a candidate pair counts only if the full sets agree to the threshold. Once these links have made components, every pair of
-a region of the shortest prefix that lies in two of them and whose signatures agree is tested as well.
+a region of the shortest prefix that lies in two of them and whose signatures agree is tested as well, where the region's blocks lie: a
+block gives only links that join its components, never its pairs.
 
 Documents with equal sets are one class from the start, so copies are never expanded into pairs. Components of the links are found by
 passing the smallest id along links and shortcuts.
@@ -24,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType
 
 from .shared import small_batches, utf8, written
 
 HASHES, TREES = 128, 20
-PREFIXES = (3, 4, 5, 7, 10, 14)
+PREFIXES = (3, 5, 8, 14)
 _rng = np.random.default_rng(20)
 _ODD = _rng.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 ORDERS = np.stack([_rng.permutation(HASHES) for _ in range(TREES)])
@@ -60,7 +61,6 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 SHAPE = ["n_shingles", "f1", "f2"]
-_SET = StructType([*(StructField(name, LongType()) for name in SHAPE), StructField("set", BinaryType())])
 
 
 def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
@@ -177,9 +177,9 @@ def candidates(classes: DataFrame, widest: DataFrame, region: int, least: float)
     return rows.mapInArrow(pairs, "a long, b long").distinct()
 
 
-def apart_pairs(sigs: np.ndarray, sizes: np.ndarray, roots: np.ndarray, parts: np.ndarray, least: float, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def apart_pairs(sigs: np.ndarray, sizes: np.ndarray, roots: np.ndarray, parts: np.ndarray, least: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """All index pairs of a block whose signatures agree in a share of at least `least`, whose roots differ and whose set sizes allow
-    the similarity; with two parts in the block, pairs of different parts. The flag marks the four most alike of each two roots."""
+    the similarity, the most alike first; with two parts in the block, pairs of different parts."""
     order = np.argsort(roots, kind="stable")
     sigs, sizes, roots, parts = sigs[order], sizes[order], roots[order], parts[order]
     after, several = np.searchsorted(roots, roots, "right"), bool((parts != parts[0]).any())
@@ -197,31 +197,60 @@ def apart_pairs(sigs: np.ndarray, sizes: np.ndarray, roots: np.ndarray, parts: n
         x, y = np.nonzero(ok)
         found.append((x + i, y + low, alike[x, y]))
     if not found:
-        return order[:0], order[:0], np.empty(0, bool)
+        return order[:0], order[:0]
     a, b, alike = (np.concatenate(x) for x in zip(*found))
-    by = np.lexsort([-alike, roots[b], roots[a]])
-    a, b = a[by], b[by]
-    new = np.ones(len(a), bool)
-    new[1:] = (roots[a[1:]] != roots[a[:-1]]) | (roots[b[1:]] != roots[b[:-1]])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-    return order[a], order[b], np.arange(len(a)) - first < 4
-
-
-def apart(classes: DataFrame, widest: DataFrame, roots: DataFrame, region: int, least: float, percent: int) -> DataFrame:
-    """a, b, best: every pair of a region of the shortest prefix that no component holds yet and whose signatures agree; `best`: among
-    the four most alike of two components in some block. Regions of eight or fewer were compared in full before."""
-
-    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    by = np.argsort(-alike, kind="stable")
+    return order[a[by]], order[b[by]]
+
+
+def agree(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    same = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * same >= percent * (len(both) - same)
+
+
+def block_links(reps: np.ndarray, sigs: np.ndarray, sizes: np.ndarray, roots: np.ndarray, parts: np.ndarray, sets: list[bytes], least: float, percent: int) -> list[tuple[int, int]]:
+    """Links of a block between different components, confirmed on full sets: enough of them to join all components that the block links.
+    Pairs of components that links found before already join are not tested again, so the block gives fewer links than it has rows."""
+    top = {r: r for r in roots.tolist()}
+
+    def root_of(r: int) -> int:
+        while top[r] != r:
+            top[r] = r = top[top[r]]
+        return r
+
+    out, held = [], {}
+    for a, b in zip(*(x.tolist() for x in apart_pairs(sigs, sizes, roots, parts, least, percent))):
+        x, y = root_of(int(roots[a])), root_of(int(roots[b]))
+        if x == y:
+            continue
+        for i in (a, b):
+            if i not in held:
+                held[i] = unpacked(sets[i])
+        if agree(held[a], held[b], percent):
+            top[max(x, y)] = min(x, y)
+            out.append((int(min(reps[a], reps[b])), int(max(reps[a], reps[b]))))
+    return out
+
+
+def apart(classes: DataFrame, widest: DataFrame, roots: DataFrame, known: DataFrame, reps: DataFrame, words: int, region: int, least: float, percent: int) -> DataFrame:
+    """a, b: links between components, from every pair of a region of the shortest prefix that no component holds yet and whose signatures
+    agree. Regions of eight or fewer were compared in full before."""
+
+    def links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def found(group: list[tuple]) -> pa.RecordBatch:
             reps, roots, sizes, parts = (np.array([g[k] for g in group]) for k in (1, 2, 3, 4))
             sigs = np.frombuffer(b"".join(g[5] for g in group), "<u2").reshape(len(group), HASHES)
-            x, y, best = apart_pairs(sigs, sizes, roots, parts, least, percent)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(reps[x], reps[y]), pa.int64()), pa.array(np.maximum(reps[x], reps[y]), pa.int64()), pa.array(best)], names=["a", "b", "best"])
+            return _pair_batch(set(block_links(reps, sigs, sizes, roots, parts, [g[6] for g in group], least, percent)))
 
-        for batch in small_batches(batches, 2048):
-            for row in zip(*(batch[c].to_pylist() for c in ("block", "rep", "root", "n_shingles", "part", "sig"))):
+        for batch in small_batches(batches):
+            for row in zip(*(batch[c].to_pylist() for c in ("block", "rep", "root", "n_shingles", "part", "sig", "set"))):
                 if held and held[0][0] != row[0]:
                     if len(held) > 1:
                         yield found(held)
@@ -232,9 +261,11 @@ def apart(classes: DataFrame, widest: DataFrame, roots: DataFrame, region: int,
 
     rows = widest.where(F.col("m") > 8).select("region", "rep", "m", "tree").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = rows.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("region")
-    rows = _blocks(rows.join(mixed, "region"), region).join(classes.select("rep", "sig", "n_shingles"), "rep")
-    rows = rows.repartition("block").sortWithinPartitions("block", "rep").select("block", "rep", "root", "n_shingles", "part", "sig")
-    return rows.mapInArrow(pairs, "a long, b long, best boolean").groupBy("a", "b").agg(F.max("best").alias("best"))
+    rows = written(_blocks(rows.join(mixed, "region"), region))
+    sets = class_sets(rows.select("rep").distinct(), known, reps, words)
+    full = sets.join(classes.select("rep", "sig", "n_shingles"), "rep")
+    rows = rows.join(full, "rep").repartition("block").sortWithinPartitions("block", "rep").select("block", "rep", "root", "n_shingles", "part", "sig", "set")
+    return rows.mapInArrow(links, "a long, b long").distinct()
 
 
 def _blocks(rows: DataFrame, region: int) -> DataFrame:
@@ -268,44 +299,43 @@ def likely_members(ids: DataFrame):
     return lambda c: maybe(F.pmod(F.xxhash64(c), F.lit(1 << 24)))
 
 
+def unpacked(data) -> np.ndarray:
+    """A set from its bytes, six for each of the sorted hashes."""
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def class_sets(members: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """rep, set of the classes named in `members`: of a text with the class's own fingerprint, also where rows repeat the id that stands for
+    the class. Sets hold 48 bits of each shingle's hash."""
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            out = []
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+                s = shingle_set(text, words)
+                # six bytes of each hash: the sets are the largest thing that is shuffled
+                out.append((doc, len(s), *fingerprint(s), np.ascontiguousarray(np.sort(s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)] + [pa.array([r[4] for r in out], pa.binary())], names=["doc", *SHAPE, "set"])
+
+    members = written(members.join(classes.select("rep", "doc", *SHAPE), "rep"))
+    ids = members.select(F.col("doc").alias("doc_id")).distinct()
+    # an operator of its own: sets are made of the texts that the joins leave
+    found = docs.where(likely_members(ids)(F.col("doc_id"))).join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc long, n_shingles long, f1 long, f2 long, set binary")
+    return written(found.join(members, ["doc", *SHAPE]).select("rep", "set").dropDuplicates(["rep"]))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets agree: 100 * intersection >= percent * union. A class's set is that of a text with its own fingerprint,
-    also where rows repeat the id that stands for the class. Sets are compared by 48 bits of each shingle's hash."""
-
-    @arrow_udf(_SET)
-    def sets(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in texts.to_pylist():
-            s = shingle_set(text, words)
-            # six bytes of each hash: the sets are the largest thing that is shuffled
-            out.append((len(s), *fingerprint(s), np.ascontiguousarray(np.sort(s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()))
-        return pa.array(out, pa.struct([(f.name, pa.binary() if f.name == "set" else pa.int64()) for f in _SET]))
-
-    def unpacked(value: pa.Scalar) -> np.ndarray:
-        out = np.zeros((len(value.as_buffer()) // 6, 8), np.uint8)
-        out[:, :6] = np.frombuffer(value.as_buffer(), np.uint8).reshape(-1, 6)
-        return out.view("<u8").ravel()
+    """The pairs whose full sets agree: 100 * intersection >= percent * union."""
 
     @arrow_udf("boolean")
-    def agree(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b):
-            x, y = unpacked(x), unpacked(y)
-            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                out.append(False)
-                continue
-            both = np.concatenate([x, y])
-            both.sort()
-            same = int((both[1:] == both[:-1]).sum())
-            out.append(100 * same >= percent * (len(both) - same))
-        return pa.array(out, pa.bool_())
-
-    members = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes.select("rep", "doc", *SHAPE), "rep"))
-    ids = members.select(F.col("doc").alias("doc_id")).distinct()
-    found = docs.where(likely_members(ids)(F.col("doc_id"))).join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), sets("text").alias("s")).select("doc", "s.*")
-    kept = written(found.join(members, ["doc", *SHAPE]).select(F.col("rep").alias("doc_id"), "set").dropDuplicates(["doc_id"]))
-    with_a = pairs.join(kept.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
-    return with_a.join(kept.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b").where(agree("sa", "sb")).select("a", "b")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([agree(unpacked(x.as_buffer()), unpacked(y.as_buffer()), percent) for x, y in zip(a, b)], pa.bool_())
+
+    kept = class_sets(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), docs, classes, words)
+    with_a = pairs.join(kept.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a")
+    return with_a.join(kept.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b").where(alike("sa", "sb")).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -371,13 +401,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, region:
     widest = widest_regions(classes)
     pairs = written(candidates(classes, widest, region, least))
     roots = components(confirmed(pairs, known, reps, words, percent).union(same_id))
-    # What is not in one component yet: the most alike of two components first, then all that is still apart.
-    rest = written(apart(classes, widest, roots, region, least, percent).join(pairs, ["a", "b"], "left_anti"))
-    for some in (F.col("best"), ~F.col("best")):
-        ends = rest.where(some).join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
-        open_pairs = written(ends.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
-        if not open_pairs.isEmpty():
-            roots = joined(roots, confirmed(open_pairs, known, reps, words, percent))
+    # What is not in one component yet.
+    further = written(apart(classes, widest, roots, known, reps, words, region, least, percent))
+    if not further.isEmpty():
+        roots = joined(roots, further)
     named = written(reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*SHAPE, F.coalesce("root", "rep").alias("root")))
     found = signed.select("doc_id", *SHAPE).join(named, SHAPE, "left")
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
