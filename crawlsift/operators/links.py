@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlsift.functions.sql import case, lit, matches
+from crawlsift.functions.sql import case, let, lit, matches
 from crawlsift.functions.text import WS, contains_ci, either, js_trim
 from crawlsift.functions.urls import normalise_url, origin_of
 
@@ -17,15 +17,15 @@ ADDRESS = "coalesce(nullif(href, ''), raw, '')"
 
 def classify_link(raw: str, href: str, origin: str) -> str:
     """Kind of one link. Origins are compared as parsed, so a lookalike prefix is external."""
-    own = origin_of(normalise_url(href))
-    return case(
-        (f"startswith({js_trim(raw)}, '#')", "'anchor'"),
-        (matches(js_trim(raw), "(?i)^mailto:"), "'mailto'"),
-        (matches(js_trim(raw), "(?i)^tel:"), "'tel'"),
-        (matches(js_trim(raw), "(?i)^javascript:"), "'script'"),
-        (f"coalesce({href}, '') = '' OR NOT {matches(href, '(?i)^https?:')} OR {own} IS NULL", "'other'"),
-        (f"{own} = {origin_of(normalise_url(origin))}", "'internal'"),
-        otherwise="'external'")
+    web = let(origin_of(normalise_url(href)), lambda own: case(
+        (f"{own} IS NULL", "'other'"), (f"{own} = {origin_of(normalise_url(origin))}", "'internal'"), otherwise="'external'"))
+    return let(js_trim(raw), lambda r: case(
+        (f"startswith({r}, '#')", "'anchor'"),
+        (matches(r, "(?i)^mailto:"), "'mailto'"),
+        (matches(r, "(?i)^tel:"), "'tel'"),
+        (matches(r, "(?i)^javascript:"), "'script'"),
+        (f"coalesce({href}, '') = '' OR NOT {matches(href, '(?i)^https?:')}", "'other'"),
+        otherwise=web))
 
 
 def is_nofollow(rel: str) -> str:

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlsift.sources import spread
+from crawlsift.sources import spread, spread_rows
 
 
 def _read(spark: SparkSession, directory: str, table: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{directory}/{table}.parquet"))
+    return spread_rows(spark.read.parquet(f"{directory}/{table}.parquet"))
 
 
 def _pages(rows: DataFrame, key: str, url: str, head: list[str], body: list[str], lang: str = "en") -> DataFrame:
@@ -24,7 +24,7 @@ def _pages(rows: DataFrame, key: str, url: str, head: list[str], body: list[str]
 def page_captures(spark: SparkSession, directory: str) -> DataFrame:
     """Three captures of every page: as it is, and two of a later, equal time, of which the one with the larger id is the newest. Remainders
     of page_id say what it changes: title, first heading, a link at the end, a last paragraph. Every seventh page has a new neighbour."""
-    pages = _read(spark, directory, "pages").selectExpr("page_id", "concat(url, '?p=', page_id) AS url", "html", "url AS address")
+    pages = spread(spark.read.parquet(f"{directory}/pages.parquet")).selectExpr("page_id", "concat(url, '?p=', page_id) AS url", "html", "url AS address")
     title = "if(page_id % 5 = 0, regexp_replace(html, '<title>', '<title>New '), html)"
     heading = f"if(page_id % 3 = 0, regexp_replace({title}, '<h1>', '<h1>New '), {title})"
     tail = "concat(if(page_id % 4 = 0, '<p><a href=\"/new\">fresh</a></p>', ''), if(page_id % 2 = 0, '<p>tie</p>', ''))"
@@ -229,7 +229,7 @@ def layer_pages(spark: SparkSession, directory: str) -> DataFrame:
 
 def long_table_pages(spark: SparkSession, directory: str) -> DataFrame:
     """One page per supplier with all its line items in one table; every row without a close tag, the first cell without a row."""
-    rows = _read(spark, directory, "lineitem").groupBy("l_suppkey").agg(F.expr(
+    rows = spread(spark.read.parquet(f"{directory}/lineitem.parquet")).groupBy("l_suppkey").agg(F.expr(
         "array_join(array_sort(collect_list(concat('<td>', lpad(l_orderkey, 12, '0'), '<td>', l_linenumber))), '<tr>')").alias("cells"))
     return _pages(rows, "l_suppkey", "'https://lines.example.com/', l_suppkey", [], ["'<table>', cells, '</table>'"])
 

@@ -23,6 +23,8 @@ _HOST = ("Chrome does not allow extensions on the Web Store.", "Open any other w
 #: Session setting: how many partitions pages are dealt to before they are parsed. Unset, they stay as the files are split, without a
 #: shuffle. It is for few files of one row group each, which Spark cannot split (as in bench.py).
 INPUT_PARTITIONS = "spark.crawlsift.inputPartitions"
+#: Rows that become pages only behind the scan: how many a task gets, and how many tasks they are dealt to at most (then each gets more).
+TASK_ROWS, MAX_TASKS = 2000, 4096
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -30,6 +32,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(parts)) if parts else df
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """For rows of a few bytes that a page is made of: a row group of them is a page table of gigabytes, so files are split far too coarsely.
+    Unless the session says how many, as many partitions as the rows need; all rows are dealt out, one by one, whatever their keys."""
+    if df.sparkSession.conf.get(INPUT_PARTITIONS, None):
+        return spread(df)
+    parts = min(MAX_TASKS, -(-df.count() // TASK_ROWS))
+    return df.repartition(parts) if parts > 1 else df
+
+
 def load_pages(spark: SparkSession, directory: str, table: str = "pages") -> DataFrame:
     return spread(spark.read.schema(PAGES).parquet(f"{directory}/{table}.parquet"))
 
