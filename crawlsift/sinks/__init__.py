@@ -107,7 +107,8 @@ def audit_json(facts: DataFrame, findings: DataFrame, audited_at: str = "current
                         F.expr(f"{when} AS at"), "url")
     counted = per_page.selectExpr("page_id", "findings", "struct(ok, warning, error, info, total, "
                                   + OVERALL.replace(" AS status", "") + " AS status) AS summary")
-    return page.join(counted, "page_id").selectExpr(
+    # both sides hold a row per page, however small the files that the pages came from
+    return page.join(counted.hint("merge"), "page_id").selectExpr(
         "page_id", f"to_json(struct({lit(tool)} AS tool, 1 AS version, url, at AS auditedAt, summary, findings, page), "
                    "map('ignoreNullFields', 'false')) AS json")
 
