@@ -133,8 +133,8 @@ class Scorer:
             column += width * m.each
             r[ends - 1] = r[ends - 2] = -np.inf
             tops.append(np.maximum.reduceat(r, np.concatenate([[0], ends[:-1]]), axis=0))
-        z = np.maximum(np.concatenate(tops, axis=1) + m.bias, 0) @ m.out[:-1] + m.out[-1]
-        return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
+        z = [float(h @ m.out[:-1] + m.out[-1]) for h in np.maximum(np.concatenate(tops, axis=1) + m.bias, 0)]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 class Learner:
