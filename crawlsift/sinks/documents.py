@@ -46,13 +46,15 @@ class BundlePartition(InputPartition):
 class DocumentWriter(DataSourceWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
+        # made once, before any task: one that goes on after its job was aborted finds no folder to write to
+        files, folder = _at(f"{path}/{_ATTEMPTS}/{self.job}")
+        files.create_dir(folder, recursive=True)
 
     def write(self, iterator: Iterator[Row]) -> Bundle:
         """One attempt of a task: its documents in a file of their own."""
         files, folder = _at(f"{self.path}/{_ATTEMPTS}/{self.job}")
         context = TaskContext.get()
         part, file, count = context.partitionId() if context else 0, f"{folder}/{uuid.uuid4().hex}.tar", 0
-        files.create_dir(folder, recursive=True)
         with files.open_output_stream(file) as out, tarfile.open(fileobj=out, mode="w|") as tar:
             for row in iterator:
                 data = (row["text"] or "").encode()
