@@ -4,7 +4,7 @@ A word's embedding is the sum of hashed embeddings of the word, its prefixes and
 embedded words of the whole text, their maxima feed a logistic. Since a filter's response is a sum over its places, every distinct word
 is turned once into its part of all responses, and a text costs additions of such parts and a maximum.
 
-The model is fitted on all labelled rows: partitions learn theirs apart, and the copies are averaged.
+The model is fitted on all labelled rows but a fifth: partitions learn theirs apart, and the copies are averaged.
 
 Besides the score there is a decision: each language has the threshold that separates the held-back fifth of the labelled rows best.
 The threshold needs the language; the score never sees it.
