@@ -22,15 +22,17 @@ _CANONICAL = (
 
 def _strip(url: str) -> str:
     """Leading and trailing control characters and spaces go, as do tabs and newlines anywhere."""
-    return substitute(url, r"^[\x00-\x20]++|[\t\n\r]++|[\x00-\x20](?<![\x00-\x20]{2})[\x00-\x20]*+\z")
+    stripped = lambda u: substitute(u, r"^[\x00-\x20]++|[\t\n\r]++|[\x00-\x20](?<![\x00-\x20]{2})[\x00-\x20]*+\z")
+    return let(url, lambda u: case((matches(u, r"[\x00-\x20]"), stripped(u)), otherwise=u))
 
 
 def _encode(text: str, unsafe: str) -> str:
     """Percent-encode the characters of a class, as UTF-8 bytes."""
     escaped = lambda p: substitute(f"hex(encode({p}, 'UTF-8'))", "(..)", "%$1")
-    pieces = extract_all(text, f"(?s)[^{unsafe}]++|[{unsafe}]++")
-    return "array_join(" + each(pieces, lambda p: case(
+    pieces = lambda t: extract_all(t, f"(?s)[^{unsafe}]++|[{unsafe}]++")
+    encoded = lambda t: "array_join(" + each(pieces(t), lambda p: case(
         (matches(p, f"(?s)^[{unsafe}]"), escaped(p)), otherwise=p)) + ", '')"
+    return let(text, lambda t: case((matches(t, f"[{unsafe}]"), encoded(t)), otherwise=t))
 
 
 def _dot_segments(path: str) -> str:
@@ -62,17 +64,17 @@ def _canonicalise(url: str) -> str:
     slashes = f"replace({extract(url, pattern, 3)}, {lit(chr(92))}, '/')"
     pieces = struct(
         scheme=f"lower({extract(url, opaque, 1)})", host=extract(url, pattern, 2), path=slashes,
-        query=extract(url, pattern, 4), fragment=extract(url, pattern, 5), rest=extract(url, opaque, 2))
+        query=extract(url, pattern, 4), fragment=extract(url, pattern, 5))
 
     def build(p: str) -> str:
         path = case((f"{p}.path = ''", "'/'"), otherwise=let(_encode(f"{p}.path", _PATH_UNSAFE), _dot_segments))
-        special = (
+        return (
             f"concat({p}.scheme, '://', {_authority(f'{p}.scheme', f'{p}.host')}, {path}, "
             f"{_encode(f'{p}.query', _QUERY_UNSAFE)}, {_encode(f'{p}.fragment', _FRAGMENT_UNSAFE)})")
-        other = f"concat({p}.scheme, ':', {_encode(f'{p}.rest', r'\x00-\x1f\x7f-\x{10ffff}')})"
-        return case((in_list(f"{p}.scheme", DEFAULT_PORTS), special), otherwise=other)
 
-    return case((matches(url, _CANONICAL), url), otherwise=let(pieces, build))
+    rest = _encode(extract(url, opaque, 2), r"\x00-\x1f\x7f-\x{10ffff}")
+    other = f"concat(lower({extract(url, opaque, 1)}), ':', {rest})"
+    return case((matches(url, _CANONICAL), url), (matches(url, f"(?i)^(?:{_SPECIAL}):"), let(pieces, build)), otherwise=other)
 
 
 def normalise_url(url: str) -> str:
@@ -127,6 +129,12 @@ def origin_of(url: str) -> str:
     return f"nullif({substitute(extract(url, rf'^(?:{_SPECIAL})://[^/?#]+'), '//[^@]*@', '//')}, '')"
 
 
+def web_origin(url: str) -> str:
+    """origin_of the normalised url. A plain lower-case host says it without normalising the rest."""
+    plain = lambda u: extract(u, r"^https?://[a-z0-9._\-]+(?=/|\z)")
+    return let(url, lambda u: let(plain(u), lambda o: case((f"{o} <> ''", o), otherwise=origin_of(normalise_url(u)))))
+
+
 def is_absolute_http_url(url: str) -> str:
     pattern = rf"(?is)^[\x00-\x20]*https?:[/\\]*(?:[^/\\?#@]*@)?{_HOST}(?::[0-9]{{0,5}})?(?:[/\\?#].*)?\z"
     return f"coalesce({matches(url, pattern)}, false)"

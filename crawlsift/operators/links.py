@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlsift.functions.sql import case, let, lit, matches
 from crawlsift.functions.text import WS, contains_ci, either, js_trim
-from crawlsift.functions.urls import normalise_url, origin_of
+from crawlsift.functions.urls import web_origin
 
 # Link kinds, and the scopes a list can be narrowed to.
 KINDS = ["internal", "external", "anchor", "mailto", "tel", "script", "other"]
@@ -17,8 +17,8 @@ ADDRESS = "coalesce(nullif(href, ''), raw, '')"
 
 def classify_link(raw: str, href: str, origin: str) -> str:
     """Kind of one link. Origins are compared as parsed, so a lookalike prefix is external."""
-    web = let(origin_of(normalise_url(href)), lambda own: case(
-        (f"{own} IS NULL", "'other'"), (f"{own} = {origin_of(normalise_url(origin))}", "'internal'"), otherwise="'external'"))
+    web = let(web_origin(href), lambda own: case(
+        (f"{own} IS NULL", "'other'"), (f"{own} = {web_origin(origin)}", "'internal'"), otherwise="'external'"))
     return let(js_trim(raw), lambda r: case(
         (f"startswith({r}, '#')", "'anchor'"),
         (matches(r, "(?i)^mailto:"), "'mailto'"),
@@ -30,7 +30,7 @@ def classify_link(raw: str, href: str, origin: str) -> str:
 
 def is_nofollow(rel: str) -> str:
     """nofollow as a whole token of rel."""
-    return f"array_contains(split(lower(coalesce({rel}, '')), {lit(WS + '+')}), 'nofollow')"
+    return let(f"lower(coalesce({rel}, ''))", lambda r: f"contains({r}, 'nofollow') AND array_contains(split({r}, {lit(WS + '+')}), 'nofollow')")
 
 
 def link_label(text: str, aria_label: str, image_alt: str, title: str) -> str:
@@ -69,12 +69,12 @@ def filter_links(links: DataFrame, scope: str = "all", query: str = "", dedupe:
 
 
 def summarize_links(links: DataFrame, pages: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Counts per kind, nofollow and unlabelled links."""
+    """Counts per kind, nofollow and unlabelled links. Counts of all pages are merged with them, never broadcast."""
     keys = keys or ["page_id"]
     counts = links.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"), *[F.expr(f"count_if(kind = '{k}')").alias(k) for k in KINDS],
         F.expr("count_if(nofollow)").alias("nofollow"), F.expr("count_if(label = '')").alias("untitled"))
-    return counts if pages is None else pages.select(*keys).join(counts, keys, "left").na.fill(0)
+    return counts if pages is None else pages.select(*keys).join(counts.hint("merge"), keys, "left").na.fill(0)
 
 
 def link_rows(links: DataFrame) -> DataFrame:
