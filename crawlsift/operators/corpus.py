@@ -35,19 +35,19 @@ def _by_group(rows: DataFrame, keys: list[str], weight: str, spread: str, share:
     """Rows with what is known of their group: `groups` (its number of rows) and the columns of `attach`, a row per key or none.
 
     A group of more than one in `share` of all weight is dealt to `parts` parts by a hash of `spread`. There are at most `share` such
-    groups, so their keys are broadcast; every other group is smaller than a task's fair part. The rows are written first: counting and
-    dealing read them, not the pages they come from.
+    groups, so their keys are broadcast; every other group is smaller than a task's fair part, and neither groups nor `attach`, as many as
+    the pages, are ever broadcast. The rows are written first: counting and dealing read them, not the pages they come from.
     """
     rows = written(rows)
     groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("groups"), F.sum(weight).alias("_weight"))
     total = groups.agg(F.sum("_weight").alias("_total"))  # one row
     sized = groups.join(F.broadcast(total)).withColumn("_hot", F.expr(f"_weight * {share} > _total")).drop("_weight", "_total")
     hot = sized.filter("_hot").select(*keys, "_hot")
-    known = sized if attach is None else sized.join(attach, keys, "left")
+    known = sized if attach is None else sized.join(attach.hint("merge"), keys, "left")
     dealt = known.withColumn("_part", F.expr(f"explode(if(_hot, sequence(0, {parts - 1}), array(0)))")).drop("_hot")
     placed = rows.join(F.broadcast(hot), keys, "left").withColumn(
         "_part", F.expr(f"if(_hot, CAST(pmod(xxhash64({spread}), {parts}) AS INT), 0)")).drop("_hot")
-    return placed.join(dealt, [*keys, "_part"]).drop("_part")
+    return placed.join(dealt.hint("merge"), [*keys, "_part"]).drop("_part")
 
 
 def shared_tag_ids(ids: DataFrame, pages: DataFrame | None = None) -> DataFrame:

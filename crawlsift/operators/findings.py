@@ -50,11 +50,14 @@ OVERALL = "CASE WHEN error > 0 THEN 'error' WHEN warning > 0 THEN 'warning' ELSE
 
 
 def summarize_status(rows: DataFrame, pages: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Counts per status and one overall status per key. With `pages`, pages without rows count as ok."""
+    """Counts per status and one overall status per key. With `pages`, pages without rows count as ok.
+
+    There is a row of counts per page, so they are merged: sizes of files say little of what pages hold, and would have them broadcast.
+    """
     keys = keys or ["page_id"]
     counts = rows.groupBy(*keys).agg(*status_counts())
     if pages is not None:
-        counts = pages.select(*keys).join(counts, keys, "left").na.fill(0)
+        counts = pages.select(*keys).join(counts.hint("merge"), keys, "left").na.fill(0)
     return counts.selectExpr("*", OVERALL)
 
 
