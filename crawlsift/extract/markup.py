@@ -119,7 +119,7 @@ def attr_raw(tag: str, name: str) -> str:
         rf"(?i)^<[^\s/>]+(?:{sep}(?!{name}(?:[\s=/>]))[^\s/>=]+{value})*+"
         rf"{sep}({name}(?=[\s=/>]){value})"
     )
-    value_of = lambda t: substitute(f"get({extract_all(t, pattern, 1)}, 0)",
+    value_of = lambda t: substitute(f"nullif({extract(t, pattern, 1)}, '')",
                                     r"""(?s)^[^\s=]+\s*(?:=\s*)?(?:"(.*)"|'(.*)'|(.*))\z""", "$1$2$3")
     # most tags lack most attributes, and a text search says so sooner than the pattern
     return let(tag, lambda t: case((f"contains(lower({t}), {lit(name.lower())})", value_of(t))))

@@ -21,5 +21,7 @@ def number_text(raw: str) -> str:
 
 def whole_json(text: str) -> str:
     """VARIANT of a text that is one JSON value and nothing else; NULL otherwise (the parser alone stops after the first value)."""
-    listed = f"try_variant_get(try_parse_json(concat('[', {text}, ']')), '$', 'array<variant>')"
-    return f"if(size({listed}) = 1 AND try_parse_json(concat('{{\"v\":', {text}, '}}')) IS NOT NULL, try_parse_json({text}), NULL)"
+    # the mark, which no text holds of itself, comes second only where the text is one value and goes to its end
+    mark = f"md5({text})"
+    listed = f"try_variant_get(try_parse_json(concat('[', {text}, ',\"', {mark}, '\"]')), '$', 'array<variant>')"
+    return let(listed, lambda x: f"if(size({x}) = 2 AND try_variant_get(get({x}, 1), '$', 'string') = {mark}, get({x}, 0), NULL)")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from itertools import count
 
 _names = count()
+_NAME = re.compile(r"(?!(?i:null|true|false)\Z)[A-Za-z_]\w*(?:\.\w+)*\Z")
 
 
 def lit(value: str | int | float | bool | None) -> str:
@@ -41,8 +43,8 @@ def any_of(array: str, test: Callable[[str], str]) -> str:
 
 
 def let(value: str, body: Callable[[str], str]) -> str:
-    """Evaluate `value` once and use it many times inside `body`."""
-    return f"get({each(f'array({value})', body)}, 0)"
+    """Evaluate `value` once and use it many times inside `body`. A column, field or variable is there already."""
+    return body(value) if _NAME.match(value) else f"get({each(f'array({value})', body)}, 0)"
 
 
 def matches(text: str, pattern: str) -> str:
