@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,28 +21,49 @@ PRODUCT_TYPES = ["Product", "ProductGroup", "ProductModel", "IndividualProduct"]
 _OBJECT = r"(\{(?:[^{}\"']++|\"(?:[^\"\\]++|\\.)*+\"|'(?:[^'\\]++|\\.)*+'|\{(?:[^{}\"']++|\"(?:[^\"\\]++|\\.)*+\"|\{(?:[^{}\"']++|\"(?:[^\"\\]++|\\.)*+\"|\{[^{}]*+\})*+\})*+\})*+\})"
 
 
+# What is read of a product, a variant and analytics metadata, each in one pass: a value asked for by its path is searched again every time.
+_VARIANT = ("array<struct<id variant, title variant, public_title variant, name variant, sku variant, price variant, compare_at_price variant, "
+            "available variant, inventory_quantity variant, inventory_policy variant, requires_shipping variant, barcode variant>>")
+_PRODUCT = (f"struct<variants {_VARIANT}, hasVariant array<variant>, images variant, image variant, options array<variant>, id variant, handle variant, "
+            "title variant, name variant, description variant, body_html variant, vendor variant, type variant, tags array<string>, published_at variant, "
+            "price variant, compare_at_price variant, available boolean, offers variant>")
+_META = (f"struct<product struct<id variant, handle variant, vendor variant, type variant, variants {_VARIANT}>, page struct<pageType variant, "
+         "resourceType variant, resourceId variant, customerId variant>, currency variant>")
+
+
 def _get(v: str, path: str) -> str:
     return f"try_variant_get({v}, '$.{path}', 'variant')"
 
 
-def v_text(v: str, path: str) -> str:
-    """Trimmed text; '' for anything that is not a text."""
-    return case((f"schema_of_variant({_get(v, path)}) = 'STRING'", js_trim(f"try_variant_get({v}, '$.{path}', 'string')")),
-                otherwise="''")
+def text_of(value: str) -> str:
+    """Trimmed text of a VARIANT; '' for anything that is not a text."""
+    return case((f"schema_of_variant({value}) = 'STRING'", js_trim(f"try_variant_get({value}, '$', 'string')")), otherwise="''")
 
 
-def v_cents(v: str, path: str) -> str:
+def cents_of(value: str) -> str:
     """A number as BIGINT; NULL for anything else, texts included."""
-    number = rf"schema_of_variant({_get(v, path)}) RLIKE '^(BIGINT|DECIMAL|DOUBLE|FLOAT)'"
-    return case((number, f"CAST(try_variant_get({v}, '$.{path}', 'double') AS BIGINT)"))
+    number = rf"schema_of_variant({value}) RLIKE '^(BIGINT|DECIMAL|DOUBLE|FLOAT)'"
+    return case((number, f"CAST(try_variant_get({value}, '$', 'double') AS BIGINT)"))
+
+
+def id_of(value: str) -> str:
+    return f"coalesce(try_variant_get({value}, '$', 'string'), '')"
+
+
+def truthy(value: str) -> str:
+    return f"coalesce(to_json({value}) NOT IN ('null', 'false', '0', '\"\"'), false)"
+
+
+def v_text(v: str, path: str) -> str:
+    return text_of(_get(v, path))
 
 
 def v_id(v: str, path: str) -> str:
-    return f"coalesce(try_variant_get({v}, '$.{path}', 'string'), '')"
+    return id_of(_get(v, path))
 
 
 def v_truthy(v: str, path: str) -> str:
-    return f"coalesce(to_json({_get(v, path)}) NOT IN ('null', 'false', '0', '\"\"'), false)"
+    return truthy(_get(v, path))
 
 
 def _product_json() -> str:
@@ -71,26 +94,22 @@ def _product_json() -> str:
 _AT_TYPE = "$['@type']"
 
 
-def _static(pattern: str) -> str:
-    return f"nullif({extract('inline', pattern, 1)}, '')"
+def _static(start: str, pattern: str) -> str:
+    """What follows a plain text in inline scripts; the text is searched first, as most pages lack most of them."""
+    return case((f"contains(inline, {lit(start)})", f"nullif({extract('inline', re.escape(start) + pattern, 1)}, '')"))
 
 
 def _variants() -> str:
     """Product variants, else the real ones of a product group, else the analytics ones."""
-    own = "try_variant_get(product, '$.variants', 'array<variant>')"
-    group = "try_variant_get(product, '$.hasVariant', 'array<variant>')"
-    analytics = "try_variant_get(meta, '$.product.variants', 'array<variant>')"
-
     def theme(v: str) -> str:
-        given = _get(v, "available")
         return struct(
-            id=v_id(v, "id"), title=f"coalesce(nullif({v_text(v, 'title')}, ''), nullif({v_text(v, 'public_title')}, ''), "
-                                    f"{v_text(v, 'name')})",
-            sku=v_text(v, "sku"), price=v_cents(v, "price"), compare_at_price=v_cents(v, "compare_at_price"),
-            available=case((f"{given} IS NOT NULL AND NOT is_variant_null({given})", v_truthy(v, "available"))),
-            inventory_quantity=v_cents(v, "inventory_quantity"), inventory_policy=v_text(v, "inventory_policy"),
-            requires_shipping=case((f"{_get(v, 'requires_shipping')} IS NOT NULL", v_truthy(v, "requires_shipping"))),
-            barcode=v_text(v, "barcode"))
+            id=id_of(f"{v}.id"), title=f"coalesce(nullif({text_of(f'{v}.title')}, ''), nullif({text_of(f'{v}.public_title')}, ''), "
+                                       f"{text_of(f'{v}.name')})",
+            sku=text_of(f"{v}.sku"), price=cents_of(f"{v}.price"), compare_at_price=cents_of(f"{v}.compare_at_price"),
+            available=case((f"{v}.available IS NOT NULL AND NOT is_variant_null({v}.available)", truthy(f"{v}.available"))),
+            inventory_quantity=cents_of(f"{v}.inventory_quantity"), inventory_policy=text_of(f"{v}.inventory_policy"),
+            requires_shipping=case((f"{v}.requires_shipping IS NOT NULL", truthy(f"{v}.requires_shipping"))),
+            barcode=text_of(f"{v}.barcode"))
 
     def stub_free(v: str) -> str:
         return f"{v_truthy(v, 'offers')} OR {v_truthy(v, 'sku')} OR {v_truthy(v, 'name')}"
@@ -104,8 +123,9 @@ def _variants() -> str:
             inventory_quantity="CAST(NULL AS BIGINT)", inventory_policy="''", requires_shipping="CAST(NULL AS BOOLEAN)",
             barcode="''")
 
-    objects = lambda array: keep(array, lambda v: f"startswith(schema_of_variant({v}), 'OBJECT')")
-    return f"coalesce({each(objects(own), theme)}, {each(keep(group, stub_free), offer)}, {each(objects(analytics), theme)})"
+    objects = lambda array: keep(array, lambda v: f"{v} IS NOT NULL")
+    return (f"coalesce({each(objects('_p.variants'), theme)}, {each(keep('_p.hasVariant', stub_free), offer)}, "
+            f"{each(objects('_m.product.variants'), theme)})")
 
 
 def extract_store(parsed: DataFrame, runtime: DataFrame | None = None, urls: int | None = None,
@@ -118,9 +138,9 @@ def extract_store(parsed: DataFrame, runtime: DataFrame | None = None, urls: int
     linked = keep(each(tags("markup", "script|link"), lambda t: absolute_or(
         "base", f"coalesce(nullif({case((matches(t, '(?i)^<script'), attr(t, 'src')))}, ''), {attr_or(t, 'href')})",
         "raw")), lambda u: f"{u} <> ''")
-    section_types = keep(each(
+    section_types = case(("NOT contains(markup, 'data-section-type')", "CAST(array() AS ARRAY<STRING>)"), otherwise=keep(each(
         "filter(" + f"{_ALL_TAGS}, t -> contains(t, 'data-section-type'))", lambda t: js_trim(attr_or(t, "data-section-type"))),
-        lambda s: f"{s} <> ''")
+        lambda s: f"{s} <> ''"))
     selectors = any_of(_ALL_TAGS, lambda t: (
         f"rlike({t}, '(?i)^<form') AND contains({attr(t, 'action')}, '/localization') OR contains({t}, '_code') AND "
         f"{attr(t, 'name')} IN ('currency_code', 'country_code')"))
@@ -135,23 +155,23 @@ def extract_store(parsed: DataFrame, runtime: DataFrame | None = None, urls: int
         rows = rows.join(runtime.selectExpr("page_id", "try_parse_json(shop) AS shop_json"), "page_id", "left")
     else:
         rows = rows.selectExpr("*", "try_parse_json(NULL) AS shop_json")
-    named = lambda key: _static(rf"Shopify\.{key}\s*=\s*[\"']([^\"']*)[\"']")
+    named = lambda key: _static(f"Shopify.{key}", r"\s*=\s*[\"']([^\"']*)[\"']")
     pick = lambda path, key: f"coalesce(nullif({v_text('shop_json', 'shopify.' + path)}, ''), {named(key)}, '')"
-    parsed_json = lambda pattern: f"try_parse_json({_static(pattern + _OBJECT)})"
+    parsed_json = lambda start: f"try_parse_json({_static(start, r'\s*=\s*' + _OBJECT)})"
     known = rows.selectExpr(
         "*", "try_parse_json(product_raw) AS product",
-        f"coalesce({_get('shop_json', 'meta')}, {parsed_json(r'var meta\s*=\s*')}, "
-        f"{parsed_json(r'ShopifyAnalytics[.]meta\s*=\s*')}) AS meta",
-        f"coalesce({_get('shop_json', 'shopify.theme')}, {parsed_json(r'Shopify[.]theme\s*=\s*')}) AS theme_json",
-        f"coalesce({_get('shop_json', 'shopify.currency')}, {parsed_json(r'Shopify[.]currency\s*=\s*')}) AS currency_json",
+        f"coalesce({_get('shop_json', 'meta')}, {parsed_json('var meta')}, "
+        f"{parsed_json('ShopifyAnalytics.meta')}) AS meta",
+        f"coalesce({_get('shop_json', 'shopify.theme')}, {parsed_json('Shopify.theme')}) AS theme_json",
+        f"coalesce({_get('shop_json', 'shopify.currency')}, {parsed_json('Shopify.currency')}) AS currency_json",
         f"coalesce({_get('shop_json', 'shopify')} IS NOT NULL, false) OR rlike(inline, 'Shopify[.](shop|theme)[ ]*=') AS has_global",
         f"{pick('shop', 'shop')} AS shop", f"{pick('locale', 'locale')} AS locale", f"{pick('country', 'country')} AS country",
         f"coalesce(try_variant_get(shop_json, '$.shopify.designMode', 'boolean'), rlike(inline, 'Shopify[.]designMode[ ]*=[ ]*true')) AS design_mode",
         f"{v_truthy('shop_json', 'customer')} AS logged_in").selectExpr(
+        "*", f"try_variant_get(product, '$', '{_PRODUCT}') AS _p", f"try_variant_get(meta, '$', '{_META}') AS _m").selectExpr(
         "*", f"{first_n(_variants(), variants)} AS _v")
-    image_source = ("coalesce(try_variant_get(product, '$.images', 'array<variant>'), "
-                    "try_variant_get(product, '$.image', 'array<variant>'), "
-                    f"if({v_truthy('product', 'image')}, array({_get('product', 'image')}), CAST(array() AS ARRAY<VARIANT>)))")
+    image_source = ("coalesce(try_variant_get(_p.images, '$', 'array<variant>'), try_variant_get(_p.image, '$', 'array<variant>'), "
+                    f"if({truthy('_p.image')}, array(_p.image), CAST(array() AS ARRAY<VARIANT>)))")
     image_url = lambda i: (
         f"if(schema_of_variant({i}) = 'STRING', CAST({i} AS STRING), coalesce(nullif(try_variant_get({i}, '$.src', 'string'), ''), "
         f"nullif(try_variant_get({i}, '$.url', 'string'), ''), try_variant_get({i}, '$.contentUrl', 'string')))")
@@ -159,31 +179,32 @@ def extract_store(parsed: DataFrame, runtime: DataFrame | None = None, urls: int
     option = lambda o: struct(
         name=case((f"schema_of_variant({o}) = 'STRING'", f"CAST({o} AS STRING)"), otherwise=v_text(o, "name")),
         values=f"coalesce(try_variant_get({o}, '$.values', 'array<string>'), CAST(array() AS ARRAY<STRING>))")
-    opts = each("try_variant_get(product, '$.options', 'array<variant>')", option)
-    first = lambda path, other: f"coalesce(nullif({v_id('meta', 'product.' + path)}, ''), {v_id('product', other)})"
-    trimmed = lambda path: js_trim(first(path, path))
+    opts = each("_p.options", option)
+    first = lambda name: f"coalesce(nullif({id_of(f'_m.product.{name}')}, ''), {id_of(f'_p.{name}')})"
+    trimmed = lambda name: js_trim(first(name))
     theme = struct(id=v_id("theme_json", "id"), name=v_text("theme_json", "name"), role=v_text("theme_json", "role"),
                    theme_store_id=v_id("theme_json", "theme_store_id"), schema_name=v_text("theme_json", "schema_name"),
                    schema_version=v_text("theme_json", "schema_version"), sections="sections")
-    page = struct(type=v_text("meta", "page.pageType"), resource_type=v_text("meta", "page.resourceType"),
-                  resource_id=v_id("meta", "page.resourceId"))
-    description = f"coalesce(nullif({v_text('product', 'description')}, ''), {v_text('product', 'body_html')})"
+    page = struct(type=text_of("_m.page.pageType"), resource_type=text_of("_m.page.resourceType"), resource_id=id_of("_m.page.resourceId"))
+    description = f"coalesce(nullif({text_of('_p.description')}, ''), {text_of('_p.body_html')})"
+    # asked of the whole product, and only where it has offers: a path that leads nowhere costs most
+    offered = lambda value: case(("_p.offers IS NOT NULL", value("product")))
     product = struct(
-        knows_images=f"({_get('product', 'images')} IS NOT NULL OR {_get('product', 'image')} IS NOT NULL)",
-        knows_description=f"({_get('product', 'description')} IS NOT NULL OR {_get('product', 'body_html')} IS NOT NULL)",
+        knows_images="(_p.images IS NOT NULL OR _p.image IS NOT NULL)",
+        knows_description="(_p.description IS NOT NULL OR _p.body_html IS NOT NULL)",
         knows_stock="exists(_v, v -> v.available IS NOT NULL)",
-        id=first("id", "id"), handle=f"coalesce(nullif({v_text('product', 'handle')}, ''), {v_text('meta', 'product.handle')})",
-        title=f"coalesce(nullif({v_text('product', 'title')}, ''), {v_text('product', 'name')})",
+        id=first("id"), handle=f"coalesce(nullif({text_of('_p.handle')}, ''), {text_of('_m.product.handle')})",
+        title=f"coalesce(nullif({text_of('_p.title')}, ''), {text_of('_p.name')})",
         description=description, vendor=trimmed("vendor"), type=trimmed("type"),
-        tags="coalesce(try_variant_get(product, '$.tags', 'array<string>'), CAST(array() AS ARRAY<STRING>))",
-        published_at=v_text("product", "published_at"),
-        price_from=f"coalesce({v_cents('product', 'price')}, {offer_price_cents('product')})",
-        compare_at_price=v_cents("product", "compare_at_price"),
-        available=f"coalesce(try_variant_get(product, '$.available', 'boolean'), {offer_available('product')})",
+        tags="coalesce(_p.tags, CAST(array() AS ARRAY<STRING>))",
+        published_at=text_of("_p.published_at"),
+        price_from=f"coalesce({cents_of('_p.price')}, {offered(offer_price_cents)})",
+        compare_at_price=cents_of("_p.compare_at_price"),
+        available=f"coalesce(_p.available, {offered(offer_available)})",
         variant_count="size(_v)", available_variant_count="size(filter(_v, v -> coalesce(v.available, false)))",
         missing_sku="size(filter(_v, v -> v.sku = ''))",
         image_count="size(_images)", images="_images", options=f"coalesce({opts}, array())",
-        source=f"CASE WHEN product IS NOT NULL THEN 'product-json' WHEN {v_truthy('meta', 'product.id')} "
+        source=f"CASE WHEN product IS NOT NULL THEN 'product-json' WHEN {truthy('_m.product.id')} "
                "THEN 'analytics-meta' ELSE 'none' END")
     tag = lambda key: js_trim(f"coalesce(get({meta_matches('metas', key)}, 0).content, '')")
     seo = struct(description=tag("description"), canonical="canonical", robots=tag("robots"), og_image=tag("og:image"),
@@ -192,9 +213,9 @@ def extract_store(parsed: DataFrame, runtime: DataFrame | None = None, urls: int
         "_v", F.expr("coalesce(_v, slice(_v, 1, 0))"))
     return filled.selectExpr(
         "page_id", "url", "has_global", "shop", "locale", "country",
-        f"coalesce(nullif({v_text('currency_json', 'active')}, ''), {v_text('meta', 'currency')}) AS currency",
+        f"coalesce(nullif({v_text('currency_json', 'active')}, ''), {text_of('_m.currency')}) AS currency",
         f"{v_id('currency_json', 'rate')} AS currency_rate", "has_localization_form", "coalesce(design_mode, false) AS design_mode",
-        f"(logged_in OR {v_truthy('meta', 'page.customerId')}) AS customer_logged_in", f"{theme} AS theme", f"{page} AS page",
+        f"(logged_in OR {truthy('_m.page.customerId')}) AS customer_logged_in", f"{theme} AS theme", f"{page} AS page",
         f"{product} AS product", f"{seo} AS seo", f"{tag('generator')} AS generator", "urls", "_v AS variants")
 
 
