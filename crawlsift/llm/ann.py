@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from .shared import bounded_sample, released, written
 
 HIT_SCHEMA = "query_id long, vec_id long, score double"
-#: Bytes of a stored block's vectors and of a query block's, as blocks travel in pairs; buckets visited by a query block.
-STORED_BYTES, QUERY_BYTES, VISITS = 1 << 20, 4 << 20, 1 << 22
+#: Bytes of a stored block's vectors and of a query block's, as blocks travel in pairs; rows of a stored block; buckets that the queries of a
+#: block visit, and rows that they find.
+STORED_BYTES, QUERY_BYTES, STORED_ROWS, QUERY_ROWS = 1 << 20, 4 << 20, 4096, 1 << 22
 #: Below this share of visited vectors, looking them up one by one costs less than a product of all.
 SELECTIVE = 1 / 60
 
@@ -336,7 +337,7 @@ def _searched(rows: DataFrame, stored: DataFrame, index: Index, k: int, block: i
     """Written: for each of `rows` the k nearest in each share of the stored blocks."""
     spark = rows.sparkSession
     n, tasks = rows.count(), 4 * spark.sparkContext.defaultParallelism
-    most = max(1, min(QUERY_BYTES // (index.directions.shape[2] * kind.itemsize), VISITS // (len(index.directions) * index.probes)))
+    most = max(1, min(QUERY_BYTES // (index.directions.shape[2] * kind.itemsize), QUERY_ROWS // max(k, len(index.directions) * index.probes)))
     size = min(most, max(2 * block, -(-n // tasks)))
     parts = max(1, -(-n // size))
     shares = max(1, min(shares, -(-tasks // parts)))
@@ -361,7 +362,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 4,
     kind = np.dtype({"float": np.float32}.get(rows.schema["vec"].dataType.elementType.typeName(), np.float64))
     rows = rows.withColumn("vec", F.col("vec").cast("array<float>" if kind == np.float32 else "array<double>"))
     asked = rows.where(is_query)
-    stored = written(_stored(rows, index, k, max(64, STORED_BYTES // ((index.directions.shape[2] - 1) * kind.itemsize))))
+    size = min(STORED_ROWS, max(64, STORED_BYTES // (index.directions.shape[2] * kind.itemsize)))
+    stored = written(_stored(rows, index, k, size))
     hits = _searched(asked, stored, index, k, block, kind, shares, False)
     least = min(k, rows.count() - 1)
     short = written(asked.join(hits.groupBy(F.col("query_id").alias("vec_id")).count().where(F.col("count") >= least), "vec_id", "left_anti"))
